@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waypost.session import hold
 
@@ -52,7 +52,7 @@ def term_counts(terms: DataFrame) -> DataFrame:
         ),
     )
     return (
-        terms.select(F.explode(flagged).alias("t"))
+        terms.select(F.explode_outer(flagged).alias("t")).where(F.col("t").isNotNull())
         .groupBy(F.col("t.term").alias("term"))
         .agg(F.sum(F.col("t.first")).alias("df"), F.count(F.lit(1)).alias("total"))
     )
@@ -71,16 +71,12 @@ def build_vocabulary(terms: DataFrame, n_docs: int, *, min_df: int, max_df: floa
         .orderBy(F.desc("total"), "term")
         .limit(max_features)
     )
-    # The cap above bounds this to max_features rows: one array, sorted and numbered.
-    numbered = kept.agg(
-        F.sort_array(F.collect_list(F.struct("df", "term", "total"))).alias("rows")
-    ).select(F.posexplode("rows").alias("term_idx", "row"))
+    # The cap above bounds this single-partition numbering to max_features rows.
+    rarest_first = Window.orderBy("df", "term")
+    numbered = kept.withColumn("term_idx", F.row_number().over(rarest_first) - 1)
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
     return hold(
-        numbered.select(
-            F.col("row.term").alias("term"), "term_idx", F.col("row.df").alias("df"),
-            F.col("row.total").alias("total"),
-        ).withColumn("idf", idf),
+        numbered.select("term", "term_idx", "df", "total", idf.alias("idf")),
         "vocabulary",
     )
 
@@ -95,7 +91,9 @@ def weight_vectors(terms: DataFrame, vocabulary: DataFrame, max_features: int,
     lookup = vocabulary.select("term", "term_idx", "idf")
     if max_features <= BROADCAST_TERMS:
         lookup = F.broadcast(lookup)
-    hits = terms.select("page_id", F.explode("terms").alias("term")).join(lookup, "term")
+    # The outer form keeps the optimizer from evaluating the whole array twice, once to test
+    # that it is not empty; the inner join drops the extra null.
+    hits = terms.select("page_id", F.explode_outer("terms").alias("term")).join(lookup, "term")
     listed = hits.groupBy("page_id").agg(
         F.sort_array(F.collect_list(F.struct("term_idx", "idf"))).alias("hits")
     )
@@ -117,11 +115,12 @@ def weight_vectors(terms: DataFrame, vocabulary: DataFrame, max_features: int,
         F.transform("uniq", lambda hit: hit["term_idx"]).alias("term_ids"),
         F.transform("uniq", raw).alias("raw"),
     )
-    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda acc, w: acc + w * w))
-    return weighed.withColumn("norm", norm).select(
-        "page_id", "term_ids",
-        F.transform("raw", lambda w: w / F.col("norm")).alias("weights"),
+    # Dividing in the finish step evaluates the norm once per vector, not once per element.
+    unit = F.aggregate(
+        "raw", F.lit(0.0), lambda acc, w: acc + w * w,
+        lambda squares: F.transform("raw", lambda w: w / F.sqrt(squares)),
     )
+    return weighed.select("page_id", "term_ids", unit.alias("weights"))
 
 
 def long_weights(vectors: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # The characters a Unicode-aware strip removes.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0       "
-    "         　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 
 _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
@@ -47,23 +48,25 @@ def raw_path(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(url, _PATH, 1), _PARAMS, "")
 
 
+def _canonical(raw: Column) -> Column:
+    trimmed = F.rtrim(raw, F.lit("/"))
+    return F.coalesce(F.nullif(trimmed, F.lit("")), F.lit("/"))
+
+
 def path(url: Column) -> Column:
     """Canonical path: lower case, no trailing slash, ``/`` when nothing is left."""
-    trimmed = F.rtrim(raw_path(tidy(url)), F.lit("/"))
-    return F.when(trimmed == "", F.lit("/")).otherwise(trimmed)
-
-
-def normalized_url(url: Column) -> Column:
-    clean = tidy(url)
-    head, host, tail = scheme(clean), netloc(clean), path(url)
-    web = head.isin("http", "https") & tail.startswith("/")
-    body = (
-        F.when(host != "", F.concat(F.lit("//"), host, F.when(tail.startswith("/"), tail)
-                                    .otherwise(F.concat(F.lit("/"), tail))))
-        .when(tail.startswith("//") | web, F.concat(F.lit("//"), tail))
-        .otherwise(tail)
+    return _canonical(raw_path(tidy(url)))
+
+
+def _rebuilt(head: Column, host: Column, tail: Column) -> Column:
+    """A URL put back together from its scheme, host and path columns."""
+    slash = F.when((host != "") & ~tail.startswith("/"), F.lit("/")).otherwise(F.lit(""))
+    double = (host != "") | tail.startswith("//") | (
+        head.isin("http", "https") & tail.startswith("/"))
+    return F.concat(
+        F.when(head != "", F.concat(head, F.lit(":"))).otherwise(F.lit("")),
+        F.when(double, F.lit("//")).otherwise(F.lit("")), host, slash, tail,
     )
-    return F.when(head != "", F.concat(head, F.lit(":"), body)).otherwise(body)
 
 
 def path_segments(url: Column) -> Column:
@@ -114,16 +117,20 @@ def build_page_index(pages: DataFrame) -> DataFrame:
     def text(name: str) -> Column:
         return F.col(name) if name in pages.columns else F.lit("")
 
-    url = F.col("url")
+    # Each step reads columns of the step before, so every pattern runs once per row.
     return (
-        pages.withColumns({
-            "normalized_url": normalized_url(url),
-            "path": path(url),
-            "segments": path_segments(url),
+        pages.withColumn("_clean", tidy(F.col("url")))
+        .withColumns({
+            "_scheme": scheme(F.col("_clean")),
+            "_host": netloc(F.col("_clean")),
+            "path": _canonical(raw_path(F.col("_clean"))),
+            "segments": path_segments(F.col("url")),
         })
         .withColumns({
+            "normalized_url": _rebuilt(F.col("_scheme"), F.col("_host"), F.col("path")),
             "url_hash": F.md5(F.col("path")),
-            "match_text": match_text(text("title"), text("h1"), text("description"),
-                                     F.col("normalized_url")),
         })
+        .withColumn("match_text", match_text(text("title"), text("h1"), text("description"),
+                                             F.col("normalized_url")))
+        .drop("_clean", "_scheme", "_host")
     )
