@@ -29,33 +29,23 @@ def unigrams_and_bigrams(tokens: Column) -> Column:
     return F.concat(tokens, F.coalesce(pairs, F.array().cast("array<string>")))
 
 
-def term_lists(pages: DataFrame, text: Column, bigrams: bool = True,
-               stop_words: list[str] | None = None) -> DataFrame:
-    """``(page_id, terms)``: every term occurrence of a page, in one array."""
-    tokens = words(text)
-    if stop_words:
-        stops = F.array(*[F.lit(word) for word in stop_words])
-        tokens = F.filter(tokens, lambda token: ~F.array_contains(stops, token))
-    listed = pages.select("page_id", tokens.alias("tokens"))
-    terms = unigrams_and_bigrams(F.col("tokens")) if bigrams else F.col("tokens")
-    return listed.select("page_id", terms.alias("terms"))
+def term_lists(pages: DataFrame, text: Column) -> DataFrame:
+    """``(page_id, terms)``: every word and word pair occurrence of a page, in one array."""
+    listed = pages.select("page_id", words(text).alias("tokens"))
+    return listed.select("page_id", unigrams_and_bigrams(F.col("tokens")).alias("terms"))
 
 
 def term_counts(terms: DataFrame) -> DataFrame:
-    """``(term, df, total)`` in one aggregation: an occurrence counts for ``df`` only where
-    the term appears first in its page, so no second distinct shuffle is needed."""
-    flagged = F.transform(
-        F.col("terms"),
-        lambda term, at: F.struct(
-            term.alias("term"),
-            (F.array_position(F.col("terms"), term) == at + 1).cast("int").alias("first"),
-        ),
-    )
-    return (
-        terms.select(F.explode_outer(flagged).alias("t")).where(F.col("t").isNotNull())
-        .groupBy(F.col("t.term").alias("term"))
-        .agg(F.sum(F.col("t.first")).alias("df"), F.count(F.lit(1)).alias("total"))
-    )
+    """``(term, df, total)`` in one aggregation over occurrences and, flagged, the distinct
+    terms of each page; the map side folds both before the one shuffle by term."""
+    def flag(array: Column, first: int) -> Column:
+        return F.transform(array, lambda term: F.struct(
+            term.alias("term"), F.lit(first).alias("first")))
+
+    both = F.concat(flag(F.col("terms"), 0), flag(F.array_distinct("terms"), 1))
+    rows = terms.select(F.explode_outer(both).alias("t")).where(F.col("t").isNotNull())
+    return rows.groupBy(F.col("t.term").alias("term")).agg(
+        F.sum("t.first").alias("df"), F.sum(1 - F.col("t.first")).alias("total"))
 
 
 def build_vocabulary(terms: DataFrame, n_docs: int, *, min_df: int, max_df: float,

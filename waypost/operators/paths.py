@@ -61,9 +61,9 @@ def nearest_ancestors(source: DataFrame, target_paths: DataFrame) -> DataFrame:
     )
 
 
-def match_hierarchical(source: DataFrame, target_paths: DataFrame,
-                       fallback_url: str = "/") -> DataFrame:
-    """Nearest of three ancestors, then the target root, then ``fallback_url``: total.
+def climb(source: DataFrame, target_paths: DataFrame, fallback_url: str = "/") -> DataFrame:
+    """``source`` with its target, match type and score: nearest of three ancestors, then the
+    target root, then ``fallback_url``. Every source row gets one.
 
     The root is at most one row of the path table, so it is broadcast.
     """
@@ -88,6 +88,13 @@ def match_hierarchical(source: DataFrame, target_paths: DataFrame,
     for name, value in HIERARCHY_SCORES.items():
         score = F.when(F.col("match_type") == name, F.lit(value)).otherwise(score)
     return joined.select(
-        "page_id", F.col("url").alias("source_url"),
-        *[column.alias(name) for name, column in chosen.items()], kind.alias("match_type"),
+        *source.columns, *[column.alias(name) for name, column in chosen.items()],
+        kind.alias("match_type"),
     ).withColumn("score", score)
+
+
+def match_hierarchical(source: DataFrame, target_paths: DataFrame,
+                       fallback_url: str = "/") -> DataFrame:
+    return climb(source, target_paths, fallback_url).select(
+        "page_id", F.col("url").alias("source_url"), "target_page_id", "target_url",
+        "match_type", "score")
