@@ -185,6 +185,13 @@ def parse_page(html: str, limit: int = BODY_LIMIT) -> PageText:
     return page
 
 
+def _filled(value):
+    """A JSON value without empty members: product fields treat them as absent."""
+    if isinstance(value, dict):
+        return {key: _filled(item) for key, item in value.items() if item}
+    return [_filled(item) for item in value] if isinstance(value, list) else value
+
+
 def json_blocks(page: PageText) -> list[str]:
     """JSON-LD objects of a page; lists are flattened, anything else is dropped."""
     objects = []
@@ -195,5 +202,5 @@ def json_blocks(page: PageText) -> list[str]:
             continue
         for item in data if isinstance(data, list) else [data]:
             if isinstance(item, dict):
-                objects.append(json.dumps(item, ensure_ascii=False))
+                objects.append(json.dumps(_filled(item), ensure_ascii=False))
     return objects

@@ -24,6 +24,7 @@ MAX_FEATURES = 10_000
 MAX_DF = 0.90
 MIN_DF = 1
 THRESHOLD = 0.30
+HIGHEST = 1.0
 
 BLOCK_ROWS = 16_384
 # Scores closer than this count as equal, so the tie rule does not depend on summation order.

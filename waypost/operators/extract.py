@@ -102,11 +102,6 @@ def _json(block: Column, path: str) -> Column:
     return F.get_json_object(block, path)
 
 
-def _truthy(value: Column) -> Column:
-    """NULL for values a product field skips: empty, null, zero and false."""
-    return F.when(~value.isin("", "null", "0", "0.0", "false", "[]", "{}"), value)
-
-
 def _product_fields(block: Column) -> Column:
     brand = _json(block, "$.brand")
     brand_name = F.when(brand.startswith("{"), _json(block, "$.brand.name")).when(
@@ -118,18 +113,18 @@ def _product_fields(block: Column) -> Column:
 
     def first_key(source: Column, keys: tuple[str, ...]) -> Column:
         return F.coalesce(*[
-            F.when(_truthy(_json(source, f"$.{key}")).isNotNull(),
+            F.when(_json(source, f"$.{key}").isNotNull(),
                    F.struct(F.lit(key).alias("key"), _json(source, f"$.{key}").alias("value")))
             for key in keys])
 
     return F.struct(
-        _truthy(_json(block, "$.name")).alias("product_name"),
-        _truthy(_json(block, "$.sku")).alias("sku"),
-        _truthy(_json(block, "$.category")).alias("product_type"),
-        _truthy(brand_name).alias("brand"),
-        _truthy(_json(offer, "$.price")).alias("price"),
-        _truthy(_json(offer, "$.priceCurrency")).alias("currency"),
-        _truthy(_json(offer, "$.availability")).alias("availability"),
+        _json(block, "$.name").alias("product_name"),
+        _json(block, "$.sku").alias("sku"),
+        _json(block, "$.category").alias("product_type"),
+        brand_name.alias("brand"),
+        _json(offer, "$.price").alias("price"),
+        _json(offer, "$.priceCurrency").alias("currency"),
+        _json(offer, "$.availability").alias("availability"),
         first_key(block, (*_GTIN_KEYS, "isbn")).alias("own"),
         first_key(offer, _GTIN_KEYS).alias("offered"),
     )

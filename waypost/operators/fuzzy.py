@@ -24,6 +24,7 @@ from waypost.operators.blocks import block_join
 from waypost.session import hold
 
 THRESHOLD = 80.0
+HIGHEST = 100.0
 BLOCK_ROWS = 4_096
 
 _CODES = 4_096

@@ -31,12 +31,13 @@ class TargetIndex:
 
     pages: DataFrame      # page_id, url, intention
     paths: DataFrame      # one row per path
-    cosine: CosineIndex
+    cosine: CosineIndex | None
 
     def save(self, path: str) -> None:
         self.pages.write.mode("overwrite").parquet(f"{path}/pages")
         self.paths.write.mode("overwrite").parquet(f"{path}/paths")
-        self.cosine.save(f"{path}/cosine")
+        if self.cosine is not None:
+            self.cosine.save(f"{path}/cosine")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str,
@@ -62,12 +63,14 @@ def _indexed(pages: DataFrame, intents: DataFrame | None, status_filter: Column
 
 def build_target_index(target: DataFrame, intents: DataFrame | None = None, *,
                        status_filter: Column | None = None,
-                       max_features: int = cosine.MAX_FEATURES) -> TargetIndex:
+                       max_features: int = cosine.MAX_FEATURES,
+                       with_cosine: bool = True) -> TargetIndex:
     pages = _indexed(target, intents, status_filter, "target-pages")
     return TargetIndex(
         pages.select("page_id", "url", "intention"),
         hold(target_path_table(pages), "target-paths"),
-        build_cosine_index(pages.select("page_id", "match_text"), max_features),
+        build_cosine_index(pages.select("page_id", "match_text"), max_features)
+        if with_cosine else None,
     )
 
 
@@ -76,6 +79,23 @@ def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col("target_url").isNotNull()), df.where(F.col("target_url").isNull())
 
 
+def _by_text(rest: DataFrame, index: TargetIndex, threshold: float) -> DataFrame:
+    pages = index.pages.select(
+        F.col("page_id").alias("target_page_id"), F.col("url").alias("target_url"),
+        F.col("intention").alias("target_intention"))
+    found = match_cosine(rest, index.cosine, threshold=threshold).join(pages, "target_page_id")
+    return hold(rest.join(found, "page_id", "left").withColumn("match_type", F.lit("cosine")),
+                "phase-cosine")
+
+
+def _by_path(rest: DataFrame, paths: DataFrame, threshold: float) -> DataFrame:
+    found = match_fuzzy(rest, paths, threshold=threshold).join(
+        paths.select("first_id", "target_page_id", "target_url", "target_intention"), "first_id"
+    ).drop("first_id")
+    return hold(rest.join(found, "path", "left").withColumn("match_type", F.lit("fuzzy")),
+                "phase-fuzzy")
+
+
 def _match(source: DataFrame, index: TargetIndex, fuzzy_threshold: float,
            cosine_threshold: float, fallback_url: str) -> DataFrame:
     target = ["target_page_id", "target_url", "target_intention"]
@@ -89,24 +109,15 @@ def _match(source: DataFrame, index: TargetIndex, fuzzy_threshold: float,
     parts = [done.withColumns({"match_type": F.lit("exact"), "score": F.lit(100.0)}).select(*keep)]
 
     rest = rest.drop(*target)
-    found = match_cosine(rest, index.cosine, threshold=cosine_threshold).join(
-        index.pages.select(F.col("page_id").alias("target_page_id"),
-                           F.col("url").alias("target_url"),
-                           F.col("intention").alias("target_intention")), "target_page_id")
-    by_text = hold(rest.join(found, "page_id", "left").withColumn("match_type", F.lit("cosine")),
-                   "phase-cosine")
-    done, rest = _split(by_text)
-    parts.append(done.select(*keep))
-
-    rest = rest.drop(*target, "match_type", "score", "match_text")
-    found = match_fuzzy(rest, paths, threshold=fuzzy_threshold).join(
-        paths.select("first_id", *target), "first_id").drop("first_id")
-    by_path = hold(rest.join(found, "path", "left").withColumn("match_type", F.lit("fuzzy")),
-                   "phase-fuzzy")
-    done, rest = _split(by_path)
-    parts.append(done.select(*keep))
-
-    rest = rest.drop(*target, "match_type", "score")
+    if cosine_threshold <= cosine.HIGHEST:
+        done, rest = _split(_by_text(rest, index, cosine_threshold))
+        parts.append(done.select(*keep))
+        rest = rest.drop(*target, "match_type", "score")
+    rest = rest.drop("match_text")
+    if fuzzy_threshold <= fuzzy.HIGHEST:
+        done, rest = _split(_by_path(rest, paths, fuzzy_threshold))
+        parts.append(done.select(*keep))
+        rest = rest.drop(*target, "match_type", "score")
     climbed = climb(rest, paths, fallback_url).withColumn("_one", F.lit(1))
     # The fallback is a single URL: it has the intent of the stored page it names, if any.
     named = index.pages.where(F.col("url") == fallback_url).agg(
@@ -162,11 +173,13 @@ def match_sites(source: DataFrame, target: DataFrame, intents: DataFrame | None
 
     ``source`` and ``target`` need ``page_id`` (unique over both) and ``url``; ``title``,
     ``h1`` and ``description`` feed the cosine phase. ``intents`` is ``(page_id, intention)``.
+    A threshold no score can reach (cosine above 1, fuzzy above 100) skips its phase.
     """
     if source.isEmpty() or target.isEmpty():
         return source.sparkSession.createDataFrame([], _EMPTY)
     index = build_target_index(target, intents, status_filter=status_filter,
-                               max_features=max_features)
+                               max_features=max_features,
+                               with_cosine=cosine_threshold <= cosine.HIGHEST)
     return match_against(source, index, intents, fuzzy_threshold=fuzzy_threshold,
                          cosine_threshold=cosine_threshold, fallback_url=fallback_url,
                          status_filter=status_filter)

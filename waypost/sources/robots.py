@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from waypost.functions.urls import origin, raw_path, strip
 
-_LINE_BREAK = "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+_LINE_BREAK = "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def _lines(text: Column) -> Column:

@@ -17,7 +17,7 @@ _MISSING = (
 def read_url_csv(spark: SparkSession, path: str) -> DataFrame:
     """``(url)`` from the first known column, else the first column; missing cells dropped."""
     rows = spark.read.csv(path, header=True, escape='"', encoding="UTF-8")
-    names = [name.lstrip("﻿") for name in rows.columns]
+    names = [name.lstrip("\ufeff") for name in rows.columns]
     at = next((names.index(name) for name in URL_COLUMNS if name in names), 0)
     # By position: column names that differ only in case would be ambiguous.
     rows = rows.toDF(*[f"c{i}" for i in range(len(names))])
