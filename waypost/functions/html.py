@@ -62,16 +62,21 @@ def pattern_body(html: Column, limit: int = BODY_LIMIT) -> Column:
     return F.substring(F.array_join(text_nodes(body, _MARKUP), " "), 1, limit)
 
 
-def pattern_description(html: Column) -> Column:
-    """``description`` by name, then by property; when empty, the same for ``og:description``."""
-    tags = F.regexp_extract_all(html, F.lit(_META), F.lit(0))
+def meta_tags(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit(_META), F.lit(0))
 
+
+def pattern_description(tags: Column) -> Column:
+    """``description`` by name, then by property; when empty, the same for ``og:description``.
+
+    ``tags`` is a column holding ``meta_tags``; it is read several times.
+    """
     def content(attribute: str, value: str) -> Column:
         wanted = rf"(?is)\s{attribute}\s*=\s*[\"']?{value}[\"'\s/>]"
         first = F.get(F.filter(tags, lambda tag: tag.rlike(wanted)), 0)
-        text = F.regexp_extract(first, r"(?is)\scontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", 1)
+        double = F.regexp_extract(first, r"(?is)\scontent\s*=\s*\"([^\"]*)\"", 1)
         single = F.regexp_extract(first, r"(?is)\scontent\s*=\s*'([^']*)'", 1)
-        return F.when(first.isNotNull(), F.when(text != "", text).otherwise(single))
+        return F.concat(double, single)
 
     def named(value: str) -> Column:
         return strip(decode_entities(

@@ -21,15 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
-def key_counts(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``(key, n_left, n_right)`` for keys present on both sides."""
+def key_counts(left: DataFrame, right: DataFrame) -> pd.DataFrame:
+    """``(key, n_left, n_right)`` for keys present on both sides, one row per key."""
     def side(df: DataFrame, is_left: int) -> DataFrame:
         return df.select(F.explode_outer("keys").alias("key"), F.lit(is_left).alias("l"))
 
     counts = side(left, 1).unionAll(side(right, 0)).groupBy("key").agg(
         F.sum("l").alias("n_left"), F.sum(1 - F.col("l")).alias("n_right")
     )
-    return counts.where((F.col("n_left") > 0) & (F.col("n_right") > 0))
+    return counts.where((F.col("n_left") > 0) & (F.col("n_right") > 0)).toPandas()
 
 
 def plan_blocks(counts: pd.DataFrame, rows: int) -> tuple[pd.DataFrame, int]:
@@ -62,15 +62,19 @@ def plan_blocks(counts: pd.DataFrame, rows: int) -> tuple[pd.DataFrame, int]:
 
 def block_join(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str,
                key_space: int, rows: int, schema: str,
-               kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]) -> DataFrame:
+               kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+               counts: pd.DataFrame | None = None) -> DataFrame:
     """Run ``kernel`` over every block of ``left`` x ``right``.
 
     Each side has an id, ``keys array<int>`` with values below ``key_space``, and its
     payload. The plan has at most ``key_space`` rows, which bounds both what reaches the
-    driver and what is broadcast.
+    driver and what is broadcast. ``counts`` may pass in ``key_counts`` already taken.
     """
     spark = left.sparkSession
-    counts = key_counts(left, right).toPandas()
+    if counts is None:
+        counts = key_counts(left, right)
+    if len(counts) > key_space:
+        raise ValueError("keys exceed the declared key space")
     if counts.empty:
         return spark.createDataFrame([], schema)
     parallelism = spark.sparkContext.defaultParallelism
@@ -90,11 +94,13 @@ def block_join(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str
             targets = F.transform(across, lambda j: F.col("base") + chunk * F.col(other) + j)
         else:
             targets = F.transform(across, lambda i: F.col("base") + i * F.col(own) + chunk)
-        payload = [name for name in df.columns if name != "keys"]
+        # Fresh aliases: both sides may come from one stored table.
+        payload = [F.col(name).alias(name) for name in df.columns if name != "keys"]
         return (
             df.select(*payload, F.explode_outer("keys").alias("key"))
             .join(plan_df, "key")
-            .select("key", *payload, F.explode_outer(targets).alias("block"))
+            .select("key", *[name for name in df.columns if name != "keys"],
+                    F.explode_outer(targets).alias("block"))
             .repartition(partitions, "block")
         )
 

@@ -133,14 +133,17 @@ def best_in_block(threshold: float):
     return kernel
 
 
+def _keyed(vectors: DataFrame, threshold: float) -> DataFrame:
+    return vectors.withColumn("keys", prefix_keys(threshold))
+
+
 def _best_above(sources: DataFrame, targets: DataFrame, threshold: float, key_space: int,
-                block_rows: int) -> DataFrame:
+                block_rows: int, counts: pd.DataFrame | None = None) -> DataFrame:
     found = block_join(
-        sources.withColumn("keys", prefix_keys(threshold)),
-        targets.withColumn("keys", prefix_keys(threshold)),
+        _keyed(sources, threshold), _keyed(targets, threshold),
         left_id="source_id", right_id="target_id", key_space=key_space, rows=block_rows,
         schema="source_id long, target_id long, score double",
-        kernel=best_in_block(threshold),
+        kernel=best_in_block(threshold), counts=counts,
     )
     # Highest score, then lowest target; partial aggregation leaves one row per source.
     best = F.max(F.struct("score", (-F.col("target_id")).alias("order")))
@@ -149,14 +152,8 @@ def _best_above(sources: DataFrame, targets: DataFrame, threshold: float, key_sp
     )
 
 
-def candidate_pairs(sources: DataFrame, targets: DataFrame, threshold: float) -> int:
-    keyed = [df.withColumn("keys", prefix_keys(threshold)) for df in (sources, targets)]
-    total = key_counts(*keyed).agg(F.sum(F.col("n_left").cast("double") * F.col("n_right")))
-    return int(total.first()[0] or 0)
-
-
 def match_cosine(source: DataFrame, index: CosineIndex, *, threshold: float = THRESHOLD,
-                 pair_budget: int = PAIR_BUDGET, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                 pair_budget: float = PAIR_BUDGET, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(page_id, target_page_id, score)`` for sources with a target at or above ``threshold``.
 
     When the candidate pairs exceed ``pair_budget`` the search runs twice: first for close
@@ -171,16 +168,18 @@ def match_cosine(source: DataFrame, index: CosineIndex, *, threshold: float = TH
     sources = hold(members.groupBy("term_ids", "weights").agg(
         F.min("page_id").alias("source_id")), "source-vectors-folded")
 
-    def search(rows: DataFrame, level: float) -> DataFrame:
-        return _best_above(rows, index.vectors, level, index.max_features, block_rows)
+    def search(rows: DataFrame, level: float, counts: pd.DataFrame | None = None) -> DataFrame:
+        return _best_above(rows, index.vectors, level, index.max_features, block_rows, counts)
 
-    if threshold < CLOSE_MATCH and candidate_pairs(sources, index.vectors, threshold) > pair_budget:
+    counts = key_counts(_keyed(sources, threshold), _keyed(index.vectors, threshold))
+    pairs = (counts["n_left"].astype(float) * counts["n_right"]).sum()
+    if threshold < CLOSE_MATCH and pairs > pair_budget:
         close = hold(search(sources, CLOSE_MATCH), "cosine-close")
-        rest = sources.join(close, "source_id", "left_anti")
+        rest = hold(sources.join(close, "source_id", "left_anti"), "cosine-rest")
         best = close.unionByName(search(rest, threshold))
     else:
-        best = search(sources, threshold)
-    folded = sources.join(hold(best, "cosine-best"), "source_id")
+        best = search(sources, threshold, counts)
+    folded = sources.join(best, "source_id")
     return members.join(folded, ["term_ids", "weights"]).select(
         "page_id", F.col("target_id").alias("target_page_id"), "score"
     )

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waypost.functions.html import (
-    BODY_LIMIT, json_blocks, parse_page, pattern_body, pattern_description, pattern_h1,
+    BODY_LIMIT, json_blocks, meta_tags, parse_page, pattern_body, pattern_description, pattern_h1,
     pattern_hrefs, pattern_title,
 )
 from waypost.functions.urls import netloc, raw_path, scheme
@@ -52,9 +52,10 @@ def extract_pages(raw: DataFrame, site: str | Column, *, mode: str = "parser",
                       depth.cast("int").alias("depth"), site_col.alias("site"))
     html = F.col("html")
     if mode == "pattern":
-        fields = base.select(
+        fields = spread(base).withColumn("_tags", meta_tags(html)).select(
             "page_id", "url", "site", "depth", "status_code", html.isNull().alias("stub"),
-            pattern_title(html).alias("title"), pattern_description(html).alias("description"),
+            pattern_title(html).alias("title"),
+            pattern_description(F.col("_tags")).alias("description"),
             pattern_h1(html).alias("h1"), pattern_body(html, body_limit).alias("body_text"))
     else:
         fields = _parsed(base, body_limit)

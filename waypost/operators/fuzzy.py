@@ -174,8 +174,7 @@ def _blank_pairs(source: DataFrame, target: DataFrame, threshold: float,
                  block_rows: int) -> DataFrame | None:
     """Pairs where a path with blanks shares a token with its partner, or ``None``."""
     blank = F.size(F.split(F.col("path"), r"(?U)\s+")) > 1
-    flags = [df.agg(F.max(blank.cast("int"))).first()[0] for df in (source, target)]
-    if not any(flags):
+    if source.select("path").union(target.select("path")).where(blank).isEmpty():
         return None
     word_list = F.array_remove(F.array_distinct(F.split(F.col("path"), r"(?U)\s+")), "")
     by_word = [df.select("*", F.explode(word_list).alias("word")) for df in (source, target)]
@@ -212,8 +211,11 @@ def match_fuzzy(source: DataFrame, target_paths: DataFrame, *, threshold: float
     sources = source.select("path").distinct()
     targets = target_paths.select("path", "first_id")
     prefixes = prefix_tokens(token_rarity(targets, paired), t, paired)
-    sources = hold(sources.withColumn("keys", prefixes("path")), "source-prefixes")
-    targets = hold(targets.withColumn("keys", prefixes("path")), "target-prefixes")
+    # Both sides in one stored table; source rows have no page order.
+    both = sources.withColumn("first_id", F.lit(None).cast("long")).unionByName(targets)
+    keyed = hold(both.withColumn("keys", prefixes("path")), "prefixes")
+    sources = keyed.where(F.col("first_id").isNull()).drop("first_id")
+    targets = keyed.where(F.col("first_id").isNotNull())
     found = block_join(
         sources, targets, left_id="path", right_id="first_id", key_space=TOKEN_SPACE,
         rows=block_rows, schema=_FOUND, kernel=best_in_block(threshold),

@@ -61,11 +61,7 @@ def _indexed(pages: DataFrame, intents: DataFrame | None, status_filter: Column
     return hold(pages.select(*_INDEX_COLUMNS), label)
 
 
-def build_target_index(target: DataFrame, intents: DataFrame | None = None, *,
-                       status_filter: Column | None = None,
-                       max_features: int = cosine.MAX_FEATURES,
-                       with_cosine: bool = True) -> TargetIndex:
-    pages = _indexed(target, intents, status_filter, "target-pages")
+def _target_index(pages: DataFrame, max_features: int, with_cosine: bool) -> TargetIndex:
     return TargetIndex(
         pages.select("page_id", "url", "intention"),
         hold(target_path_table(pages), "target-paths"),
@@ -74,6 +70,14 @@ def build_target_index(target: DataFrame, intents: DataFrame | None = None, *,
     )
 
 
+def build_target_index(target: DataFrame, intents: DataFrame | None = None, *,
+                       status_filter: Column | None = None,
+                       max_features: int = cosine.MAX_FEATURES,
+                       with_cosine: bool = True) -> TargetIndex:
+    pages = _indexed(target, intents, status_filter, "target-pages")
+    return _target_index(pages, max_features, with_cosine)
+
+
 def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Matched and unmatched rows of a phase, read from its one stored result."""
     return df.where(F.col("target_url").isNotNull()), df.where(F.col("target_url").isNull())
@@ -175,11 +179,9 @@ def match_sites(source: DataFrame, target: DataFrame, intents: DataFrame | None
     ``h1`` and ``description`` feed the cosine phase. ``intents`` is ``(page_id, intention)``.
     A threshold no score can reach (cosine above 1, fuzzy above 100) skips its phase.
     """
-    if source.isEmpty() or target.isEmpty():
+    old = _indexed(source, intents, status_filter, "source-pages")
+    new = _indexed(target, intents, status_filter, "target-pages")
+    if old.isEmpty() or new.isEmpty():
         return source.sparkSession.createDataFrame([], _EMPTY)
-    index = build_target_index(target, intents, status_filter=status_filter,
-                               max_features=max_features,
-                               with_cosine=cosine_threshold <= cosine.HIGHEST)
-    return match_against(source, index, intents, fuzzy_threshold=fuzzy_threshold,
-                         cosine_threshold=cosine_threshold, fallback_url=fallback_url,
-                         status_filter=status_filter)
+    index = _target_index(new, max_features, cosine_threshold <= cosine.HIGHEST)
+    return score_redirects(_match(old, index, fuzzy_threshold, cosine_threshold, fallback_url))

@@ -22,8 +22,9 @@ def disallowed_prefixes(text: Column) -> Column:
     Each agent line opens a section, so consecutive agent lines do not share their rules.
     """
     sections = F.split(_lines(text), r"(?im)^[ \t]*user-agent:")
-    ruled = F.filter(F.slice(sections, 2, 2_147_483_647),
-                     lambda section: strip(F.substring_index(section, "\n", 1)) == "*")
+    # The text before the first agent line has number 0 and is never a section.
+    ruled = F.filter(sections, lambda section, at: (at > 0) & (
+        strip(F.substring_index(section, "\n", 1)) == "*"))
     found = F.flatten(F.transform(ruled, lambda section: F.regexp_extract_all(
         section, F.lit(r"(?im)^[ \t]*disallow:([^\n]*)$"), F.lit(1))))
     return F.filter(F.transform(found, strip), lambda rule: ~rule.isin("", "/"))
