@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -63,3 +65,16 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Only needed where it is neither installed on the executors nor passed by ``--py-files``.
+    """
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parent
+    if any(Path(name).name == f"{package.name}.zip" for name in context.listFiles):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="waypost-")) / package.name
+    context.addPyFile(shutil.make_archive(str(archive), "zip", package.parent, package.name))
