@@ -488,9 +488,10 @@ def stream_match(spark, d):
     pages = t.head_pages(spark, d)
     _, target = t.two_sites(pages)
     match.build_target_index(target, t.page_intents(target)).save(f"{base}/index")
+    markup = pages_html.visible(F.col("html"))
     old = _raw_stream(spark, d).where(~F.col("url").startswith("https:")).select(
-        "page_id", "url", pages_html.pattern_title(F.col("html")).alias("title"),
-        pages_html.pattern_h1(F.col("html")).alias("h1"),
+        "page_id", "url", pages_html.pattern_title(markup).alias("title"),
+        pages_html.pattern_h1(markup).alias("h1"),
         t.label_at(F.length("url")).alias("intention"))
     _run(redirect_stream(old, f"{base}/index", f"{base}/plan"), base)
     return spark.read.parquet(f"{base}/plan").drop("batch")

@@ -7,6 +7,7 @@ parser form runs as an Arrow batch function over the same columns.
 from __future__ import annotations
 
 import json
+import re
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, functions as F
@@ -26,11 +27,9 @@ _TITLE = r"(?is)<title[^>]*>(.*?)</title"
 _H1 = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1"
 _BODY = r"(?is)<body[^>]*>(.*)"
 _BODY_END = r"(?is)</body\s*>.*"
-_TAG = r"<[^>]*>"
-_MARKUP = (
-    r"(?is)<!--.*?-->|<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>"
-    r"|<template[^>]*>.*?</template\s*>|<[^>]*>|<[a-z/!][^>]*$"
-)
+_TAG = r"<[^>]*>|<[a-zA-Z/!][^>]*$"
+_UNSEEN = r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</\1\s*>"
+_CUT_TAG = re.compile(r"<[a-zA-Z/!][^<>]*$")
 _META = r"(?is)<meta\s[^>]*>"
 _HREF = r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"
 
@@ -41,29 +40,36 @@ def decode_entities(text: Column) -> Column:
     return text
 
 
-def pattern_title(html: Column) -> Column:
-    text = F.regexp_extract(html, _TITLE, 1)
+def visible(html: Column) -> Column:
+    """Markup with comments, scripts, styles and templates cut down to an empty tag.
+
+    The other pattern functions read a column holding this.
+    """
+    return F.regexp_replace(html, _UNSEEN, "<!>")
+
+
+def pattern_title(markup: Column) -> Column:
+    text = F.regexp_extract(markup, _TITLE, 1)
     return strip(decode_entities(F.when(~text.contains("<"), text).otherwise(F.lit(""))))
 
 
-def text_nodes(fragment: Column, split_at: str) -> Column:
-    parts = F.transform(F.split(fragment, split_at), lambda part: strip(decode_entities(part)))
+def text_nodes(fragment: Column) -> Column:
+    parts = F.transform(F.split(fragment, _TAG), lambda part: strip(decode_entities(part)))
     return F.filter(parts, lambda part: part != "")
 
 
-def pattern_h1(html: Column) -> Column:
-    found = F.regexp_extract_all(html, F.lit(_H1), F.lit(1))
-    return F.array_join(
-        F.transform(found, lambda inner: F.array_join(text_nodes(inner, _TAG), "")), " | ")
+def pattern_h1(markup: Column) -> Column:
+    found = F.regexp_extract_all(markup, F.lit(_H1), F.lit(1))
+    return F.array_join(F.transform(found, lambda inner: F.array_join(text_nodes(inner), "")), " | ")
 
 
-def pattern_body(html: Column, limit: int = BODY_LIMIT) -> Column:
-    body = F.regexp_replace(F.regexp_extract(html, _BODY, 1), _BODY_END, "")
-    return F.substring(F.array_join(text_nodes(body, _MARKUP), " "), 1, limit)
+def pattern_body(markup: Column, limit: int = BODY_LIMIT) -> Column:
+    body = F.regexp_replace(F.regexp_extract(markup, _BODY, 1), _BODY_END, "")
+    return F.substring(F.array_join(text_nodes(body), " "), 1, limit)
 
 
-def meta_tags(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(_META), F.lit(0))
+def meta_tags(markup: Column) -> Column:
+    return F.regexp_extract_all(markup, F.lit(_META), F.lit(0))
 
 
 def pattern_description(tags: Column) -> Column:
@@ -85,8 +91,8 @@ def pattern_description(tags: Column) -> Column:
     return F.coalesce(F.nullif(named("description"), F.lit("")), named("og:description"))
 
 
-def pattern_hrefs(html: Column) -> Column:
-    return F.transform(F.regexp_extract_all(html, F.lit(_HREF), F.lit(1)), decode_entities)
+def pattern_hrefs(markup: Column) -> Column:
+    return F.transform(F.regexp_extract_all(markup, F.lit(_HREF), F.lit(1)), decode_entities)
 
 
 class PageText(HTMLParser):
@@ -184,7 +190,7 @@ class PageText(HTMLParser):
 
 def parse_page(html: str, limit: int = BODY_LIMIT) -> PageText:
     page = PageText()
-    page.feed(html)
+    page.feed(_CUT_TAG.sub("", html))   # html cut off inside a tag: the rest is not text
     page.close()
     page.body_text = " ".join(page.body)[:limit]
     return page

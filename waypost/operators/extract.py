@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from waypost.functions.html import (
     BODY_LIMIT, json_blocks, meta_tags, parse_page, pattern_body, pattern_description, pattern_h1,
-    pattern_hrefs, pattern_title,
+    pattern_hrefs, pattern_title, visible,
 )
 from waypost.functions.urls import netloc, raw_path, scheme
 from waypost.session import spread
@@ -50,13 +50,15 @@ def extract_pages(raw: DataFrame, site: str | Column, *, mode: str = "parser",
     depth = F.col("depth") if "depth" in raw.columns else F.lit(0)
     base = raw.select("page_id", "url", "html", status.cast("int").alias("status_code"),
                       depth.cast("int").alias("depth"), site_col.alias("site"))
-    html = F.col("html")
     if mode == "pattern":
-        fields = spread(base).withColumn("_tags", meta_tags(html)).select(
+        html = F.col("html")
+        markup = F.col("_markup")
+        staged = spread(base).withColumn("_markup", visible(html))
+        fields = staged.withColumn("_tags", meta_tags(markup)).select(
             "page_id", "url", "site", "depth", "status_code", html.isNull().alias("stub"),
-            pattern_title(html).alias("title"),
+            pattern_title(markup).alias("title"),
             pattern_description(F.col("_tags")).alias("description"),
-            pattern_h1(html).alias("h1"), pattern_body(html, body_limit).alias("body_text"))
+            pattern_h1(markup).alias("h1"), pattern_body(markup, body_limit).alias("body_text"))
     else:
         fields = _parsed(base, body_limit)
     blank = F.lit("")
@@ -201,7 +203,7 @@ def extract_links(raw: DataFrame) -> DataFrame:
     Root-relative and absolute links are resolved with expressions; only the other relative
     forms visit Python.
     """
-    hrefs = raw.select("url", F.explode_outer(pattern_hrefs(F.col("html"))).alias("href"))
+    hrefs = raw.select("url", F.explode_outer(pattern_hrefs(visible(F.col("html")))).alias("href"))
     hrefs = hrefs.where(F.col("href").isNotNull())
     href = F.translate(F.trim("href"), "\t\r\n", "")
 
