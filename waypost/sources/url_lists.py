@@ -16,10 +16,12 @@ _MISSING = (
 
 def read_url_csv(spark: SparkSession, path: str) -> DataFrame:
     """``(url)`` from the first known column, else the first column; missing cells dropped."""
+    # The header as written: the reader renames columns that differ only in case.
+    header = spark.read.csv(path, escape='"', encoding="UTF-8").first()
     rows = spark.read.csv(path, header=True, escape='"', encoding="UTF-8")
-    names = [name.lstrip("\ufeff") for name in rows.columns]
+    names = [(name or "").lstrip("\ufeff") for name in header or rows.columns]
     at = next((names.index(name) for name in URL_COLUMNS if name in names), 0)
-    # By position: column names that differ only in case would be ambiguous.
+    # By position, for the same reason.
     rows = rows.toDF(*[f"c{i}" for i in range(len(names))])
     url = F.col(f"c{at}")
     return rows.where(url.isNotNull() & ~url.isin(*_MISSING)).select(url.alias("url"))
