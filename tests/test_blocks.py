@@ -7,12 +7,14 @@ from waypost.operators.blocks import block_join, plan_blocks
 
 
 def test_plan_bounds_blocks_and_packs_light_keys():
-    counts = pd.DataFrame({"key": [1, 2, 3, 4], "n_left": [10, 1, 2, 1], "n_right": [25, 1, 1, 3]})
-    plan, total = plan_blocks(counts, rows=10)
+    counts = pd.DataFrame({"key": [1, 2, 3, 4, 5], "n_left": [80, 1, 2, 1, 30],
+                           "n_right": [200, 1, 1, 3, 2]})
+    plan, total = plan_blocks(counts, rows=80)
     hot = plan[plan.key == 1].iloc[0]
     assert (hot.n_left_chunks, hot.n_right_chunks) == (1, 3)
-    light = plan[plan.key != 1]
-    assert light.base.nunique() == 1 and total == 4
+    light = plan[plan.key.isin([2, 3, 4])]
+    assert light.base.nunique() == 1
+    assert plan[plan.key == 5].iloc[0].base not in set(light.base) and total == 5
 
 
 def pairs_kernel():

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -26,7 +27,14 @@ def test_block_scores_and_bounds_match_the_table_method():
         a, b = texts[i[k]], texts[::-1][j[k]]
         assert common_length(a, b) == table_lcs(a, b)
         assert scores[k] == ratio(len(a) + len(b), table_lcs(a, b))
-        assert block.bound(i[k], j[k:k + 1])[0] >= scores[k]
+    shared = block.characters().rows(slice(None))
+    pairs = block.bigrams().rows(slice(None))
+    for k in range(len(i)):
+        a, b = texts[i[k]], texts[::-1][j[k]]
+        length, common = len(a) + len(b), table_lcs(a, b)
+        assert shared[i[k], j[k]] == sum((Counter(a) & Counter(b)).values()) >= common
+        exact = Counter(zip("<" + a, a + ">")) & Counter(zip("<" + b, b + ">"))
+        assert pairs[i[k], j[k]] >= sum(exact.values()) >= 3 * common - length + 1
 
 
 @pytest.mark.parametrize("a, b, score", [

@@ -49,9 +49,46 @@ def common_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+class Overlaps:
+    """Multiset overlaps between two lists of code sequences, as products of 0/1 matrices.
+
+    A column stands for the n-th occurrence of a code, so the scalar product of two rows is
+    the size of the multiset intersection.
+    """
+
+    def __init__(self, left: tuple, right: tuple, n_left: int, n_right: int):
+        (left_owner, left_key), (right_owner, right_key) = map(self._occurrences, (left, right))
+        columns = np.intersect1d(left_key, right_key)
+        self.left = self._matrix(left_owner, left_key, columns, n_left)
+        self.right = self._matrix(right_owner, right_key, columns, n_right).T.copy()
+
+    @staticmethod
+    def _occurrences(sequence: tuple) -> tuple[np.ndarray, np.ndarray]:
+        owner, codes = sequence
+        order = np.lexsort((codes, owner))
+        owner, codes = owner[order], codes[order].astype(np.int64)
+        place = owner * (codes.max(initial=0) + 1) + codes
+        nth = np.arange(len(place)) - np.searchsorted(place, place, "left")
+        return owner, codes << 20 | nth
+
+    @staticmethod
+    def _matrix(owner, key, columns, n_rows) -> np.ndarray:
+        at = np.searchsorted(columns, key)
+        at[at == len(columns)] = 0
+        held = columns[at] == key if len(columns) else np.zeros(len(key), dtype=bool)
+        matrix = np.zeros((n_rows, len(columns)), dtype=np.float32)
+        matrix[owner[held], at[held]] = 1.0
+        return matrix
+
+    def rows(self, part: slice) -> np.ndarray:
+        return self.left[part] @ self.right
+
+
 class PathBlock:
     """Two lists of strings, coded once so that any of their pairs can be compared fast."""
 
+    PAIR_CODES = 512
+
     def __init__(self, left: list[str], right: list[str]):
         self.left_len, left_codes = self._codes(left)
         self.right_len, right_codes = self._codes(right)
@@ -59,8 +96,9 @@ class PathBlock:
                                     return_inverse=True)
         self.blank = len(alphabet)
         left_codes, right_codes = coded[:len(left_codes)], coded[len(left_codes):]
-        self.left_bag = self._bag(left_codes, self.left_len)
-        self.right_bag = self._bag(right_codes, self.right_len)
+        self._sides = ((self._positions(self.left_len)[0], left_codes),
+                       (self._positions(self.right_len)[0], right_codes))
+        self._shape = (len(left), len(right))
         # Position masks of the left strings, 64 positions per word.
         words = max(1, -(-int(self.left_len.max(initial=0)) // 64))
         owner, at = self._positions(self.left_len)
@@ -73,6 +111,28 @@ class PathBlock:
         self.right = np.full((len(right), width), self.blank, dtype=np.int32)
         self.right[owner, at] = right_codes
 
+    def characters(self) -> Overlaps:
+        """Characters two strings share in any order: at least their common subsequence."""
+        return Overlaps(*self._sides, *self._shape)
+
+    def bigrams(self) -> Overlaps:
+        """Bigrams of the padded strings, hashed: merging codes only raises an overlap."""
+        return Overlaps(*map(self._padded_pairs, self._sides), *self._shape)
+
+    def _padded_pairs(self, side: tuple) -> tuple[np.ndarray, np.ndarray]:
+        owner, codes = side
+        n_rows = self._shape[0] if side is self._sides[0] else self._shape[1]
+        edge = self.blank + 1
+        # One pad before and one after every string.
+        rows = np.concatenate([owner, np.arange(n_rows), np.arange(n_rows)])
+        rank = np.concatenate([np.ones(len(owner)), np.zeros(n_rows), np.full(n_rows, 2.0)])
+        chars = np.concatenate([codes, np.full(n_rows, edge), np.full(n_rows, edge + 1)])
+        order = np.lexsort((np.arange(len(rows)), rank, rows))
+        rows, chars = rows[order], chars[order].astype(np.int64)
+        same = rows[1:] == rows[:-1]
+        pairs = (chars[:-1] * 1_000_003 + chars[1:]) * 2_654_435_761 >> 12
+        return rows[1:][same], pairs[same] % self.PAIR_CODES
+
     @staticmethod
     def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(text) for text in texts], dtype=np.int64)
@@ -85,16 +145,6 @@ class PathBlock:
         start = np.cumsum(lengths) - lengths
         return owner, np.arange(len(owner)) - np.repeat(start, lengths)
 
-    def _bag(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        owner, _ = self._positions(lengths)
-        cells = np.bincount(owner * self.blank + codes, minlength=len(lengths) * self.blank)
-        return cells.reshape(len(lengths), self.blank).astype(np.int32)
-
-    def bound(self, i: int, j: np.ndarray) -> np.ndarray:
-        """Upper bound of the ratio: characters two strings share in any order."""
-        common = np.minimum(self.left_bag[i], self.right_bag[j]).sum(axis=1)
-        return ratio(self.left_len[i] + self.right_len[j], common)
-
     def scores(self, i: np.ndarray, j: np.ndarray, batch: int = 65_536) -> np.ndarray:
         """Ratio of left string ``i[k]`` and right string ``j[k]`` for every ``k``."""
         common = np.zeros(len(i), dtype=np.int64)

@@ -87,23 +87,21 @@ def weight_vectors(terms: DataFrame, vocabulary: DataFrame, max_features: int,
     listed = hits.groupBy("page_id").agg(
         F.sort_array(F.collect_list(F.struct("term_idx", "idf"))).alias("hits")
     )
-    distinct = listed.select(
-        "page_id", "hits", F.reverse("hits").alias("back"), F.array_distinct("hits").alias("uniq")
-    )
-
-    def frequency(hit: Column) -> Column:
-        # hits are sorted: last position - first position + 1.
-        return (F.size("hits") + 2 - F.array_position("back", hit)
-                - F.array_position("hits", hit)).cast("double")
-
-    def raw(hit: Column) -> Column:
-        tf = frequency(hit)
-        return ((F.log(tf) + 1.0) if sublinear else tf) * hit["idf"]
-
-    weighed = distinct.select(
+    # hits are sorted, so each term is one run: its frequency is the distance to the next run.
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size("hits") - 1),
+        lambda at: (at == 0) | (F.get("hits", at) != F.get("hits", F.greatest(at - 1, F.lit(0)))))
+    runs = listed.withColumn("starts", starts)
+
+    def raw(start: Column, at: Column) -> Column:
+        end = F.coalesce(F.get("starts", at + 1), F.size("hits"))
+        tf = (end - start).cast("double")
+        return ((F.log(tf) + 1.0) if sublinear else tf) * F.get("hits", start)["idf"]
+
+    weighed = runs.select(
         "page_id",
-        F.transform("uniq", lambda hit: hit["term_idx"]).alias("term_ids"),
-        F.transform("uniq", raw).alias("raw"),
+        F.transform("starts", lambda start: F.get("hits", start)["term_idx"]).alias("term_ids"),
+        F.transform("starts", raw).alias("raw"),
     )
     # Dividing in the finish step evaluates the norm once per vector, not once per element.
     unit = F.aggregate(

@@ -3,7 +3,8 @@
 Both sides list *keys* per item such that every pair worth scoring shares a key (the
 operators choose keys by prefix filtering). Rows meet in blocks:
 
-* a key held by few rows on both sides is packed with other light keys into one block;
+* a key held by few rows on both sides is packed with other light keys into one block, kept
+  small because rows of different keys meet there for nothing;
 * a hot key is spread over a grid of blocks, left chunks by right chunks, so no task sees
   more than ``rows`` rows of a side however many rows share the key.
 
@@ -32,8 +33,12 @@ def key_counts(left: DataFrame, right: DataFrame) -> pd.DataFrame:
     return counts.where((F.col("n_left") > 0) & (F.col("n_right") > 0)).toPandas()
 
 
+PACK = 8   # packed blocks are this many times smaller than the chunks of a hot key
+
+
 def plan_blocks(counts: pd.DataFrame, rows: int) -> tuple[pd.DataFrame, int]:
     """Assign keys to blocks: ``(key, base, n_left_chunks, n_right_chunks)`` and the total."""
+    packed = max(rows // PACK, 1)
     counts = counts.sort_values("key", ignore_index=True)
     n_left, n_right = counts["n_left"].to_numpy(), counts["n_right"].to_numpy()
     left_chunks = -(-n_left // rows)
@@ -41,11 +46,11 @@ def plan_blocks(counts: pd.DataFrame, rows: int) -> tuple[pd.DataFrame, int]:
     base = np.zeros(len(counts), dtype=np.int64)
     next_block, open_block, filled_left, filled_right = 0, -1, 0, 0
     for i in range(len(counts)):
-        if left_chunks[i] * right_chunks[i] > 1:
+        if left_chunks[i] * right_chunks[i] > 1 or max(n_left[i], n_right[i]) > packed:
             base[i] = next_block
             next_block += int(left_chunks[i] * right_chunks[i])
             continue
-        fits = filled_left + n_left[i] <= rows and filled_right + n_right[i] <= rows
+        fits = filled_left + n_left[i] <= packed and filled_right + n_right[i] <= packed
         if open_block < 0 or not fits:
             open_block, filled_left, filled_right = next_block, 0, 0
             next_block += 1
@@ -79,8 +84,8 @@ def block_join(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str
         return spark.createDataFrame([], schema)
     parallelism = spark.sparkContext.defaultParallelism
     busiest = max(int(counts["n_left"].sum()), int(counts["n_right"].sum()))
-    # Small inputs: still about two blocks per core.
-    rows = max(min(rows, math.ceil(busiest / (2 * parallelism))), 64)
+    # Small inputs: still a few blocks per core.
+    rows = max(min(rows, math.ceil(PACK * busiest / (4 * parallelism))), 64)
     plan, n_blocks = plan_blocks(counts, rows)
     plan_df = F.broadcast(spark.createDataFrame(
         plan, "key int, base long, n_left_chunks long, n_right_chunks long"))

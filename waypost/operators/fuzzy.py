@@ -30,6 +30,7 @@ BLOCK_ROWS = 4_096
 _CODES = 4_096
 _REPEATS = 4                      # a code's 1st, 2nd, 3rd and later occurrences
 TOKEN_SPACE = _CODES * _REPEATS
+_MANY = 0.02                      # share of pairs from which the second bound pays off
 _SENTINEL_FROM = 0.70             # bigrams from this threshold up, else characters
 
 
@@ -96,25 +97,60 @@ def prefix_tokens(rarity: np.ndarray, t: float, paired: bool):
     return prefixes
 
 
+def _found(path=(), first_id=(), score=()) -> pd.DataFrame:
+    """Kernel output with fixed types, so that an empty one converts as well."""
+    return pd.DataFrame({"path": pd.Series(path, dtype=object),
+                         "first_id": pd.Series(first_id, dtype="int64"),
+                         "score": pd.Series(score, dtype="float64")})
+
+
 def _best_rows(i: np.ndarray, j: np.ndarray, score: np.ndarray, left: pd.DataFrame,
                right: pd.DataFrame) -> pd.DataFrame:
     first_id = right["first_id"].to_numpy()[j]
     order = np.lexsort((first_id, -score, i))
-    i, order = i[order], order
-    lead = np.ones(len(i), dtype=bool)
-    lead[1:] = i[1:] != i[:-1]
+    ranked = i[order]
+    lead = np.ones(len(ranked), dtype=bool)
+    lead[1:] = ranked[1:] != ranked[:-1]
     pick = order[lead]
-    return pd.DataFrame({"path": left["path"].to_numpy()[i[lead]],
-                         "first_id": first_id[pick], "score": score[pick]})
+    return _found(left["path"].to_numpy()[ranked[lead]], first_id[pick], score[pick])
+
+
+def _survivors(block: PathBlock, meets: np.ndarray, threshold: float
+               ) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that may reach the threshold by their characters and, where those leave many
+    pairs, by their bigrams. Both bounds are lossless for pairs without shared tokens."""
+    n_left, n_right = meets.shape
+    t = threshold / 100.0
+
+    def needed(per_char: float, constant: float) -> tuple[np.ndarray, np.ndarray]:
+        # Single precision, loosened by far more than its error.
+        left = per_char * block.left_len + constant - 1e-2
+        return left.astype(np.float32)[:, None], (per_char * block.right_len).astype(np.float32)
+
+    char_left, char_right = needed(0.5 * t, 0.0)
+    pair_left, pair_right = needed(1.5 * t - 1.0, 1.0)
+    characters, bigrams = block.characters(), None
+    found_left, found_right = [], []
+    step = max(1, 1_000_000 // n_right)
+    for at in range(0, n_left, step):
+        part = slice(at, at + step)
+        fits = characters.rows(part) >= char_left[part] + char_right
+        fits &= meets[part]
+        if t >= _SENTINEL_FROM and np.count_nonzero(fits) > _MANY * fits.size:
+            bigrams = bigrams or block.bigrams()
+            fits &= bigrams.rows(part) >= pair_left[part] + pair_right
+        i, j = np.nonzero(fits)
+        found_left.append(i + at)
+        found_right.append(j)
+    return np.concatenate(found_left), np.concatenate(found_right)
 
 
 def best_in_block(threshold: float):
-    """Kernel: pairs sharing a key, cut by length and character bounds, then scored."""
+    """Kernel: pairs sharing a key, cut by two overlap bounds, then scored exactly."""
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        nothing = pd.DataFrame({"path": [], "first_id": [], "score": []})
         if left.empty or right.empty:
-            return nothing
+            return _found()
         left["row"], paths = pd.factorize(left["path"])
         right["row"], ids = pd.factorize(right["first_id"])
         meets = np.zeros((len(paths), len(ids)), dtype=bool)
@@ -127,19 +163,9 @@ def best_in_block(threshold: float):
         left_text = [canonical(path) for path in left["path"]]
         right_text = [canonical(path) for path in right["path"]]
         block = PathBlock(left_text, right_text)
-        # Lossless: both bounds are at least the score of a pair without shared tokens.
-        least = (threshold - 1e-6) / 100.0
-        hits_left, hits_right = [], []
-        for i in range(len(left_text)):
-            j = np.flatnonzero(meets[i])
-            n, m = block.left_len[i], block.right_len[j]
-            j = j[2 * np.minimum(n, m) >= least * (n + m)]
-            j = j[block.bound(i, j) >= threshold - 1e-6]
-            hits_left.append(np.full(len(j), i))
-            hits_right.append(j)
-        i, j = np.concatenate(hits_left), np.concatenate(hits_right)
+        i, j = _survivors(block, meets, threshold)
         if not len(i):
-            return nothing
+            return _found()
         score = block.scores(i, j)
         keep = score >= threshold
         return _best_rows(i[keep], j[keep], score[keep], left, right)
@@ -162,7 +188,7 @@ def _best_sharing_words(threshold: float):
                     found = (-score, first_id)
             if found:
                 best.append((source, found[1], -found[0]))
-        return pd.DataFrame(best, columns=["path", "first_id", "score"])
+        return _found(*map(list, zip(*best))) if best else _found()
 
     return kernel
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from waypost.functions.scoring import INTENT_LABELS
 from waypost.functions.text import build_vocabulary, words
 from waypost.functions.urls import strip
+from waypost.session import hold, spread
 
 _BODY_CHARS = 5_000
 _SCHEMA = "page_id long, cluster_label int, intention string"
@@ -56,14 +57,14 @@ def classify_intent(pages: DataFrame, *, n_clusters: int = 5, max_features: int
     if stop_words is None:
         stop_words = StopWordsRemover.loadDefaultStopWords(
             "french" if language == "french" else "english")
-    pages = classifiable(pages, site)
-    terms = class_terms(pages, stop_words)
-    n_pages = pages.count()
+    # Tokens are stored once: the vocabulary, the fit and the labelling all read them.
+    terms = hold(class_terms(spread(classifiable(pages, site)), stop_words), "class-terms")
+    n_pages = terms.count()
     vocabulary = build_vocabulary(terms, n_pages, min_df=min_df, max_df=max_df,
                                   max_features=max_features)
     listed = vocabulary.orderBy("term_idx").select("term", "idf").collect()  # <= max_features
     if not listed:
-        return pages.sparkSession.createDataFrame([], _SCHEMA)
+        return terms.sparkSession.createDataFrame([], _SCHEMA)
     counts = CountVectorizerModel.from_vocabulary(
         [row["term"] for row in listed], inputCol="terms", outputCol="tf").transform(terms)
     weighed = ElementwiseProduct(scalingVec=Vectors.dense([row["idf"] for row in listed]),

@@ -59,10 +59,13 @@ def hold(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly per-row work on an input of very few files.
+    """Use all cores for costly per-row work on a scan of very few files.
 
-    A large input already has more partitions than cores and is left where it is.
+    A large scan already has more partitions than cores and is left as it is, and so is
+    anything behind a shuffle, where counting partitions would mean running it.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
