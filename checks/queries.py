@@ -19,7 +19,7 @@ from waypost.operators.extract import admissible, extract_links, extract_pages,
 from waypost.operators.fuzzy import match_fuzzy
 from waypost.operators.intent import class_terms, classifiable, classify_intent
 from waypost.plans import discover, match, render, stats
-from waypost.session import shared_dir
+from waypost.session import hold, shared_dir, spread
 from waypost.sources import robots, sitemaps
 from waypost.streaming.incremental import page_intake, redirect_stream
 
@@ -237,9 +237,15 @@ def discover_urls(spark, d):
 
 # --- text
 
+def _texts(spark, d):
+    """Text of both sites, extracted once: vocabulary, vectors and matching all read it."""
+    index = build_page_index(t.head_pages(spark, d))
+    return hold(index.select("page_id", "site", "match_text"), "texts")
+
+
 @query
 def tfidf_vocabulary(spark, d):
-    _, target = t.two_sites(build_page_index(t.head_pages(spark, d)))
+    _, target = t.two_sites(_texts(spark, d))
     return cosine.target_vocabulary(target).select(
         "term", F.col("df").cast("long").alias("df"), F.col("total").cast("long").alias("total"),
         F.round("idf", 6).alias("idf"))
@@ -247,7 +253,7 @@ def tfidf_vocabulary(spark, d):
 
 @query
 def tfidf_weights(spark, d):
-    index = build_page_index(t.head_pages(spark, d))
+    index = _texts(spark, d)
     _, target = t.two_sites(index)
     vocabulary = cosine.target_vocabulary(target)
     return long_weights(cosine.page_vectors(index, vocabulary), vocabulary).withColumn(
@@ -256,9 +262,9 @@ def tfidf_weights(spark, d):
 
 @query
 def class_weights(spark, d):
-    pages = classifiable(t.document_pages(spark, d))
-    terms = class_terms(pages)
-    vocabulary = build_vocabulary(terms, pages.count(), min_df=2, max_df=0.85, max_features=500)
+    pages = spread(classifiable(t.document_pages(spark, d)))
+    terms = hold(class_terms(pages), "class-terms")
+    vocabulary = build_vocabulary(terms, terms.count(), min_df=2, max_df=0.85, max_features=500)
     vectors = weight_vectors(terms, vocabulary, 500, sublinear=False)
     return long_weights(vectors, vocabulary).withColumn("weight", F.round("weight", 6))
 
@@ -285,7 +291,7 @@ def match_exact(spark, d):
 
 @query
 def match_cosine(spark, d):
-    source, target = t.two_sites(build_page_index(t.head_pages(spark, d)))
+    source, target = t.two_sites(_texts(spark, d))
     index = cosine.build_cosine_index(target)
     return cosine.match_cosine(source, index).withColumn("score", F.round("score", 4))
 

@@ -10,6 +10,7 @@ from waypost.operators.rows import dedupe_pages
 from waypost.plans.match import match_sites
 from waypost.plans.render import write_plan
 from waypost.plans.stats import needs_classification
+from waypost.session import scratch_tables
 
 
 def ensure_classified(pages: DataFrame, classifications: DataFrame | None = None,
@@ -38,12 +39,14 @@ def run_migration(old_raw: DataFrame, new_raw: DataFrame, output: str, *,
     dedupe_pages(raw_pages).write.mode("overwrite").partitionBy("site").parquet(f"{output}/pages")
     pages = spark.read.parquet(f"{output}/pages")
 
-    ensure_classified(pages, **(classify or {})).write.mode("overwrite").parquet(
-        f"{output}/classifications")
+    with scratch_tables(spark):
+        ensure_classified(pages, **(classify or {})).write.mode("overwrite").parquet(
+            f"{output}/classifications")
     labels = spark.read.parquet(f"{output}/classifications")
 
-    match_sites(pages.where("site = 'source'"), pages.where("site = 'target'"), labels,
-                **match_params).write.mode("overwrite").parquet(f"{output}/redirects")
+    with scratch_tables(spark):
+        match_sites(pages.where("site = 'source'"), pages.where("site = 'target'"), labels,
+                    **match_params).write.mode("overwrite").parquet(f"{output}/redirects")
     redirects = spark.read.parquet(f"{output}/redirects")
     write_plan(redirects, output, formats, source_domain=source_domain,
                target_domain=target_domain, vhost=vhost, generated_at=generated_at)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark import StorageLevel
@@ -42,6 +45,27 @@ def shared_dir(spark: SparkSession) -> str | None:
     return None
 
 
+_scratch = threading.local()
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables ``hold`` writes inside this block once it ends.
+
+    Results must be written before then. Without it they stay until the shared folder is
+    cleaned, as checkpoints do.
+    """
+    outer, _scratch.paths = getattr(_scratch, "paths", None), []
+    try:
+        yield
+    finally:
+        written, _scratch.paths = _scratch.paths, outer
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        for name in written:
+            path = hadoop.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def hold(df: DataFrame, label: str) -> DataFrame:
     """Compute ``df`` once and read it back from a table in the shared folder.
 
@@ -54,6 +78,8 @@ def hold(df: DataFrame, label: str) -> DataFrame:
     if directory is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     path = f"{directory}/waypost/{label}-{uuid.uuid4().hex}"
+    if getattr(_scratch, "paths", None) is not None:
+        _scratch.paths.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

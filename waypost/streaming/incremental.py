@@ -9,6 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from waypost.operators.extract import extract_pages
 from waypost.operators.rows import dedupe_pages, insert_or_ignore
 from waypost.plans.match import TargetIndex, match_against
+from waypost.session import scratch_tables
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame | None:
@@ -26,10 +27,13 @@ def page_intake(raw: DataFrame, site: str, pages_path: str, *, mode: str = "pars
     rows there and adds nothing, and no unbounded stream state is kept.
     """
     def append(batch: DataFrame, _: int) -> None:
-        pages = extract_pages(batch, site, mode=mode)
-        stored = _stored(batch, pages_path)
-        fresh = dedupe_pages(pages) if stored is None else insert_or_ignore(stored, pages)
-        fresh.write.mode("append").partitionBy("site").parquet(pages_path)
+        pages = extract_pages(batch, site, mode=mode).persist()   # read twice below
+        try:
+            stored = _stored(batch, pages_path)
+            fresh = dedupe_pages(pages) if stored is None else insert_or_ignore(stored, pages)
+            fresh.write.mode("append").partitionBy("site").parquet(pages_path)
+        finally:
+            pages.unpersist()
 
     return raw.writeStream.foreachBatch(append)
 
@@ -41,8 +45,10 @@ def redirect_stream(source: DataFrame, index_path: str, redirects_path: str,
     Every batch writes its own folder, so a repeated batch replaces its first attempt.
     """
     def match(batch: DataFrame, batch_id: int) -> None:
-        index = TargetIndex.load(batch.sparkSession, index_path)
-        match_against(batch, index, **match_params).write.mode("overwrite").parquet(
-            f"{redirects_path}/batch={batch_id}")
+        spark = batch.sparkSession
+        with scratch_tables(spark):
+            index = TargetIndex.load(spark, index_path)
+            match_against(batch, index, **match_params).write.mode("overwrite").parquet(
+                f"{redirects_path}/batch={batch_id}")
 
     return source.writeStream.foreachBatch(match)
