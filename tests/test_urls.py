@@ -1,9 +1,11 @@
 import hashlib
-from urllib.parse import urlparse, urlunparse
+from urllib.parse import urljoin, urlparse, urlunparse
 
 from pyspark.sql import functions as F
 
-from waypost.functions.urls import ancestor_paths, build_page_index, level_one_path, parent_path
+from waypost.functions.urls import (
+    ancestor_paths, build_page_index, level_one_path, parent_path, raw_path, resolve_link,
+)
 
 URLS = [
     "http://a.com/x y|z/", "https://a.com", "a.com/p", "/b;c/d;e;f?x#y", "/Foo//Bar///",
@@ -62,3 +64,20 @@ def test_match_text_joins_fields_and_url_words(spark):
         [(1, "http://a.com/x-y_z/", " T ", None, "d")],
         "page_id long, url string, title string, h1 string, description string")
     assert build_page_index(df).first().match_text == "T  d http:  a.com x y z"
+
+
+def test_links_resolve_like_the_standard_join(spark):
+    bases = ["https://a.com/d/e/page?q=1", "https://a.com", "https://a.com/x/", "https://a.com/p;v/q"]
+    hrefs = ["/a?x", "b/c#f", "../up", "../../../up", "https://b.com/Z;p", "//c.com/x", "mailto:x@y", "",
+             "#t", "?q", "/r/../dots", "/r/./s/..", ".", "..", "./x/", "b//c/", "...", "/.well-known/x",
+             "x/.hidden", "/a/b/../../../c"]
+    df = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "base string, href string")
+    full = resolve_link(F.col("base"), F.col("href"))
+    for row in df.select("*", full.alias("full"), raw_path(full).alias("path")).collect():
+        want = urlparse(urljoin(row.base, row.href))
+        if want.scheme not in ("http", "https"):
+            assert row.full is None
+            continue
+        got = urlparse(row.full)
+        assert (got.scheme, got.netloc) == (want.scheme, want.netloc), row
+        assert (row.path or "/") == (want.path or "/"), row

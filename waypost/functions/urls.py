@@ -69,6 +69,36 @@ def _rebuilt(head: Column, host: Column, tail: Column) -> Column:
     )
 
 
+def _without_dots(full: Column) -> Column:
+    """A path with its ``.`` and ``..`` parts resolved; ``..`` at the root goes nowhere."""
+    parts = F.split(full, "/")
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda acc, part: F.when(part == "..", F.slice(acc, F.lit(1), F.greatest(
+            F.size(acc) - 1, F.least(F.size(acc), F.lit(1)))))
+        .when(part == ".", acc).otherwise(F.concat(acc, F.array(part))))
+    folder = F.when(full.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.rtrim(F.array_join(kept, "/"), F.when(folder == "/", F.lit("/"))
+                            .otherwise(F.lit(""))), folder)
+
+
+def resolve_link(base: Column, href: Column) -> Column:
+    """Absolute URL of a link on page ``base``; NULL for other schemes than http(s)."""
+    head = F.lower(scheme(href))
+    bare = F.regexp_extract(href, r"^([^?#]*)", 1)
+    here = raw_path(base)
+    folder = F.concat(F.lit("/"), F.ltrim(F.regexp_extract(here, r"^(.*/)", 1), F.lit("/")))
+    joined = F.when(bare == "", here).when(bare.startswith("/"), bare).otherwise(
+        F.regexp_replace(F.concat(folder, bare), "/+", "/"))
+    settled = F.when(joined.contains("/."), _without_dots(joined)).otherwise(joined)
+    return (
+        F.when(head.isin("http", "https"), href)
+        .when(head != "", F.lit(None))
+        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
+        .otherwise(F.concat(origin(base), settled))
+    )
+
+
 def path_segments(url: Column) -> Column:
     """Non-empty path parts, in lower case; a trailing blank stays in the last part."""
     left = F.ltrim(url, F.lit(WHITESPACE))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,7 +11,7 @@ from waypost.functions.html import (
     BODY_LIMIT, json_blocks, meta_tags, parse_page, pattern_body, pattern_description, pattern_h1,
     pattern_hrefs, pattern_title, visible,
 )
-from waypost.functions.urls import netloc, raw_path, scheme
+from waypost.functions.urls import netloc, raw_path, resolve_link, scheme
 from waypost.session import spread
 
 # Identifier keys in the order they are tried.
@@ -200,35 +199,15 @@ def _fold_code(acc: Column, product: Column) -> Column:
 def extract_links(raw: DataFrame) -> DataFrame:
     """``(src_url, dst_url)``: links of a page to its own host, without query or fragment.
 
-    Root-relative and absolute links are resolved with expressions; only the other relative
-    forms visit Python.
+    One pass of built-in expressions over the html; links never visit Python.
     """
     hrefs = raw.select("url", F.explode_outer(pattern_hrefs(visible(F.col("html")))).alias("href"))
-    hrefs = hrefs.where(F.col("href").isNotNull())
     href = F.translate(F.trim("href"), "\t\r\n", "")
-
-    @F.pandas_udf("string")
-    def join(base: pd.Series, link: pd.Series) -> pd.Series:
-        return pd.Series([_joined(b, x) for b, x in zip(base, link)])
-
-    hrefs = hrefs.select("url", href.alias("href"))
-    rooted = F.col("href").rlike(r"^/(?!/)") & ~F.col("href").contains("/.")
-    absolute = F.col("href").rlike("(?i)^https?://") & ~F.col("href").contains("/.")
-    plain = hrefs.where(rooted | absolute).select(
-        "url", F.when(absolute, F.col("href")).otherwise(
-            F.concat(scheme(F.col("url")), F.lit("://"), netloc(F.col("url")), F.col("href"))
-        ).alias("full"))
-    other = hrefs.where(~(rooted | absolute)).select("url", join("url", "href").alias("full"))
     full = F.col("full")
-    return plain.unionByName(other).select(
+    return hrefs.where(F.col("href").isNotNull()).select(
+        "url", resolve_link(F.col("url"), href).alias("full")
+    ).where(full.isNotNull()).select(
         F.col("url").alias("src_url"), F.lower(scheme(full)).alias("head"),
         netloc(full).alias("host"), netloc(F.col("url")).alias("own"), raw_path(full).alias("path"),
     ).where(F.col("head").isin("http", "https") & (F.col("host") == F.col("own"))).select(
         "src_url", F.concat("head", F.lit("://"), "host", "path").alias("dst_url"))
-
-
-def _joined(base: str, link: str) -> str | None:
-    try:
-        return urljoin(base, link)
-    except ValueError:
-        return None

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from waypost.functions.urls import origin
 from waypost.operators.links import MAX_DEPTH, reachable
 from waypost.operators.rows import distinct_in_order
+from waypost.session import hold
 from waypost.sources.robots import discover_sitemaps, robots_filter
 from waypost.sources.sitemaps import expand_sitemaps
 
@@ -43,6 +44,8 @@ def discover_urls(seeds: DataFrame, edges: DataFrame, *, robots: DataFrame | Non
         edges = robots_filter(edges.withColumnRenamed("dst_url", "url"), robots
                               ).withColumnRenamed("url", "dst_url")
     if follow_links:
+        # Every level reads the edges; links still to be extracted would be extracted again.
+        edges = hold(edges.select("src_url", "dst_url"), "edges")
         return reachable(seeds, edges, max_depth=max_depth, max_pages=max_pages)
     listed = seeds.groupBy("url").agg(F.min("ord").alias("ord"))
     if max_pages is not None:
