@@ -201,7 +201,8 @@ def extract_links(raw: DataFrame) -> DataFrame:
 
     One pass of built-in expressions over the html; links never visit Python.
     """
-    hrefs = raw.select("url", F.explode_outer(pattern_hrefs(visible(F.col("html")))).alias("href"))
+    hrefs = spread(raw.select("url", "html")).select(
+        "url", F.explode_outer(pattern_hrefs(visible(F.col("html")))).alias("href"))
     href = F.translate(F.trim("href"), "\t\r\n", "")
     full = F.col("full")
     return hrefs.where(F.col("href").isNotNull()).select(
