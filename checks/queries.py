@@ -195,7 +195,7 @@ def discover_sitemaps(spark, d):
 @query
 def sitemap_urls(spark, d):
     documents = t.sitemap_documents(spark, d)
-    roots = documents.where(F.col("sitemap_url").startswith("map:domain-")
+    roots = documents.where(F.col("sitemap_url").startswith("map:high-")
                             | F.col("sitemap_url").startswith("map:broken-"))
     return sitemaps.expand_sitemaps(roots, documents)
 

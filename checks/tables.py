@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waypost.functions.scoring import INTENT_LABELS
-from waypost.functions.urls import netloc, origin
+from waypost.functions.urls import origin
 from waypost.operators.extract import extract_pages
 
 CONTENT_TYPES = ("text/html; charset=utf-8", "application/pdf")
@@ -113,27 +113,30 @@ def robots_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sitemap_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sitemap per page and an index per host and per top-level domain."""
+    """A sitemap per page below two levels of indexes, each listing at most 50 documents, and
+    a malformed document per origin."""
     ns = ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
-    url = F.replace("url", F.lit("&"), F.lit("&amp;"))
+
+    def name(level: str, number: Column) -> Column:
+        return F.concat(F.lit(f"map:{level}-"), number.cast("string"))
+
+    key = F.col("page_id")
     pages = read(spark, sf_dir, "pages").select(
-        "page_id", url.alias("url"), netloc(F.col("url")).alias("host"),
-        F.concat(F.lit("map:page-"), F.col("page_id").cast("string")).alias("leaf"))
+        F.replace("url", F.lit("&"), F.lit("&amp;")).alias("url"), origin(F.col("url")).alias("origin"),
+        name("page", key).alias("leaf"), name("low", F.floor(key / 50)).alias("low"),
+        name("high", F.floor(key / 2_500)).alias("high"))
     leaf = pages.select(F.col("leaf").alias("sitemap_url"), F.concat(
         F.lit(f"<urlset{ns}><url><loc> "), "url", F.lit(" </loc></url></urlset>")).alias("xml"))
 
-    def index(rows: DataFrame, key: Column, child: Column) -> DataFrame:
-        locs = F.concat(F.lit("<sitemap><loc>"), child, F.lit("</loc></sitemap>"))
-        return rows.groupBy(key.alias("sitemap_url")).agg(F.concat(
+    def index(parent: str, child: str) -> DataFrame:
+        locs = F.concat(F.lit("<sitemap><loc>"), F.col(child), F.lit("</loc></sitemap>"))
+        return pages.groupBy(F.col(parent).alias("sitemap_url")).agg(F.concat(
             F.lit(f"<sitemapindex{ns}>"), F.array_join(F.collect_set(locs), ""),
             F.lit("</sitemapindex>")).alias("xml"))
 
-    host = F.concat(F.lit("map:host-"), F.col("host"))
-    domain = F.concat(F.lit("map:domain-"), F.regexp_extract("host", r"([^.]*)$", 1))
-    broken = pages.select(F.concat(F.lit("map:broken-"), F.col("host")).alias("sitemap_url")
+    broken = pages.select(F.concat(F.lit("map:broken-"), F.col("origin")).alias("sitemap_url")
                           ).distinct().withColumn("xml", F.lit("<urlset><url>"))
-    return leaf.unionByName(index(pages, host, F.col("leaf"))).unionByName(
-        index(pages, domain, host)).unionByName(broken)
+    return leaf.unionByName(index("low", "leaf")).unionByName(index("high", "low")).unionByName(broken)
 
 
 def order_links(spark: SparkSession, sf_dir: str) -> DataFrame:
