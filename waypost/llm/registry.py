@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from waypost.llm import lines, mixing, simhash, sql, substrings
+from waypost.llm import lines, mixing, pages, pieces, quality, simhash, sql, substrings
 
 QUERIES = {
+    "op2_main_text": pages.query,
+    "op4_pieces": pieces.query,
+    "op5_quality": quality.query,
     "op7_line_dedup": lines.query,
     "op8_simhash": simhash.query,
     "op9_substring_dedup": substrings.query,
