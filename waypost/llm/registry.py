@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from waypost.llm import lines, mixing, pages, pieces, quality, simhash, sql, substrings
+from waypost.llm import caps, lines, mixing, neighbours, pages, pieces, quality, simhash, sql, substrings
 
 QUERIES = {
+    "op3_neighbours": neighbours.query,
     "op2_main_text": pages.query,
     "op4_pieces": pieces.query,
     "op5_quality": quality.query,
+    "op6_near_vectors": caps.query,
     "op7_line_dedup": lines.query,
     "op8_simhash": simhash.query,
     "op9_substring_dedup": substrings.query,

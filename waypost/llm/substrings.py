@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waypost.llm.rows import keyed, shown_id
 from waypost.llm.words import Words, mixed, window_hashes, word_chunks, word_hashes
+from waypost.llm.store import steps
 from waypost.session import hold
 
 SIZE = 20
@@ -93,9 +94,9 @@ def anchors(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return docs.select("text").mapInArrow(run, "anchor long")
 
 
-def pieces(docs: DataFrame, size: int = SIZE, wanted=None) -> DataFrame:
-    """(id, th, start, anchor, s1, s2, windows) of keyed texts, with anchors in ``wanted`` if given
-    (a broadcast sorted array)."""
+def pieces(docs: DataFrame, size: int = SIZE, wanted=None, windows: bool = True) -> DataFrame:
+    """(id, th, start, n, anchor, s1, s2, windows) of keyed texts, with anchors in ``wanted`` if given
+    (a broadcast sorted array); without ``windows`` only how many there are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = (batch.column(i).to_numpy() for i in (0, 1))
@@ -108,45 +109,55 @@ def pieces(docs: DataFrame, size: int = SIZE, wanted=None) -> DataFrame:
                     near = np.searchsorted(there, found.anchors)
                     near[near == len(there)] = 0
                     chosen = np.flatnonzero(there[near] == found.anchors) if len(there) else np.zeros(0, int)
-                flat, offsets = found.windows(chosen)
                 row = found.rows[chosen] + words.first
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[row]), pa.array(keys[row]), pa.array(found.starts[chosen].astype(np.int32)),
-                    _signed(found.anchors[chosen]), _signed(found.spans(0, chosen)), _signed(found.spans(1, chosen)),
-                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), _signed(flat)),
-                ], names=["id", "th", "start", "anchor", "s1", "s2", "windows"])
+                columns = {
+                    "id": pa.array(ids[row]), "th": pa.array(keys[row]),
+                    "start": pa.array(found.starts[chosen].astype(np.int32)),
+                    "n": pa.array(found.lengths[chosen].astype(np.int32)), "anchor": _signed(found.anchors[chosen]),
+                    "s1": _signed(found.spans(0, chosen)), "s2": _signed(found.spans(1, chosen))}
+                if windows:
+                    flat, offsets = found.windows(chosen)
+                    columns["windows"] = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), _signed(flat))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.mapInArrow(
-        run, "id long, th long, start int, anchor long, s1 long, s2 long, windows array<long>")
+    return docs.mapInArrow(run, "id long, th long, start int, n int, anchor long, s1 long, s2 long"
+                           + (", windows array<long>" if windows else ""))
 
 
 def repeated_spans(docs: DataFrame, size: int = SIZE, sent_anchors: int = SENT_ANCHORS) -> DataFrame:
-    """(id, th, first, last): word ranges covered by windows that start earlier elsewhere.
+    """(id, th, firsts, lasts): word ranges covered by windows that start earlier elsewhere.
 
-    Ranges of a document may overlap. ``docs`` is as ``rows.keyed`` gives it.
+    Ranges of a document may overlap. ``docs`` is as ``rows.keyed`` gives it. The texts are read
+    again for each step, which costs less disk than keeping their windows.
     """
     spark = docs.sparkSession
-    repeated = hold(anchors(docs, size).groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
-    if repeated.count() <= sent_anchors:
-        listed = np.sort(repeated.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
-        found = pieces(docs, size, spark.sparkContext.broadcast(listed))
-    else:
-        found = pieces(docs, size).join(repeated, "anchor", "left_semi")
-    found = hold(found, "pieces")
     own = F.struct("id", "th", "start")
-    first = hold(found.groupBy("s1", "s2").agg(F.min(own).alias("source")), "sources")
-    narrow = found.select("id", "th", "start", "s1", "s2", F.size("windows").alias("n"))
-    copies = narrow.join(first, ["s1", "s2"]).where(own != F.col("source")).select(
-        "id", "th", F.col("start").alias("first"), (F.col("start") + F.col("n") + (size - 2)).alias("last"))
-    distinct = found.join(first, ["s1", "s2"]).where(own == F.col("source"))
-    edges = distinct.select("id", "th", "start", "anchor", F.posexplode("windows").alias("i", "window")).select(
-        "id", "th", (F.col("start") + F.col("i")).alias("start"), "anchor", "window")
-    edges = hold(edges, "edges")
-    shared = edges.groupBy("anchor", "window").agg(
-        F.min(own).alias("source"), F.max(own).alias("latest")).where("source != latest").drop("latest")
-    later = edges.join(shared, ["anchor", "window"]).where(own != F.col("source")).select(
-        "id", "th", F.col("start").alias("first"), (F.col("start") + (size - 1)).alias("last"))
-    return copies.unionByName(later)
+    with steps(spark):
+        repeated = hold(anchors(docs, size).groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
+        wanted = None
+        if repeated.count() <= sent_anchors:
+            listed = repeated.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
+            wanted = spark.sparkContext.broadcast(np.sort(listed))
+
+        def found(windows: bool) -> DataFrame:
+            some = pieces(docs, size, wanted, windows)
+            return some if wanted is not None else some.join(repeated, "anchor", "left_semi")
+
+        narrow = hold(found(False).drop("anchor"), "pieces")
+        first = hold(narrow.groupBy("s1", "s2").agg(F.min(own).alias("source")), "sources")
+        copies = hold(narrow.join(first, ["s1", "s2"]).where(own != F.col("source")).select(
+            "id", "th", F.col("start").alias("first"), (F.col("start") + F.col("n") + (size - 2)).alias("last")),
+            "copies")
+        sources = first.select("s1", "s2", "source.*")
+        edges = hold(found(True).join(sources, ["s1", "s2", "id", "th", "start"], "left_semi").select(
+            "id", "th", "start", "anchor", F.posexplode("windows").alias("i", "window")).select(
+            "id", "th", (F.col("start") + F.col("i")).alias("start"), "anchor", "window"), "edges")
+        shared = edges.groupBy("anchor", "window").agg(
+            F.min(own).alias("source"), F.max(own).alias("latest")).where("source != latest").drop("latest")
+        later = edges.join(shared, ["anchor", "window"]).where(own != F.col("source")).select(
+            "id", "th", F.col("start").alias("first"), (F.col("start") + (size - 1)).alias("last"))
+        return hold(copies.unionByName(later).groupBy("id", "th").agg(
+            F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts")), "spans", scratch=False)
 
 
 def _kept(text: bytes, firsts, lasts) -> tuple[int, list[bytes]]:
@@ -170,8 +181,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE, sent_anchors: int = SENT_
     repeat one another. Other columns are ignored.
     """
     texts = keyed(docs)
-    spans = repeated_spans(texts, size, sent_anchors).groupBy("id", "th").agg(
-        F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
+    spans = repeated_spans(texts, size, sent_anchors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
