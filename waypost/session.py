@@ -66,19 +66,20 @@ def scratch_tables(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def hold(df: DataFrame, label: str) -> DataFrame:
+def hold(df: DataFrame, label: str, scratch: bool = True) -> DataFrame:
     """Compute ``df`` once and read it back from a table in the shared folder.
 
     Later steps then start from parquet: lineage is cut, lost executors cost only their own
     tasks, unused columns are never read again, and the planner knows the true size. Without
-    a shared folder the rows are persisted with their lineage instead.
+    a shared folder the rows are persisted with their lineage instead. With ``scratch`` false the
+    table outlives the ``scratch_tables`` block it is written in.
     """
     spark = df.sparkSession
     directory = shared_dir(spark)
     if directory is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     path = f"{directory}/waypost/{label}-{uuid.uuid4().hex}"
-    if getattr(_scratch, "paths", None) is not None:
+    if scratch and getattr(_scratch, "paths", None) is not None:
         _scratch.paths.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
