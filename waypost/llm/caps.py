@@ -32,6 +32,7 @@ SIMILARITY = 0.93
 #: codes, two random vectors of cosine 0.93 in 64 dimensions miss each other with probability 0.27, in
 #: all of them with 2.4e-5, and ever less as they come nearer.
 CODES, PARTS, DIRECTIONS, THRESHOLD = 8, 2, 512, 3.7
+LEAST_DIM = 64
 #: Vectors of one filter that are compared with each other in one group, at most twice as many.
 BLOCK = 512
 #: Groups up to this size are compared together.
@@ -50,16 +51,17 @@ class Filters:
 
 def filters(dim: int, parts: int = PARTS, directions: int = DIRECTIONS, threshold: float = THRESHOLD,
             seed: int = 42) -> Filters:
-    """A product code for vectors of ``dim`` dimensions, fewer blocks if there are fewer dimensions."""
+    """A product code for vectors of ``dim`` dimensions. Short vectors are turned into a space of
+    ``LEAST_DIM`` dimensions, where the threshold means the same."""
     rng = np.random.default_rng(seed)
-    rotation, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
-    parts = min(parts, dim)
-    cuts = tuple(np.linspace(0, dim, parts + 1).astype(int))
+    wide = max(dim, LEAST_DIM)
+    rotation, _ = np.linalg.qr(rng.standard_normal((wide, wide)))
+    cuts = tuple(np.linspace(0, wide, parts + 1).astype(int))
     codes = []
     for begin, end in zip(cuts, cuts[1:]):
         code = rng.standard_normal((directions, end - begin))
-        codes.append(code / np.linalg.norm(code, axis=1)[:, None] * np.sqrt((end - begin) / dim))
-    return Filters(rotation, cuts, tuple(codes), threshold / np.sqrt(dim))
+        codes.append(code / np.linalg.norm(code, axis=1)[:, None] * np.sqrt((end - begin) / wide))
+    return Filters(rotation[:dim], cuts, tuple(codes), threshold / np.sqrt(wide))
 
 
 def passed(own: Filters, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
