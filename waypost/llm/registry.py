@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from waypost.llm import caps, lines, mixing, neighbours, pages, pieces, quality, simhash, sql, substrings
+from waypost.llm import caps, lines, mixing, neighbours, pages, pieces, quality, scoring, simhash, sql, substrings
 
 QUERIES = {
+    "op1_lm_scores": scoring.query,
     "op3_neighbours": neighbours.query,
     "op2_main_text": pages.query,
     "op4_pieces": pieces.query,
