@@ -1,7 +1,7 @@
 """Text operators against brute force on small tables with odd rows."""
 
-import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -287,7 +287,6 @@ def test_lm_counts_base_and_windows(spark):
     rows = corpus(9)
     for head in (4, 65_536):
         got = scoring.lm_scores(frame(spark, rows), rounds=1, every=2, head=head).collect()
-        import zlib
         learned = [t for d, t, _ in rows if d is None or zlib.crc32(str(d).encode()) % 7 != 2]
         c = Counter(w for t in learned for w in lower(t))
         c[None] = len(learned)
@@ -297,12 +296,9 @@ def test_lm_counts_base_and_windows(spark):
             own = lower(t) + [None]
             base = sum(np.log10((c[w] + 1) / (total + kinds + 1)) for w in own)
             want.append(str((d, d is not None and zlib.crc32(str(d).encode()) % 7 == 2, len(own),
-                             sum(c[w] > 0 for w in own), total, round(base, 5))))
+                             sum(c[w] > 0 for w in own), total, round(float(base), 5))))
         assert sorted(str((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)))
                       for r in got) == sorted(want)
         assert all(np.isfinite(r.score) and r.score < 0 for r in got)
     assert scoring.lm_scores(frame(spark, [])).count() == 0
 
-
-def test_sha_of_kept_words():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

@@ -63,17 +63,16 @@ def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
     return found
 
 
-_LATER = np.triu(np.ones((WINDOW, WINDOW), bool), 1)
+_EARLIER = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
 def _attend(q: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Attention of each place to itself and earlier ones."""
+    """Attention of the last places, as many as ``q`` has, to themselves and earlier ones, not yet
+    divided by its sum."""
     scores = q @ k.transpose(0, 2, 1)
-    scores *= np.float32(WIDTH ** -0.5)
-    np.clip(scores, -30, 30, out=scores)
+    np.minimum(scores, 60, out=scores)
     np.exp(scores, out=scores)
-    scores[:, _LATER] = 0
-    scores /= scores.sum(axis=2, keepdims=True)
+    scores *= _EARLIER[WINDOW - q.shape[1]:]
     return scores
 
 
@@ -94,23 +93,40 @@ class Scorer:
 
     def __init__(self, weights: dict[str, np.ndarray], table: Bigrams):
         self.table, self.uc, self.um = table, weights["uc"], weights["um"]
-        self.parts = [(weights["embed"] @ weights[name], weights["place"] @ weights[name])
-                      for name in ("wq", "wk", "wv")]
+        scaled = weights["wq"] * weights["wq"].dtype.type(WIDTH ** -0.5)
+        self.parts = [(weights["embed"] @ own, weights["place"] @ own)
+                      for own in (scaled, weights["wk"], weights["wv"])]
+
+    def _heads(self, pieces: np.ndarray, places: int) -> np.ndarray:
+        """What the last ``places`` of each window gather from the window."""
+        (q, q_place), (k, k_place), (v, v_place) = self.parts
+        asked = q[pieces[:, WINDOW - places:]] + q_place[WINDOW - places:]
+        values = np.ones((*pieces.shape, WIDTH + 1), v.dtype)
+        np.add(v[pieces], v_place, out=values[:, :, :WIDTH])
+        # The column of ones adds up the weights.
+        found = _attend(asked, k[pieces] + k_place) @ values
+        return found[:, :, :WIDTH] / found[:, :, WIDTH:]
 
     def windows(self, pieces: np.ndarray, target: np.ndarray, scored: np.ndarray) -> np.ndarray:
         """Natural log probabilities at the places of (n, WINDOW) windows where ``scored``."""
-        q, k, v = (own[pieces] + place for own, place in self.parts)
-        seen = (_attend(q, k) @ v)[scored]
-        pieces, target = pieces[scored], target[scored]
+        heads = np.zeros((*pieces.shape, WIDTH), self.uc.dtype)
+        late = ~scored[:, :WINDOW - STRIDE].any(axis=1)
+        if late.any():
+            heads[late, WINDOW - STRIDE:] = self._heads(pieces[late], STRIDE)
+        if not late.all():
+            heads[~late] = self._heads(pieces[~late], WINDOW)
+        order, bounds = _by_class(target[scored])
+        seen, pieces, target = heads[scored][order], pieces[scored][order], target[scored][order]
         members = VOCABULARY // CLASSES
         found = _chosen(self.table.classes[pieces] + seen @ self.uc, target // members)
-        order, bounds = _by_class(target)
         for c in range(CLASSES):
-            rows = order[bounds[c]:bounds[c + 1]]
-            if len(rows):
+            rows = slice(bounds[c], bounds[c + 1])
+            if bounds[c] < bounds[c + 1]:
                 found[rows] += _chosen(self.table.members[pieces[rows], c] + seen[rows] @ self.um[c],
                                        target[rows] % members)
-        return found
+        result = np.empty_like(found)
+        result[order] = found
+        return result
 
 
 def loss_and_slopes(weights: dict[str, np.ndarray], table: Bigrams, pieces: np.ndarray, target: np.ndarray,
@@ -119,7 +135,8 @@ def loss_and_slopes(weights: dict[str, np.ndarray], table: Bigrams, pieces: np.n
     members, root = VOCABULARY // CLASSES, np.float32(WIDTH ** -0.5)
     x = weights["embed"][pieces] + weights["place"]
     q, k, v = (x @ weights[name] for name in ("wq", "wk", "wv"))
-    attention = _attend(q, k)
+    attention = _attend(q * root, k)
+    attention /= attention.sum(axis=2, keepdims=True)
     heads = attention @ v
     seen, before, after = heads[scored], pieces[scored], target[scored]
     n = len(after)
