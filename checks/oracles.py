@@ -66,8 +66,8 @@ MARKUP = (r"'(?is)<!--.*?-->|<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style
 
 
 def body(decode) -> str:
-    return (f"substr(array_to_string(list_filter(list_transform(regexp_split_to_array({BODY_HTML}, "
-            f"{MARKUP}), lambda p: {stripped(decode('p'))}), lambda p: p <> ''), ' '), 1, 20000)")
+    return (f"array_to_string(list_filter(list_transform(regexp_split_to_array({BODY_HTML}, "
+            f"{MARKUP}), lambda p: {stripped(decode('p'))}), lambda p: p <> ''), ' ')")
 
 
 def also_bare_ampersand(text: str) -> str:
@@ -405,7 +405,7 @@ ORACLES.update({
         SELECT page_id, term, round(weight, 6) AS weight FROM weights""",
     "class_weights": rf"""WITH {DOCS},
         occ AS (SELECT page_id, unnest(regexp_extract_all(lower(concat_ws(' ', title, title, title,
-                '', '', '', '', {stripped('substr(body_text, 1, 5000)')})), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term
+                '', '', '', '', {stripped('body_text')})), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term
                 FROM docs WHERE body_text <> ''),
         n AS (SELECT count(*) AS n FROM docs WHERE body_text <> ''),
         tf AS (SELECT page_id, term, count(*) AS tf FROM occ GROUP BY ALL),

@@ -60,8 +60,10 @@ def test_description(spark, mode, tags, want):
 
 
 @pytest.mark.parametrize("mode", MODES)
-def test_body_is_cut_by_characters(spark, mode):
-    assert len(one(spark, "<body>" + "é" * 20_001 + "</body>", mode).body_text) == 20_000
+def test_body_is_whole_unless_a_limit_is_asked_for(spark, mode):
+    long = [one(spark, "<body>" + "é" * 30_000 + end + "</body>", mode) for end in "ab"]
+    assert [len(page.body_text) for page in long] == [30_001, 30_001]
+    assert long[0].content_hash != long[1].content_hash
     assert one(spark, "<body>abcdef</body>", mode, body_limit=3).body_text == "abc"
 
 

@@ -74,3 +74,11 @@ def test_one_word_in_a_third_of_the_paths(spark):
 def test_threshold_must_be_positive(spark):
     with pytest.raises(ValueError):
         run(spark, ["/a"], [("/a", 1)], threshold=0)
+
+
+def test_pairs_sharing_a_word_are_scored_by_words_only(spark):
+    source = spark.createDataFrame([("c ca bca",)], "path string")
+    target = spark.createDataFrame([("cca ca", 1)], "path string, first_id long")
+    assert match_fuzzy(source, target, threshold=75).count() == 0
+    found = match_fuzzy(source, target, threshold=70).collect()
+    assert [round(r.score, 2) for r in found] == [71.43]

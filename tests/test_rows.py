@@ -60,3 +60,14 @@ def test_text_lists(spark, tmp_path):
     path.write_text(" https://a.com/1 \n\n\thttps://a.com/é\r\n", encoding="utf-8")
     assert [r.url for r in read_url_list(spark, str(path)).collect()] == [
         "https://a.com/1", "https://a.com/é"]
+
+
+def test_repeated_rows_are_folded(spark):
+    df = spark.createDataFrame(
+        [(1, "u", "s", "a"), (1, "u", "s", "a"), (1, "u", "s", "b"), (2, "u", "s", "c"), (1, "v", "s", "d")],
+        "page_id long, url string, site string, title string")
+    got = sorted((r.page_id, r.url) for r in rows.dedupe_pages(df).collect())
+    assert got == [(1, "u"), (1, "v")]
+    stored = spark.createDataFrame([(1, 0, "x"), (3, 0, "y")], "page_id long, cluster_label int, intention string")
+    new = spark.createDataFrame([(1, 1, "p"), (1, 2, "q")], "page_id long, cluster_label int, intention string")
+    assert sorted(map(tuple, rows.upsert_classifications(stored, new).collect())) == [(1, 2, "q"), (3, 0, "y")]

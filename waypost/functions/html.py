@@ -21,7 +21,7 @@ ENTITIES = {
     "&hellip;": "…", "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&amp;": "&",
 }
 
-BODY_LIMIT = 20_000   # characters of body text that are stored
+BODY_LIMIT: int | None = None   # characters of body text that are stored; None: all
 
 _TITLE = r"(?is)<title[^>]*>(.*?)</title"
 _H1 = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1"
@@ -63,9 +63,10 @@ def pattern_h1(markup: Column) -> Column:
     return F.array_join(F.transform(found, lambda inner: F.array_join(text_nodes(inner), "")), " | ")
 
 
-def pattern_body(markup: Column, limit: int = BODY_LIMIT) -> Column:
+def pattern_body(markup: Column, limit: int | None = BODY_LIMIT) -> Column:
     body = F.regexp_replace(F.regexp_extract(markup, _BODY, 1), _BODY_END, "")
-    return F.substring(F.array_join(text_nodes(body), " "), 1, limit)
+    text = F.array_join(text_nodes(body), " ")
+    return text if limit is None else F.substring(text, 1, limit)
 
 
 def meta_tags(markup: Column) -> Column:

@@ -8,9 +8,6 @@ from waypost.session import hold
 
 _WORD = r"[\p{L}\p{N}_]{2,}"
 
-# A vocabulary up to this many terms is joined by broadcast; a larger one is shuffled.
-BROADCAST_TERMS = 100_000
-
 
 def words(text: Column) -> Column:
     """Lower-case runs of two or more letters, digits or underscores."""
@@ -79,8 +76,6 @@ def weight_vectors(terms: DataFrame, vocabulary: DataFrame, max_features: int,
     without a vocabulary term have no row.
     """
     lookup = vocabulary.select("term", "term_idx", "idf")
-    if max_features <= BROADCAST_TERMS:
-        lookup = F.broadcast(lookup)
     # The outer form keeps the optimizer from evaluating the whole array twice, once to test
     # that it is not empty; the inner join drops the extra null.
     hits = terms.select("page_id", F.explode_outer("terms").alias("term")).join(lookup, "term")

@@ -145,6 +145,17 @@ def _survivors(block: PathBlock, meets: np.ndarray, threshold: float
     return np.concatenate(found_left), np.concatenate(found_right)
 
 
+def _sharing_words(left: list[str], right: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Pairs of paths with blanks that share a word: the token-set score holds for them instead."""
+    left_words, right_words = ([set(path.split()) for path in side] for side in (left, right))
+    blank = np.array([len(words) > 1 for words in left_words])[i] | np.array(
+        [len(words) > 1 for words in right_words])[j]
+    shared = np.zeros(len(i), dtype=bool)
+    for k in np.flatnonzero(blank):
+        shared[k] = not left_words[i[k]].isdisjoint(right_words[j[k]])
+    return shared
+
+
 def best_in_block(threshold: float):
     """Kernel: pairs sharing a key, cut by two overlap bounds, then scored exactly."""
 
@@ -164,6 +175,8 @@ def best_in_block(threshold: float):
         right_text = [canonical(path) for path in right["path"]]
         block = PathBlock(left_text, right_text)
         i, j = _survivors(block, meets, threshold)
+        apart = ~_sharing_words(left["path"].to_list(), right["path"].to_list(), i, j)
+        i, j = i[apart], j[apart]
         if not len(i):
             return _found()
         score = block.scores(i, j)

@@ -12,16 +12,16 @@ from waypost.functions.text import build_vocabulary, words
 from waypost.functions.urls import strip
 from waypost.session import hold, spread
 
-_BODY_CHARS = 5_000
 _SCHEMA = "page_id long, cluster_label int, intention string"
 
 
-def class_text() -> Column:
-    """Title and headings three times, description, then the start of the body."""
+def class_text(body_chars: int | None = None) -> Column:
+    """Title and headings three times, description, then the body or its first ``body_chars``."""
     def field(name: str) -> Column:
         return strip(F.coalesce(F.col(name), F.lit("")))
 
-    body = strip(F.substring(F.coalesce(F.col("body_text"), F.lit("")), 1, _BODY_CHARS))
+    body = F.coalesce(F.col("body_text"), F.lit(""))
+    body = strip(body if body_chars is None else F.substring(body, 1, body_chars))
     return F.concat_ws(" ", *[field("title")] * 3, *[field("h1")] * 3, field("description"), body)
 
 
@@ -48,7 +48,7 @@ def intention_of(cluster: Column) -> Column:
 def classify_intent(pages: DataFrame, *, n_clusters: int = 5, max_features: int = 5_000,
                     min_df: int = 2, max_df: float = 0.85, language: str = "french",
                     stop_words: list[str] | None = None, site: str | None = None,
-                    seed: int = 42) -> DataFrame:
+                    seed: int = 42, max_iter: int = 200) -> DataFrame:
     """``(page_id, cluster_label, intention)`` for every page with body text.
 
     Clusters are numbered by size, then by their lowest page, so a rerun keeps its labels.
@@ -75,7 +75,7 @@ def classify_intent(pages: DataFrame, *, n_clusters: int = 5, max_features: int
     if k < 2:
         found = features.select("page_id", F.lit(0).alias("prediction"))
     else:
-        model = KMeans(k=k, seed=seed, featuresCol="features").fit(features)
+        model = KMeans(k=k, seed=seed, featuresCol="features", maxIter=max_iter).fit(features)
         found = model.transform(features).select("page_id", "prediction")
     # At most n_clusters rows.
     sizes = found.groupBy("prediction").agg(

@@ -12,13 +12,16 @@ def pages_of_site(pages: DataFrame, site: str) -> DataFrame:
 
 
 def dedupe_pages(pages: DataFrame) -> DataFrame:
-    """One row per ``(url, site)``: the lowest ``page_id``.
+    """One row per ``(url, site)``: the lowest ``page_id``, then the lowest row fingerprint.
 
     Only keys are aggregated, so copies of a hot URL fold before the shuffle; the wide rows
-    then meet their own unique id.
+    then meet their own key, and rows equal throughout are folded last.
     """
-    first = pages.groupBy("url", "site").agg(F.min("page_id").alias("page_id"))
-    return pages.join(first.select("page_id"), "page_id", "left_semi")
+    marked = pages.withColumn("_row", F.xxhash64(*pages.columns))
+    first = marked.groupBy("url", "site").agg(F.min(F.struct("page_id", "_row")).alias("k")).select(
+        "url", "site", "k.*")
+    keys = ["url", "site", "page_id", "_row"]
+    return marked.join(first, keys, "left_semi").dropDuplicates(keys).drop("_row")
 
 
 def insert_or_ignore(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -32,7 +35,11 @@ def not_stored(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def upsert_classifications(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """``incoming`` replaces stored rows with the same ``page_id``."""
+    """``incoming`` replaces stored rows with the same ``page_id``; of several incoming rows of one
+    page the greatest counts."""
+    incoming = incoming.groupBy("page_id").agg(F.max(F.struct(
+        *[name for name in incoming.columns if name != "page_id"])).alias("row")).select(
+        *["page_id" if name == "page_id" else f"row.{name}" for name in incoming.columns])
     kept = stored.join(incoming.select("page_id"), "page_id", "left_anti")
     return kept.unionByName(incoming)
 

@@ -11,7 +11,7 @@ from waypost.session import hold
 from waypost.sources.robots import discover_sitemaps, robots_filter
 from waypost.sources.sitemaps import expand_sitemaps
 
-MAX_PAGES = 50_000
+MAX_PAGES: int | None = None
 
 
 def merge_seeds(seeds: DataFrame, sitemap_urls: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def seed_sitemaps(seeds: DataFrame, robots: DataFrame) -> DataFrame:
 
 def discover_urls(seeds: DataFrame, edges: DataFrame, *, robots: DataFrame | None = None,
                   sitemaps: DataFrame | None = None, follow_links: bool = True,
-                  max_depth: int = MAX_DEPTH, max_pages: int | None = MAX_PAGES) -> DataFrame:
+                  max_depth: int | None = MAX_DEPTH, max_pages: int | None = MAX_PAGES) -> DataFrame:
     """``(url, depth)`` of every page discovery reaches from ``seeds(url, ord)``."""
     if sitemaps is not None:
         documents = robots if robots is not None else seeds.sparkSession.createDataFrame(

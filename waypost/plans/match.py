@@ -42,8 +42,11 @@ class TargetIndex:
     @classmethod
     def load(cls, spark: SparkSession, path: str,
              max_features: int = cosine.MAX_FEATURES) -> TargetIndex:
-        return cls(spark.read.parquet(f"{path}/pages"), spark.read.parquet(f"{path}/paths"),
-                   CosineIndex.load(spark, f"{path}/cosine", max_features))
+        pages = spark.read.parquet(f"{path}/pages")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/cosine")
+        stored = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+        return cls(pages, spark.read.parquet(f"{path}/paths"),
+                   CosineIndex.load(spark, f"{path}/cosine", max_features) if stored else None)
 
 
 def _indexed(pages: DataFrame, intents: DataFrame | None, status_filter: Column | None,

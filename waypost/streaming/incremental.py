@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -13,10 +12,10 @@ from waypost.session import scratch_tables
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame | None:
-    try:
-        return df.sparkSession.read.parquet(path)
-    except AnalysisException:
-        return None
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.parquet(path) if there else None
 
 
 def page_intake(raw: DataFrame, site: str, pages_path: str, *, mode: str = "parser"
