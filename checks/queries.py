@@ -264,8 +264,8 @@ def tfidf_weights(spark, d):
 def class_weights(spark, d):
     pages = spread(classifiable(t.document_pages(spark, d)))
     terms = hold(class_terms(pages), "class-terms")
-    vocabulary = build_vocabulary(terms, terms.count(), min_df=2, max_df=0.85, max_features=500)
-    vectors = weight_vectors(terms, vocabulary, 500, sublinear=False)
+    vocabulary = build_vocabulary(terms, terms.count(), min_df=2, max_df=0.85)
+    vectors = weight_vectors(terms, vocabulary, sublinear=False)
     return long_weights(vectors, vocabulary).withColumn("weight", F.round("weight", 6))
 
 

@@ -6,15 +6,14 @@ from pyspark.sql import functions as F
 from waypost.operators.blocks import block_join, plan_blocks
 
 
-def test_plan_bounds_blocks_and_packs_light_keys():
-    counts = pd.DataFrame({"key": [1, 2, 3, 4, 5], "n_left": [80, 1, 2, 1, 30],
-                           "n_right": [200, 1, 1, 3, 2]})
+def test_plan_bounds_blocks_and_packs_light_keys(spark):
+    counts = spark.createDataFrame([(1, 80, 200), (2, 1, 1), (3, 2, 1), (4, 1, 3), (5, 30, 2)],
+                                   "key int, n_left long, n_right long")
     plan, total = plan_blocks(counts, rows=80)
-    hot = plan[plan.key == 1].iloc[0]
-    assert (hot.n_left_chunks, hot.n_right_chunks) == (1, 3)
-    light = plan[plan.key.isin([2, 3, 4])]
-    assert light.base.nunique() == 1
-    assert plan[plan.key == 5].iloc[0].base not in set(light.base) and total == 5
+    found = {r.key: r for r in plan.collect()}
+    assert (found[1].left_chunks, found[1].right_chunks, found[1].pack) == (1, 3, None)
+    assert {found[key].pack for key in (2, 3, 4)} == {0}
+    assert found[5].pack is None and total == 5
 
 
 def pairs_kernel():
@@ -39,7 +38,7 @@ def test_every_pair_sharing_a_key_meets_and_hot_keys_are_split(spark, rows):
     got = block_join(
         spark.createDataFrame(left, "a long, keys array<int>"),
         spark.createDataFrame(right, "b long, keys array<int>"),
-        left_id="a", right_id="b", key_space=40, rows=rows, schema="a long, b long, size int",
+        left_id="a", right_id="b", rows=rows, schema="a long, b long, size int",
         kernel=pairs_kernel())
     found = got.groupBy("a", "b").agg(F.max("size").alias("size")).collect()
     met = {(r.a, r.b) for r in found}
@@ -52,5 +51,4 @@ def test_every_pair_sharing_a_key_meets_and_hot_keys_are_split(spark, rows):
 def test_no_common_key_gives_no_rows(spark):
     one = spark.createDataFrame([(1, [1])], "a long, keys array<int>")
     two = spark.createDataFrame([(1, [2])], "b long, keys array<int>")
-    assert block_join(one, two, left_id="a", right_id="b", key_space=9, rows=10,
-                      schema="a long, b long, size int", kernel=pairs_kernel()).count() == 0
+    assert block_join(one, two, left_id="a", right_id="b", rows=10, schema="a long, b long, size int", kernel=pairs_kernel()).count() == 0

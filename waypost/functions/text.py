@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from waypost.session import hold
 
@@ -46,21 +46,18 @@ def term_counts(terms: DataFrame) -> DataFrame:
 
 
 def build_vocabulary(terms: DataFrame, n_docs: int, *, min_df: int, max_df: float,
-                     max_features: int) -> DataFrame:
-    """``(term, term_idx, df, total, idf)``: the most frequent terms inside the df bounds.
+                     max_features: int | None = None) -> DataFrame:
+    """``(term, term_idx, df, total, idf)``: all terms inside the df bounds, or the
+    ``max_features`` most frequent of them.
 
-    ``term_idx`` numbers terms from the rarest up, so that a vector sorted by it is already
-    in the order prefix filtering needs. At most ``max_features`` rows.
+    ``term_idx`` grows from the rarest term up, with gaps, so that a vector sorted by it is
+    already in the order prefix filtering needs.
     """
-    kept = (
-        term_counts(terms)
-        .where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-        .orderBy(F.desc("total"), "term")
-        .limit(max_features)
-    )
-    # The cap above bounds this single-partition numbering to max_features rows.
-    rarest_first = Window.orderBy("df", "term")
-    numbered = kept.withColumn("term_idx", F.row_number().over(rarest_first) - 1)
+    kept = term_counts(terms).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+    if max_features is not None:
+        kept = kept.orderBy(F.desc("total"), "term").limit(max_features)
+    # A sort by ranges: the id holds the range above the place in it, so it follows the order.
+    numbered = kept.orderBy("df", "term").withColumn("term_idx", F.monotonically_increasing_id())
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
     return hold(
         numbered.select("term", "term_idx", "df", "total", idf.alias("idf")),
@@ -68,8 +65,7 @@ def build_vocabulary(terms: DataFrame, n_docs: int, *, min_df: int, max_df: floa
     )
 
 
-def weight_vectors(terms: DataFrame, vocabulary: DataFrame, max_features: int,
-                   sublinear: bool) -> DataFrame:
+def weight_vectors(terms: DataFrame, vocabulary: DataFrame, sublinear: bool) -> DataFrame:
     """``(page_id, term_ids, weights)``: L2-normalised TF-IDF vectors, rarest term first.
 
     The only shuffle is by page, and the map side already folds a page into one row. Pages

@@ -6,23 +6,26 @@ operators choose keys by prefix filtering). Rows meet in blocks:
 * a key held by few rows on both sides is packed with other light keys into one block, kept
   small because rows of different keys meet there for nothing;
 * a hot key is spread over a grid of blocks, left chunks by right chunks, so no task sees
-  more than ``rows`` rows of a side however many rows share the key.
+  more than about ``rows`` rows of a side however many rows share the key.
 
 A task scores its block with numpy and returns only the best partner of each left row.
-Candidate pairs are therefore never shuffled or written, and nothing is capped.
+Candidate pairs are therefore never shuffled or written, and nothing is capped. The block
+plan is a table with one row per key, joined like any other; only its totals reach the driver.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from waypost.session import hold
 
-def key_counts(left: DataFrame, right: DataFrame) -> pd.DataFrame:
+PACK = 8   # packed blocks are this many times smaller than the chunks of a hot key
+
+
+def key_counts(left: DataFrame, right: DataFrame) -> DataFrame:
     """``(key, n_left, n_right)`` for keys present on both sides, one row per key."""
     def side(df: DataFrame, is_left: int) -> DataFrame:
         return df.select(F.explode_outer("keys").alias("key"), F.lit(is_left).alias("l"))
@@ -30,88 +33,64 @@ def key_counts(left: DataFrame, right: DataFrame) -> pd.DataFrame:
     counts = side(left, 1).unionAll(side(right, 0)).groupBy("key").agg(
         F.sum("l").alias("n_left"), F.sum(1 - F.col("l")).alias("n_right")
     )
-    return counts.where((F.col("n_left") > 0) & (F.col("n_right") > 0)).toPandas()
+    return counts.where(F.col("key").isNotNull() & (F.col("n_left") > 0) & (F.col("n_right") > 0))
 
 
-PACK = 8   # packed blocks are this many times smaller than the chunks of a hot key
-
+def plan_blocks(counts: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """``(key, pack, left_chunks, right_chunks)`` and about how many blocks that makes.
 
-def plan_blocks(counts: pd.DataFrame, rows: int) -> tuple[pd.DataFrame, int]:
-    """Assign keys to blocks: ``(key, base, n_left_chunks, n_right_chunks)`` and the total."""
+    Keys with ``pack`` share its block; a hot key has none and a grid of its own.
+    """
     packed = max(rows // PACK, 1)
-    counts = counts.sort_values("key", ignore_index=True)
-    n_left, n_right = counts["n_left"].to_numpy(), counts["n_right"].to_numpy()
-    left_chunks = -(-n_left // rows)
-    right_chunks = -(-n_right // rows)
-    base = np.zeros(len(counts), dtype=np.int64)
-    next_block, open_block, filled_left, filled_right = 0, -1, 0, 0
-    for i in range(len(counts)):
-        if left_chunks[i] * right_chunks[i] > 1 or max(n_left[i], n_right[i]) > packed:
-            base[i] = next_block
-            next_block += int(left_chunks[i] * right_chunks[i])
-            continue
-        fits = filled_left + n_left[i] <= packed and filled_right + n_right[i] <= packed
-        if open_block < 0 or not fits:
-            open_block, filled_left, filled_right = next_block, 0, 0
-            next_block += 1
-        base[i] = open_block
-        filled_left += n_left[i]
-        filled_right += n_right[i]
-    plan = pd.DataFrame({
-        "key": counts["key"].astype("int32"), "base": base,
-        "n_left_chunks": left_chunks.astype("int64"),
-        "n_right_chunks": right_chunks.astype("int64"),
-    })
-    return plan, next_block
-
-
-def block_join(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str,
-               key_space: int, rows: int, schema: str,
-               kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-               counts: pd.DataFrame | None = None) -> DataFrame:
+
+    def chunks(name: str):
+        return F.ceil(F.col(name) / rows)
+
+    busier = F.greatest("n_left", "n_right")
+    light = busier <= packed
+    totals = counts.agg(
+        F.coalesce(F.sum(F.when(light, busier)), F.lit(0)).alias("light"),
+        F.coalesce(F.sum(F.when(~light, chunks("n_left") * chunks("n_right"))), F.lit(0)).alias("grid"),
+    ).first()
+    packs = -(-int(totals["light"]) // packed)
+    pack = F.when(light, F.pmod(F.xxhash64("key"), F.lit(max(packs, 1)))).alias("pack")
+    return counts.select("key", pack, chunks("n_left").alias("left_chunks"),
+                         chunks("n_right").alias("right_chunks")), packs + int(totals["grid"])
+
+
+def block_join(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, rows: int,
+               schema: str, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
+               ) -> DataFrame:
     """Run ``kernel`` over every block of ``left`` x ``right``.
 
-    Each side has an id, ``keys array<int>`` with values below ``key_space``, and its
-    payload. The plan has at most ``key_space`` rows, which bounds both what reaches the
-    driver and what is broadcast. ``counts`` may pass in ``key_counts`` already taken.
+    Each side has an id, ``keys`` (an array) and its payload.
     """
     spark = left.sparkSession
-    if counts is None:
-        counts = key_counts(left, right)
-    if len(counts) > key_space:
-        raise ValueError("keys exceed the declared key space")
-    if counts.empty:
+    plan, n_blocks = plan_blocks(hold(key_counts(left, right), "keys"), rows)
+    if not n_blocks:
         return spark.createDataFrame([], schema)
-    parallelism = spark.sparkContext.defaultParallelism
-    busiest = max(int(counts["n_left"].sum()), int(counts["n_right"].sum()))
-    # Small inputs: still a few blocks per core.
-    rows = max(min(rows, math.ceil(PACK * busiest / (4 * parallelism))), 64)
-    plan, n_blocks = plan_blocks(counts, rows)
-    plan_df = F.broadcast(spark.createDataFrame(
-        plan, "key int, base long, n_left_chunks long, n_right_chunks long"))
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    partitions = min(n_blocks, max(4 * shuffle, 2 * parallelism))
+    partitions = max(shuffle, n_blocks // 4)
+    block = ["pack", "hot", "i", "j"]
 
     def routed(df: DataFrame, row_id: str, own: str, other: str, is_left: bool) -> DataFrame:
         chunk = F.pmod(F.xxhash64(row_id), F.col(own))
-        across = F.sequence(F.lit(0).cast("long"), F.col(other) - 1)
-        if is_left:
-            targets = F.transform(across, lambda j: F.col("base") + chunk * F.col(other) + j)
-        else:
-            targets = F.transform(across, lambda i: F.col("base") + i * F.col(own) + chunk)
         # Fresh aliases: both sides may come from one stored table.
-        payload = [F.col(name).alias(name) for name in df.columns if name != "keys"]
-        return (
-            df.select(*payload, F.explode_outer("keys").alias("key"))
-            .join(plan_df, "key")
-            .select("key", *[name for name in df.columns if name != "keys"],
-                    F.explode_outer(targets).alias("block"))
-            .repartition(partitions, "block")
-        )
-
-    blocks_left = routed(left, left_id, "n_left_chunks", "n_right_chunks", True)
-    blocks_right = routed(right, right_id, "n_right_chunks", "n_left_chunks", False)
+        names = [name for name in df.columns if name != "keys"]
+        placed = df.select(*[F.col(name).alias(name) for name in names],
+                           F.explode_outer("keys").alias("key")).join(plan, "key")
+        across = F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("across")
+        placed = placed.select("key", *names, F.col("pack").alias("pack"), chunk.alias("chunk"), across)
+        own_place, other_place = ("i", "j") if is_left else ("j", "i")
+        return placed.select(
+            F.col("key").alias("key"), *names, F.col("pack").alias("pack"),
+            F.when(F.col("pack").isNull(), F.col("key")).alias("hot"),
+            F.col("chunk").alias(own_place), F.col("across").alias(other_place),
+        ).repartition(partitions, *block)
+
+    blocks_left = routed(left, left_id, "left_chunks", "right_chunks", True)
+    blocks_right = routed(right, right_id, "right_chunks", "left_chunks", False)
     return (
-        blocks_left.groupBy("block").cogroup(blocks_right.groupBy("block"))
+        blocks_left.groupBy(*block).cogroup(blocks_right.groupBy(*block))
         .applyInPandas(kernel, schema)
     )

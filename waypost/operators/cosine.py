@@ -17,10 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waypost.functions.text import build_vocabulary, term_lists, weight_vectors
-from waypost.operators.blocks import block_join, key_counts
+from waypost.operators.blocks import block_join
 from waypost.session import hold
 
-MAX_FEATURES = 10_000
+MAX_FEATURES: int | None = None   # terms that are kept; None: all
 MAX_DF = 0.90
 MIN_DF = 1
 THRESHOLD = 0.30
@@ -29,9 +29,6 @@ HIGHEST = 1.0
 BLOCK_ROWS = 16_384
 # Scores closer than this count as equal, so the tie rule does not depend on summation order.
 SCORE_DIGITS = 9
-# Above this many candidate pairs, sources first look for a close partner only.
-PAIR_BUDGET = 2_000_000_000
-CLOSE_MATCH = 0.75
 
 
 @dataclass
@@ -40,37 +37,33 @@ class CosineIndex:
 
     vocabulary: DataFrame   # term, term_idx, df, total, idf
     vectors: DataFrame      # target_id (lowest page of a copy group), term_ids, weights
-    max_features: int
 
     def save(self, path: str) -> None:
         self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
         self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
 
     @classmethod
-    def load(cls, spark, path: str, max_features: int = MAX_FEATURES) -> CosineIndex:
-        return cls(spark.read.parquet(f"{path}/vocabulary"),
-                   spark.read.parquet(f"{path}/vectors"), max_features)
+    def load(cls, spark, path: str) -> CosineIndex:
+        return cls(spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/vectors"))
 
 
-def target_vocabulary(target: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+def target_vocabulary(target: DataFrame, max_features: int | None = MAX_FEATURES) -> DataFrame:
     terms = term_lists(target, F.col("match_text"))
     return build_vocabulary(terms, target.count(), min_df=MIN_DF, max_df=MAX_DF,
                             max_features=max_features)
 
 
-def page_vectors(pages: DataFrame, vocabulary: DataFrame,
-                 max_features: int = MAX_FEATURES) -> DataFrame:
-    terms = term_lists(pages, F.col("match_text"))
-    return weight_vectors(terms, vocabulary, max_features, sublinear=True)
+def page_vectors(pages: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    return weight_vectors(term_lists(pages, F.col("match_text")), vocabulary, sublinear=True)
 
 
-def build_cosine_index(target: DataFrame, max_features: int = MAX_FEATURES) -> CosineIndex:
+def build_cosine_index(target: DataFrame, max_features: int | None = MAX_FEATURES) -> CosineIndex:
     """Fit on ``target(page_id, match_text)``."""
     vocabulary = target_vocabulary(target, max_features)
-    vectors = page_vectors(target, vocabulary, max_features)
+    vectors = page_vectors(target, vocabulary)
     # Equal term counts give equal vectors; the lowest page wins a tie anyway.
     folded = vectors.groupBy("term_ids", "weights").agg(F.min("page_id").alias("target_id"))
-    return CosineIndex(vocabulary, hold(folded, "target-vectors"), max_features)
+    return CosineIndex(vocabulary, hold(folded, "target-vectors"))
 
 
 def prefix_keys(threshold: float) -> Column:
@@ -133,52 +126,25 @@ def best_in_block(threshold: float):
     return kernel
 
 
-def _keyed(vectors: DataFrame, threshold: float) -> DataFrame:
-    return vectors.withColumn("keys", prefix_keys(threshold))
-
-
-def _best_above(sources: DataFrame, targets: DataFrame, threshold: float, key_space: int,
-                block_rows: int, counts: pd.DataFrame | None = None) -> DataFrame:
-    found = block_join(
-        _keyed(sources, threshold), _keyed(targets, threshold),
-        left_id="source_id", right_id="target_id", key_space=key_space, rows=block_rows,
-        schema="source_id long, target_id long, score double",
-        kernel=best_in_block(threshold), counts=counts,
-    )
-    # Highest score, then lowest target; partial aggregation leaves one row per source.
-    best = F.max(F.struct("score", (-F.col("target_id")).alias("order")))
-    return found.groupBy("source_id").agg(best.alias("best")).select(
-        "source_id", (-F.col("best.order")).alias("target_id"), F.col("best.score").alias("score")
-    )
-
-
 def match_cosine(source: DataFrame, index: CosineIndex, *, threshold: float = THRESHOLD,
-                 pair_budget: float = PAIR_BUDGET, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(page_id, target_page_id, score)`` for sources with a target at or above ``threshold``.
-
-    When the candidate pairs exceed ``pair_budget`` the search runs twice: first for close
-    matches, whose prefixes are short, then in full for the sources that found none. A match
-    found in the first pass is final, because every pair at least that good was a candidate.
-    """
+                 block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(page_id, target_page_id, score)`` for sources with a target at or above ``threshold``."""
     if threshold <= 0:
         raise ValueError("cosine threshold must be positive")
-    vectors = page_vectors(source.select("page_id", "match_text"), index.vocabulary,
-                           index.max_features)
-    members = hold(vectors, "source-vectors")
+    members = hold(page_vectors(source.select("page_id", "match_text"), index.vocabulary),
+                   "source-vectors")
     sources = hold(members.groupBy("term_ids", "weights").agg(
         F.min("page_id").alias("source_id")), "source-vectors-folded")
-
-    def search(rows: DataFrame, level: float, counts: pd.DataFrame | None = None) -> DataFrame:
-        return _best_above(rows, index.vectors, level, index.max_features, block_rows, counts)
-
-    counts = key_counts(_keyed(sources, threshold), _keyed(index.vectors, threshold))
-    pairs = (counts["n_left"].astype(float) * counts["n_right"]).sum()
-    if threshold < CLOSE_MATCH and pairs > pair_budget:
-        close = hold(search(sources, CLOSE_MATCH), "cosine-close")
-        rest = hold(sources.join(close, "source_id", "left_anti"), "cosine-rest")
-        best = close.unionByName(search(rest, threshold))
-    else:
-        best = search(sources, threshold, counts)
+    found = block_join(
+        sources.withColumn("keys", prefix_keys(threshold)),
+        index.vectors.withColumn("keys", prefix_keys(threshold)),
+        left_id="source_id", right_id="target_id", rows=block_rows,
+        schema="source_id long, target_id long, score double", kernel=best_in_block(threshold),
+    )
+    # Highest score, then lowest target; partial aggregation leaves one row per source.
+    top = F.max(F.struct("score", (-F.col("target_id")).alias("order")))
+    best = found.groupBy("source_id").agg(top.alias("best")).select(
+        "source_id", (-F.col("best.order")).alias("target_id"), F.col("best.score").alias("score"))
     folded = sources.join(best, "source_id")
     return members.join(folded, ["term_ids", "weights"]).select(
         "page_id", F.col("target_id").alias("target_page_id"), "score"

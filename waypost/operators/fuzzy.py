@@ -30,8 +30,8 @@ BLOCK_ROWS = 4_096
 _CODES = 4_096
 _REPEATS = 4                      # a code's 1st, 2nd, 3rd and later occurrences
 TOKEN_SPACE = _CODES * _REPEATS
-_MANY = 0.02                      # share of pairs from which the second bound pays off
-_SENTINEL_FROM = 0.70             # bigrams from this threshold up, else characters
+# Bigrams from this threshold up, else characters: below it the bigram bound proves nothing.
+_SENTINEL_FROM = 0.70
 
 
 def canonical(path: str) -> str:
@@ -117,8 +117,8 @@ def _best_rows(i: np.ndarray, j: np.ndarray, score: np.ndarray, left: pd.DataFra
 
 def _survivors(block: PathBlock, meets: np.ndarray, threshold: float
                ) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that may reach the threshold by their characters and, where those leave many
-    pairs, by their bigrams. Both bounds are lossless for pairs without shared tokens."""
+    """Pairs that may reach the threshold by their characters and by their bigrams. Both bounds
+    are lossless for pairs without shared tokens."""
     n_left, n_right = meets.shape
     t = threshold / 100.0
 
@@ -136,7 +136,7 @@ def _survivors(block: PathBlock, meets: np.ndarray, threshold: float
         part = slice(at, at + step)
         fits = characters.rows(part) >= char_left[part] + char_right
         fits &= meets[part]
-        if t >= _SENTINEL_FROM and np.count_nonzero(fits) > _MANY * fits.size:
+        if t >= _SENTINEL_FROM:
             bigrams = bigrams or block.bigrams()
             fits &= bigrams.rows(part) >= pair_left[part] + pair_right
         i, j = np.nonzero(fits)
@@ -226,12 +226,11 @@ def _blank_pairs(source: DataFrame, target: DataFrame, threshold: float,
     target_word = by_word[0].where(blank).join(
         plain[1].select(F.col("path").alias("word"), "first_id"), "word",
     ).select("path", "first_id", full)
-    keys = F.transform(word_list, lambda word: F.pmod(F.xxhash64(word), F.lit(TOKEN_SPACE))
-                       .cast("int"))
+    keys = F.transform(word_list, lambda word: F.xxhash64(word))
     both = block_join(
         source.where(blank).withColumn("keys", keys), target.where(blank).withColumn("keys", keys),
-        left_id="path", right_id="first_id", key_space=TOKEN_SPACE, rows=block_rows,
-        schema=_FOUND, kernel=_best_sharing_words(threshold),
+        left_id="path", right_id="first_id", rows=block_rows, schema=_FOUND,
+        kernel=_best_sharing_words(threshold),
     )
     return source_word.unionByName(target_word).unionByName(both)
 
@@ -256,8 +255,8 @@ def match_fuzzy(source: DataFrame, target_paths: DataFrame, *, threshold: float
     sources = keyed.where(F.col("first_id").isNull()).drop("first_id")
     targets = keyed.where(F.col("first_id").isNotNull())
     found = block_join(
-        sources, targets, left_id="path", right_id="first_id", key_space=TOKEN_SPACE,
-        rows=block_rows, schema=_FOUND, kernel=best_in_block(threshold),
+        sources, targets, left_id="path", right_id="first_id", rows=block_rows, schema=_FOUND,
+        kernel=best_in_block(threshold),
     )
     blank = _blank_pairs(sources.drop("keys"), targets.drop("keys"), threshold, block_rows)
     if blank is not None:

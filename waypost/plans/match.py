@@ -40,13 +40,12 @@ class TargetIndex:
             self.cosine.save(f"{path}/cosine")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str,
-             max_features: int = cosine.MAX_FEATURES) -> TargetIndex:
+    def load(cls, spark: SparkSession, path: str) -> TargetIndex:
         pages = spark.read.parquet(f"{path}/pages")
         folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/cosine")
         stored = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
         return cls(pages, spark.read.parquet(f"{path}/paths"),
-                   CosineIndex.load(spark, f"{path}/cosine", max_features) if stored else None)
+                   CosineIndex.load(spark, f"{path}/cosine") if stored else None)
 
 
 def _indexed(pages: DataFrame, intents: DataFrame | None, status_filter: Column | None,
@@ -64,7 +63,7 @@ def _indexed(pages: DataFrame, intents: DataFrame | None, status_filter: Column
     return hold(pages.select(*_INDEX_COLUMNS), label)
 
 
-def _target_index(pages: DataFrame, max_features: int, with_cosine: bool) -> TargetIndex:
+def _target_index(pages: DataFrame, max_features: int | None, with_cosine: bool) -> TargetIndex:
     return TargetIndex(
         pages.select("page_id", "url", "intention"),
         hold(target_path_table(pages), "target-paths"),
@@ -75,7 +74,7 @@ def _target_index(pages: DataFrame, max_features: int, with_cosine: bool) -> Tar
 
 def build_target_index(target: DataFrame, intents: DataFrame | None = None, *,
                        status_filter: Column | None = None,
-                       max_features: int = cosine.MAX_FEATURES,
+                       max_features: int | None = cosine.MAX_FEATURES,
                        with_cosine: bool = True) -> TargetIndex:
     pages = _indexed(target, intents, status_filter, "target-pages")
     return _target_index(pages, max_features, with_cosine)
@@ -174,7 +173,7 @@ def match_against(source: DataFrame, index: TargetIndex, intents: DataFrame | No
 def match_sites(source: DataFrame, target: DataFrame, intents: DataFrame | None = None, *,
                 fuzzy_threshold: float = fuzzy.THRESHOLD,
                 cosine_threshold: float = cosine.THRESHOLD, fallback_url: str = "/",
-                max_features: int = cosine.MAX_FEATURES,
+                max_features: int | None = cosine.MAX_FEATURES,
                 status_filter: Column | None = None) -> DataFrame:
     """One redirect per source page, or none at all when either side is empty.
 
