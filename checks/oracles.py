@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from checks.tables import CONTENT_TYPES
-from waypost.functions.html import ENTITIES
 from waypost.functions.scoring import INTENT_BONUS, INTENT_CONFLICTS, INTENT_LABELS
 
 ORACLES: dict[str, str] = {}
 
+# The named entities that the tables hold; the ampersand goes last.
+ENTITIES = {
+    "&quot;": '"', "&apos;": "'", "&#39;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": "\xa0",
+    "&copy;": "©", "&reg;": "®", "&middot;": "·", "&ndash;": "–", "&mdash;": "—",
+    "&hellip;": "…", "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&amp;": "&",
+}
+
 SITE = "CASE WHEN url LIKE 'https:%' THEN 'target' ELSE 'source' END"
 
 
@@ -110,8 +116,7 @@ n AS (SELECT count(*) AS n FROM tgt),
 vocab AS (
   SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total,
          ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1.0 AS idf
-  FROM tf, n WHERE site = 'target' GROUP BY term HAVING count(*) <= 0.9 * any_value(n)
-  ORDER BY total DESC, term LIMIT 10000),
+  FROM tf, n WHERE site = 'target' GROUP BY term HAVING count(*) <= 0.9 * any_value(n)),
 w AS (SELECT page_id, site, term, (1 + ln(tf)) * idf AS w FROM tf JOIN vocab USING (term)),
 weights AS (
   SELECT page_id, site, term, w / sqrt(sum(w * w) OVER (PARTITION BY page_id)) AS weight FROM w)"""
@@ -411,7 +416,7 @@ ORACLES.update({
         tf AS (SELECT page_id, term, count(*) AS tf FROM occ GROUP BY ALL),
         vocab AS (
           SELECT term, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1.0 AS idf FROM tf, n GROUP BY term
-          HAVING count(*) >= 2 AND count(*) <= 0.85 * any_value(n) ORDER BY sum(tf) DESC, term LIMIT 500),
+          HAVING count(*) >= 2 AND count(*) <= 0.85 * any_value(n)),
         w AS (SELECT page_id, term, tf * idf AS w FROM tf JOIN vocab USING (term))
         SELECT page_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY page_id)), 6) AS weight FROM w""",
     "match_exact": f"""{IDX}, {SITES}, {PATHS}

@@ -128,6 +128,25 @@ def test_breadcrumb(spark):
     assert product(spark, "{}").breadcrumb == []
 
 
+def test_links_by_any_quotes(spark):
+    html = ("<a href=\"/l'eau\">a</a><a data-href=\"/wrong\" href=\"/right\">b</a><a href='/q\"uote'>c</a>"
+            "<a href=/bare>d</a><a title=\"x > y\" href=\"/after\">e</a><a name=\"none\">f</a>"
+            "<a href=\"/caf&eacute;?a=1&amp;b=2\">g</a><a HREF = '/upper'>h</a><abbr href=\"/no\">i</abbr>")
+    found = extract_links(raw(spark, html, urls={0: "https://a.com/"})).collect()
+    assert sorted(r.dst_url for r in found) == sorted(f"https://a.com/{path}" for path in (
+        "l'eau", "right", 'q"uote', "bare", "after", "café", "upper"))
+
+
+@pytest.mark.parametrize("mode", MODES)
+def test_angle_brackets_in_attributes_and_all_entities(spark, mode):
+    row = one(spark, '<head><title>caf&eacute; &#233;&#xE9;&#146; &amp;eacute; &unknown;</title>'
+                     '<meta name="description" content="a > b&nbsp;c"></head>'
+                     '<body><p title="x > y">don\'t</p><p class=it\'s>&hearts;&#x1F600;</p></body>', mode)
+    assert row.title == "café éé’ &eacute; &unknown;"
+    assert row.description == "a > b\xa0c"
+    assert row.body_text == "don't ♥😀"
+
+
 def test_links(spark):
     html = "".join(f'<a class="x" href="{href}">l</a>' for href in (
         "/a?x=1", "b/c#f", "../up", "https://a.com/abs;p", "HTTPS://a.com/Z", "https://b.com/no",

@@ -1,43 +1,73 @@
 """HTML fields: pattern expressions that stay in the JVM, and a parser for full fidelity.
 
-The pattern form decodes the common entities and serves well-formed pages at scan speed. The
-parser form runs as an Arrow batch function over the same columns.
+The pattern form serves well-formed pages at scan speed. The parser form runs as an Arrow batch
+function over the same columns.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from html import unescape
+from html.entities import html5
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, functions as F
 
 from waypost.functions.urls import strip
 
-# Named entities the pattern form decodes; the ampersand goes last.
-ENTITIES = {
-    "&quot;": '"', "&apos;": "'", "&#39;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": "\xa0",
-    "&copy;": "©", "&reg;": "®", "&middot;": "·", "&ndash;": "–", "&mdash;": "—",
-    "&hellip;": "…", "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&amp;": "&",
-}
-
 BODY_LIMIT: int | None = None   # characters of body text that are stored; None: all
 
-_TITLE = r"(?is)<title[^>]*>(.*?)</title"
-_H1 = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1"
-_BODY = r"(?is)<body[^>]*>(.*)"
+# Inside a tag: a quoted value may hold ">", a quote without "=" before it is a plain character.
+_INSIDE = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+"""
+_TITLE = rf"(?is)<title(?:\s{_INSIDE})?+>(.*?)</title"
+_H1 = rf"(?is)<h1(?:\s{_INSIDE})?+>(.*?)</h1"
+_BODY = rf"(?is)<body(?:\s{_INSIDE})?+>(.*)"
 _BODY_END = r"(?is)</body\s*>.*"
-_TAG = r"<[^>]*>|<[a-zA-Z/!][^>]*$"
-_UNSEEN = r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</\1\s*>"
+_TAG = rf"<{_INSIDE}>|<[a-zA-Z/!][^>]*$"
+_UNSEEN = rf"(?is)<!--.*?-->|<(script|style|template)\b{_INSIDE}>.*?</\1\s*>"
 _CUT_TAG = re.compile(r"<[a-zA-Z/!][^<>]*$")
-_META = r"(?is)<meta\s[^>]*>"
-_HREF = r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"
+_META = rf"(?is)<meta\s{_INSIDE}>"
+_LINK = rf"(?is)<a\s{_INSIDE}>"
+_VALUE = r"""\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+))"""
+_OTHER = r"""[^\s=>/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)?+"""
+_ENTITY = r"&(?:#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[a-zA-Z][a-zA-Z0-9]*+);|[^&]++|&"
+
+
+def _attribute(name: str) -> str:
+    """Pattern of a whole tag with the attribute; groups 1 to 3 hold a value by its quotes."""
+    return rf"(?is)^<[a-z]+(?:[\s/]++(?!{name}[\s=>/]){_OTHER})*+[\s/]++{name}{_VALUE}.*$"
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, null without one."""
+    pattern = _attribute(name)
+    return F.when(tag.rlike(pattern), decode_entities(F.regexp_replace(tag, pattern, "$1$2$3")))
+
+
+def _named_entities() -> Column:
+    """Map of all named entities, and of the numbers that stand for Windows characters."""
+    names = [f"&{name}" for name in html5 if name.endswith(";")] + [f"&#{n};" for n in range(128, 160)]
+    # One literal that the optimizer folds into a map.
+    return F.str_to_map(F.lit("\x01".join(f"{name}\x02{unescape(name)}" for name in names)),
+                        F.lit("\x01"), F.lit("\x02"))
 
 
 def decode_entities(text: Column) -> Column:
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Text with named and numbered entities decoded, each once."""
+    named = _named_entities()
+
+    def decoded(part: Column) -> Column:
+        digits = F.substring(part, 3, 9)
+        number = F.when(part.rlike("^&#[xX]"), F.conv(F.regexp_extract(part, "[0-9a-fA-F]+", 0), 16, 10)).when(
+            part.startswith("&#"), F.regexp_extract(digits, "[0-9]+", 0)).cast("long")
+        valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).when(
+            number.isNotNull(), F.lit("�"))
+        return F.when(~part.startswith("&"), part).otherwise(F.coalesce(F.try_element_at(named, part), char, part))
+
+    parts = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
+    return F.when(text.contains("&"), F.array_join(F.transform(parts, decoded), "")).otherwise(text)
 
 
 def visible(html: Column) -> Column:
@@ -78,22 +108,20 @@ def pattern_description(tags: Column) -> Column:
 
     ``tags`` is a column holding ``meta_tags``; it is read several times.
     """
-    def content(attribute: str, value: str) -> Column:
-        wanted = rf"(?is)\s{attribute}\s*=\s*[\"']?{value}[\"'\s/>]"
+    def content(key: str, value: str) -> Column:
+        wanted = rf"(?is)\s{key}\s*=\s*[\"']?{value}[\"'\s/>]"
         first = F.get(F.filter(tags, lambda tag: tag.rlike(wanted)), 0)
-        double = F.regexp_extract(first, r"(?is)\scontent\s*=\s*\"([^\"]*)\"", 1)
-        single = F.regexp_extract(first, r"(?is)\scontent\s*=\s*'([^']*)'", 1)
-        return F.concat(double, single)
+        return F.when(first.isNotNull(), F.coalesce(attribute(first, "content"), F.lit("")))
 
     def named(value: str) -> Column:
-        return strip(decode_entities(
-            F.coalesce(content("name", value), content("property", value), F.lit(""))))
+        return strip(F.coalesce(content("name", value), content("property", value), F.lit("")))
 
     return F.coalesce(F.nullif(named("description"), F.lit("")), named("og:description"))
 
 
 def pattern_hrefs(markup: Column) -> Column:
-    return F.transform(F.regexp_extract_all(markup, F.lit(_HREF), F.lit(1)), decode_entities)
+    found = F.regexp_extract_all(markup, F.lit(_LINK), F.lit(0))
+    return F.array_compact(F.transform(found, lambda tag: attribute(tag, "href")))
 
 
 class PageText(HTMLParser):
