@@ -78,14 +78,29 @@ def _attend(q: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order of targets by class, and where each class begins and ends in it."""
-    classes = target // (VOCABULARY // CLASSES)
+    classes = (target // (VOCABULARY // CLASSES)).astype(np.uint8)
     order = np.argsort(classes, kind="stable")
     return order, np.searchsorted(classes[order], np.arange(CLASSES + 1))
 
 
-def _chosen(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log softmax at the target."""
-    return logits[np.arange(len(target)), target] - np.log(np.exp(logits).sum(axis=1))
+def _chosen(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log softmax at the target, and the exponentials with their sums. Overwrites ``logits``."""
+    found = logits.ravel().take(np.arange(len(target)) * logits.shape[1] + target)
+    np.exp(logits, out=logits)
+    sums = logits @ np.ones(logits.shape[1], logits.dtype)
+    return found - np.log(sums), logits, sums
+
+
+def _member_logits(table: Bigrams, um: np.ndarray, seen: np.ndarray, before: np.ndarray, target: np.ndarray,
+                   bounds: np.ndarray) -> np.ndarray:
+    """Logits of the members of each target's class, for rows in the order of classes."""
+    members = VOCABULARY // CLASSES
+    logits = table.members.reshape(-1, members).take(before * CLASSES + target // members, axis=0)
+    for c in range(CLASSES):
+        rows = slice(bounds[c], bounds[c + 1])
+        if bounds[c] < bounds[c + 1]:
+            logits[rows] += seen[rows] @ um[c]
+    return logits
 
 
 class Scorer:
@@ -96,34 +111,39 @@ class Scorer:
         scaled = weights["wq"] * weights["wq"].dtype.type(WIDTH ** -0.5)
         self.parts = [(weights["embed"] @ own, weights["place"] @ own)
                       for own in (scaled, weights["wk"], weights["wv"])]
+        v, place = self.parts[2]
+        self.parts[2] = (np.pad(v, ((0, 0), (0, 1)), constant_values=1), np.pad(place, ((0, 0), (0, 1))))
 
     def _heads(self, pieces: np.ndarray, places: int) -> np.ndarray:
         """What the last ``places`` of each window gather from the window."""
         (q, q_place), (k, k_place), (v, v_place) = self.parts
-        asked = q[pieces[:, WINDOW - places:]] + q_place[WINDOW - places:]
-        values = np.ones((*pieces.shape, WIDTH + 1), v.dtype)
-        np.add(v[pieces], v_place, out=values[:, :, :WIDTH])
-        # The column of ones adds up the weights.
-        found = _attend(asked, k[pieces] + k_place) @ values
+        asked, keys = q.take(pieces[:, WINDOW - places:], axis=0), k.take(pieces, axis=0)
+        asked += q_place[WINDOW - places:]
+        keys += k_place
+        # The last column of values is one and adds up the weights.
+        values = v.take(pieces, axis=0)
+        values += v_place
+        found = _attend(asked, keys) @ values
         return found[:, :, :WIDTH] / found[:, :, WIDTH:]
 
     def windows(self, pieces: np.ndarray, target: np.ndarray, scored: np.ndarray) -> np.ndarray:
         """Natural log probabilities at the places of (n, WINDOW) windows where ``scored``."""
-        heads = np.zeros((*pieces.shape, WIDTH), self.uc.dtype)
         late = ~scored[:, :WINDOW - STRIDE].any(axis=1)
+        whole = np.flatnonzero(~late)
+        seen = np.empty((int(scored.sum()), WIDTH), self.uc.dtype)
+        of_late = np.repeat(late, scored.sum(axis=1))
         if late.any():
-            heads[late, WINDOW - STRIDE:] = self._heads(pieces[late], STRIDE)
-        if not late.all():
-            heads[~late] = self._heads(pieces[~late], WINDOW)
-        order, bounds = _by_class(target[scored])
-        seen, pieces, target = heads[scored][order], pieces[scored][order], target[scored][order]
+            seen[of_late] = self._heads(pieces[late], STRIDE)[scored[late, WINDOW - STRIDE:]]
+        if len(whole):
+            seen[~of_late] = self._heads(pieces[whole], WINDOW)[scored[whole]]
+        before, target = pieces[scored], target[scored]
+        order, bounds = _by_class(target)
+        seen, before, target = seen.take(order, axis=0), before[order], target[order]
         members = VOCABULARY // CLASSES
-        found = _chosen(self.table.classes[pieces] + seen @ self.uc, target // members)
-        for c in range(CLASSES):
-            rows = slice(bounds[c], bounds[c + 1])
-            if bounds[c] < bounds[c + 1]:
-                found[rows] += _chosen(self.table.members[pieces[rows], c] + seen[rows] @ self.um[c],
-                                       target[rows] % members)
+        logits = self.table.classes.take(before, axis=0)
+        logits += seen @ self.uc
+        found = _chosen(logits, target // members)[0]
+        found += _chosen(_member_logits(self.table, self.um, seen, before, target, bounds), target % members)[0]
         result = np.empty_like(found)
         result[order] = found
         return result
@@ -138,29 +158,28 @@ def loss_and_slopes(weights: dict[str, np.ndarray], table: Bigrams, pieces: np.n
     attention = _attend(q * root, k)
     attention /= attention.sum(axis=2, keepdims=True)
     heads = attention @ v
-    seen, before, after = heads[scored], pieces[scored], target[scored]
+    order, bounds = _by_class(target[scored])
+    seen, before, after = (part[scored][order] for part in (heads, pieces, target))
     n = len(after)
-    logits = table.classes[before] + seen @ weights["uc"]
-    total = -_chosen(logits, after // members).sum()
-    wrong = np.exp(logits)
-    wrong /= wrong.sum(axis=1, keepdims=True)
+    logs, wrong, sums = _chosen(table.classes[before] + seen @ weights["uc"], after // members)
+    total = -logs.sum()
+    wrong /= sums[:, None]
     wrong[np.arange(n), after // members] -= 1
     slopes = {"uc": seen.T @ wrong / n, "um": np.zeros_like(weights["um"])}
     back = wrong @ weights["uc"].T
-    order, bounds = _by_class(after)
+    logs, wrong, sums = _chosen(_member_logits(table, weights["um"], seen, before, after, bounds), after % members)
+    total -= logs.sum()
+    wrong /= sums[:, None]
+    wrong[np.arange(n), after % members] -= 1
     for c in range(CLASSES):
-        rows = order[bounds[c]:bounds[c + 1]]
-        if not len(rows):
-            continue
-        logits = table.members[before[rows], c] + seen[rows] @ weights["um"][c]
-        total -= _chosen(logits, after[rows] % members).sum()
-        wrong = np.exp(logits)
-        wrong /= wrong.sum(axis=1, keepdims=True)
-        wrong[np.arange(len(rows)), after[rows] % members] -= 1
-        slopes["um"][c] = seen[rows].T @ wrong / n
-        back[rows] += wrong @ weights["um"][c].T
+        rows = slice(bounds[c], bounds[c + 1])
+        if bounds[c] < bounds[c + 1]:
+            slopes["um"][c] = seen[rows].T @ wrong[rows] / n
+            back[rows] += wrong[rows] @ weights["um"][c].T
+    unsorted = np.empty_like(back)
+    unsorted[order] = back
     down = np.zeros_like(heads)
-    down[scored] = back / n
+    down[scored] = unsorted / n
     dv = attention.transpose(0, 2, 1) @ down
     da = down @ v.transpose(0, 2, 1)
     ds = attention * (da - (da * attention).sum(axis=2, keepdims=True)) * root
@@ -170,9 +189,8 @@ def loss_and_slopes(weights: dict[str, np.ndarray], table: Bigrams, pieces: np.n
     for name, d in (("wq", dq), ("wk", dk), ("wv", dv)):
         slopes[name] = flat_x.T @ d.reshape(-1, WIDTH)
     slopes["place"] = dx.sum(axis=0)
-    at, own = pieces.ravel(), dx.reshape(-1, WIDTH)
-    slopes["embed"] = np.column_stack(
-        [np.bincount(at, own[:, c], VOCABULARY) for c in range(WIDTH)]).astype(np.float32)
+    at = pieces.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    slopes["embed"] = np.bincount(at.ravel(), dx.ravel(), VOCABULARY * WIDTH).reshape(-1, WIDTH).astype(np.float32)
     return float(total) / max(n, 1), slopes
 
 
