@@ -1,11 +1,12 @@
 """Language-model scores of whole texts.
 
-Four passes over the documents:
+Steps over the documents:
 
-1. words, pieces and pairs of pieces of the training documents are counted,
-2. twice, every partition trains the attention model on windows of its training documents from
+1. every text is cut into pieces, once, and stored with them,
+2. words and pairs of pieces of the training documents are counted,
+3. twice, every partition trains the attention model on windows of its training documents from
    common weights, and the weights are averaged by the windows seen,
-3. every text is scored in overlapping windows that score each piece once.
+4. every text is scored in overlapping windows that score each piece once.
 
 The counts of the most frequent words go to every task (a fixed number); all other words meet their
 counts in a join. Words are known by a 64-bit hash. Pieces come from a public vocabulary file; the
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -99,29 +101,64 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("long").cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def counts(docs: DataFrame, path: str = PIECES) -> DataFrame:
-    """(kind, key, n) over all ``docs``: words by hash, pairs of pieces, and documents."""
+def segmented(docs: DataFrame, path: str = PIECES) -> DataFrame:
+    """(doc_id, held_out, text, ids) of every row: ids of the pieces of all words, none for a null text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(path)
+        for batch in batches:
+            for words in word_chunks(batch.column(2), lower=True, limit=_CHUNK):
+                ids, number = segmenter.pieces(words, word_hashes(words))
+                own = slice(words.first, words.last)
+                offsets = np.concatenate([[0], np.cumsum(number)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [*(column[own] for column in batch.columns),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))],
+                    names=["doc_id", "held_out", "text", "ids"])
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(
+        run, "doc_id long, held_out boolean, text string, ids array<int>")
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column, flat, and how many each row has."""
+    return column.flatten().to_numpy(), pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+
+
+def _list_chunks(column: pa.Array, limit: int = _CHUNK // 2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``_lists`` of row ranges of about ``limit`` values."""
+    ends = np.cumsum(_lists(column)[1])
+    first = 0
+    while first < len(column):
+        before = ends[first - 1] if first else 0
+        last = max(int(np.searchsorted(ends, before + limit, side="right")), first + 1)
+        yield _lists(column[first:last])
+        first = last
+
+
+def counts(docs: DataFrame, size: int) -> DataFrame:
+    """(kind, key, n) over all ``segmented`` rows: words by hash, pairs of pieces, and documents.
+
+    ``size`` is the number of pieces and stands for the end of a text.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in word_chunks(batch.column(0), lower=True, limit=_CHUNK):
-                hashes = word_hashes(words)
-                ids, number = segmenter.pieces(words, hashes)
-                sequence, _ = _sequences(ids, number, segmenter.size)
+                ids, number = _lists(batch.column(1)[words.first:words.last])
+                sequence, _ = _sequences(ids, number, size)
                 pairs = sequence[:-1] * _PAIR + sequence[1:]
                 # An end after an end lies between two rows.
-                pairs = pairs[~((sequence[:-1] == segmenter.size) & (sequence[1:] == segmenter.size))]
+                pairs = pairs[~((sequence[:-1] == size) & (sequence[1:] == size))]
                 empty = int((number == 0).sum())
-                for kind, (keys, n) in enumerate((np.unique(hashes, return_counts=True),
+                for kind, (keys, n) in enumerate((np.unique(word_hashes(words), return_counts=True),
                                                   np.unique(pairs, return_counts=True))):
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)],
                         names=["kind", "key", "n"])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([2, 1], pa.int32()), pa.array([0, segmenter.size * (_PAIR + 1)], pa.int64()),
+                    pa.array([2, 1], pa.int32()), pa.array([0, size * (_PAIR + 1)], pa.int64()),
                     pa.array([len(number), empty], pa.int64())], names=["kind", "key", "n"])
 
-    found = docs.select("text").mapInArrow(run, "kind int, key long, n long")
+    found = docs.select("text", "ids").mapInArrow(run, "kind int, key long, n long")
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -163,12 +200,12 @@ def _windows(ids: np.ndarray, number: np.ndarray, numbers: np.ndarray, end: int)
     return numbers[sequence], starts, rows, begins
 
 
-def _round(docs: DataFrame, trained: Trained, number_of_round: int, every: int, path: str) -> dict[str, np.ndarray]:
+def _round(docs: DataFrame, trained: Trained, number_of_round: int, every: int) -> dict[str, np.ndarray]:
     """Weights after one round of training in every partition, averaged by the places seen."""
     sent = docs.sparkSession.sparkContext.broadcast(trained)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter, own = Segmenter(path), sent.value
+        own = sent.value
         trainer = model.Trainer(own.weights, own.table)
         pools: list[tuple[np.ndarray, ...]] = []
         waiting = 0
@@ -180,9 +217,8 @@ def _round(docs: DataFrame, trained: Trained, number_of_round: int, every: int,
                 trainer.learn(*(part[order[first:first + 32]] for part in parts))
 
         for batch in batches:
-            for words in word_chunks(batch.column(0), lower=True, limit=_CHUNK):
-                ids, number = segmenter.pieces(words, word_hashes(words))
-                sequence, starts, rows, begins = _windows(ids, number, own.numbers, segmenter.size)
+            for ids, number in _list_chunks(batch.column(0)):
+                sequence, starts, rows, begins = _windows(ids, number, own.numbers, own.n_pieces)
                 chosen = np.flatnonzero(np.arange(len(rows)) % every == (7 * number_of_round + 3) % every)
                 if len(chosen):
                     pools.append(model.filled(sequence, starts, number + 1, rows[chosen], begins[chosen]))
@@ -197,7 +233,7 @@ def _round(docs: DataFrame, trained: Trained, number_of_round: int, every: int,
                 pa.array([model.flat(trainer.weights).astype(np.float64).tolist()], pa.list_(pa.float64())),
                 pa.array([trainer.seen], pa.int64())], names=["weights", "seen"])
 
-    rows = docs.select("text").mapInArrow(run, "weights array<double>, seen long").select(
+    rows = docs.select("ids").mapInArrow(run, "weights array<double>, seen long").select(
         F.posexplode("weights").alias("at", "weight"), "seen")
     # One row per weight, whatever the number of partitions.
     found = rows.groupBy("at").agg((F.sum(F.col("weight") * F.col("seen")) / F.sum("seen")).alias("weight")).orderBy(
@@ -205,28 +241,27 @@ def _round(docs: DataFrame, trained: Trained, number_of_round: int, every: int,
     return model.shaped(found.column("weight").to_numpy()) if found.num_rows else trained.weights
 
 
-def train(docs: DataFrame, counted: DataFrame, rounds: int = ROUNDS, every: int = EVERY, path: str = PIECES) -> Trained:
-    """A model of all ``docs``, whose counts are ``counted``."""
-    size = sentencepiece.SentencePieceProcessor(model_file=path).get_piece_size()
+def train(docs: DataFrame, counted: DataFrame, size: int, rounds: int = ROUNDS, every: int = EVERY) -> Trained:
+    """A model of all ``segmented`` rows, whose counts are ``counted``, over ``size`` pieces."""
     numbers, table = _vocabulary(counted.where("kind = 1"), size)
     trained = Trained(numbers, table, model.start(), size)
     for number in range(rounds):
-        trained.weights = _round(docs, trained, number, every, path)
+        trained.weights = _round(docs, trained, number, every)
     return trained
 
 
-def _scored(docs: DataFrame, trained: Trained, head: np.ndarray, head_logs: np.ndarray, path: str) -> DataFrame:
+def _scored(docs: DataFrame, trained: Trained, head: np.ndarray, head_logs: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((trained, head, head_logs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trained, head, logs = sent.value
-        segmenter, scorer = Segmenter(path), model.Scorer(trained.weights, trained.table)
+        scorer = model.Scorer(trained.weights, trained.table)
         rare, row_number = np.log(trained.n_pieces), TaskContext.get().partitionId() << 33
         for batch in batches:
             for words in word_chunks(batch.column(2), lower=True, limit=_CHUNK):
                 hashes = word_hashes(words)
-                ids, number = segmenter.pieces(words, hashes)
-                sequence, starts, rows, begins = _windows(ids, number, trained.numbers, segmenter.size)
+                ids, number = _lists(batch.column(3)[words.first:words.last])
+                sequence, starts, rows, begins = _windows(ids, number, trained.numbers, trained.n_pieces)
                 score = np.zeros(len(number))
                 for first in range(0, len(rows), _BATCH):
                     some = slice(first, first + _BATCH)
@@ -253,7 +288,7 @@ def _scored(docs: DataFrame, trained: Trained, head: np.ndarray, head_logs: np.n
                     names=["doc_id", "held_out", "row", "n_tokens", "known", "base", "score", "tail"])
                 row_number += len(number)
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(
+    return docs.select("doc_id", "held_out", "text", "ids").mapInArrow(
         run, "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, score double, "
              "tail array<long>")
 
@@ -271,10 +306,12 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS, every: int = EVERY, head: i
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"),
                        F.col("text").cast("string").alias("text"))
-    learned = rows.where(~F.col("held_out"))
+    size = sentencepiece.SentencePieceProcessor(model_file=path).get_piece_size()
     with steps(spark):
-        counted = hold(counts(learned, path), "counts")
-        trained = train(learned, counted, rounds, every, path)
+        rows = hold(segmented(rows, path), "segmented")
+        learned = rows.where(~F.col("held_out"))
+        counted = hold(counts(learned, size), "counts")
+        trained = train(learned, counted, size, rounds, every)
         words = counted.where("kind = 0").select(F.col("key").alias("word"), "n")
         n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
         found = counted.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -284,7 +321,7 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS, every: int = EVERY, head: i
         top = words.orderBy(F.desc("n"), "word").limit(head).toArrow()
         keys, logs = top.column("word").to_numpy().view(np.uint64), np.log10(top.column("n").to_numpy() + 1.0)
         order = np.argsort(keys)
-        scored = hold(_scored(rows, trained, keys[order], logs[order], path), "scored")
+        scored = hold(_scored(rows, trained, keys[order], logs[order]), "scored")
         tail = scored.select("row", F.explode("tail").alias("word"))
         sums = tail.join(words, "word").groupBy("row").agg(
             F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count(F.lit(1)).alias("also"))
