@@ -153,8 +153,10 @@ def loss_and_slopes(weights: dict[str, np.ndarray], table: Bigrams, pieces: np.n
                     scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean negative log probability of the scored places and its derivatives."""
     members, root = VOCABULARY // CLASSES, np.float32(WIDTH ** -0.5)
-    x = weights["embed"][pieces] + weights["place"]
-    q, k, v = (x @ weights[name] for name in ("wq", "wk", "wv"))
+    x = weights["embed"].take(pieces, axis=0)
+    x += weights["place"]
+    flat_x = x.reshape(-1, WIDTH)
+    q, k, v = (flat_x.dot(weights[name]).reshape(x.shape) for name in ("wq", "wk", "wv"))
     attention = _attend(q * root, k)
     attention /= attention.sum(axis=2, keepdims=True)
     heads = attention @ v
@@ -181,13 +183,18 @@ def loss_and_slopes(weights: dict[str, np.ndarray], table: Bigrams, pieces: np.n
     down = np.zeros_like(heads)
     down[scored] = unsorted / n
     dv = attention.transpose(0, 2, 1) @ down
-    da = down @ v.transpose(0, 2, 1)
-    ds = attention * (da - (da * attention).sum(axis=2, keepdims=True)) * root
+    ds = down @ v.transpose(0, 2, 1)
+    # The attention-weighted mean of its slopes is what a place gathers times the slope of that.
+    ds -= (down * heads).sum(axis=2, keepdims=True)
+    ds *= attention
+    ds *= root
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dx = dq @ weights["wq"].T + dk @ weights["wk"].T + dv @ weights["wv"].T
-    flat_x = x.reshape(-1, WIDTH)
+    dx = np.zeros_like(flat_x)
     for name, d in (("wq", dq), ("wk", dk), ("wv", dv)):
-        slopes[name] = flat_x.T @ d.reshape(-1, WIDTH)
+        d = d.reshape(-1, WIDTH)
+        slopes[name] = flat_x.T @ d
+        dx += d.dot(weights[name].T)
+    dx = dx.reshape(x.shape)
     slopes["place"] = dx.sum(axis=0)
     at = pieces.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
     slopes["embed"] = np.bincount(at.ravel(), dx.ravel(), VOCABULARY * WIDTH).reshape(-1, WIDTH).astype(np.float32)

@@ -38,7 +38,9 @@ ROUNDS = 2
 EVERY = 12
 #: Words in a worker's table of segmented words before it starts anew.
 TABLE = 400_000
-_CHUNK, _BATCH = 1 << 21, 192
+_CHUNK, _BATCH = 1 << 20, 192
+#: Rows that a worker takes at once.
+_ROWS = 2_000
 _END, _RARE, _KNOWN = 0, 1, model.VOCABULARY - 2
 _PAIR = 1 << 20
 
@@ -124,7 +126,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
 
 
-def _list_chunks(column: pa.Array, limit: int = _CHUNK // 2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _list_chunks(column: pa.Array, limit: int = _CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``_lists`` of row ranges of about ``limit`` values."""
     ends = np.cumsum(_lists(column)[1])
     first = 0
@@ -307,7 +309,7 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS, every: int = EVERY, head: i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"),
                        F.col("text").cast("string").alias("text"))
     size = sentencepiece.SentencePieceProcessor(model_file=path).get_piece_size()
-    with steps(spark):
+    with steps(spark, _ROWS):
         rows = hold(segmented(rows, path), "segmented")
         learned = rows.where(~F.col("held_out"))
         counted = hold(counts(learned, size), "counts")

@@ -10,19 +10,24 @@ from pyspark.sql import SparkSession
 from waypost.session import scratch_tables
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextmanager
-def steps(spark: SparkSession) -> Iterator[None]:
+def steps(spark: SparkSession, rows: int | None = None) -> Iterator[None]:
     """Inside, a query's shuffle files go when it ends, and tables that ``hold`` writes go with the
-    block unless written with ``scratch=False``. Results must be held before the block ends."""
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+    block unless written with ``scratch=False``. Results must be held before the block ends. ``rows``
+    is how many rows a worker takes at once inside the block."""
+    inside = {_CLEAN: "true"} | ({_ROWS: str(rows)} if rows else {})
+    before = {name: spark.conf.get(name, None) for name in inside}
     try:
+        for name, value in inside.items():
+            spark.conf.set(name, value)
         with scratch_tables(spark):
             yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
