@@ -1,0 +1,67 @@
+"""Near-duplicates of the pipeline against brute force."""
+
+import random
+
+import corpus_pipeline
+from waypost.llm import similar
+
+SCHEMA = "size int, doc_id long, text string, id string"
+
+
+def corpus(seed):
+    """Texts with copies of one to twelve changed words, chains of copies, and odd rows."""
+    rng = random.Random(seed)
+    made = []
+    for k in range(260):
+        words = [rng.choice(["Ab", "é", "x" * 40] + [f"w{i}" for i in range(400)]) for _ in range(rng.randint(1, 200))]
+        if made and rng.random() < 0.6:
+            words = rng.choice(made[-25:]).split()
+            for _ in range(rng.randint(0, 12)):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(9999)}"
+        made.append(" ".join(words))
+    base = made[0] + " " + " ".join(f"p{i}" for i in range(150))
+    for k in range(60):
+        words = base.split()
+        for _ in range(3):
+            words[rng.randrange(len(words))] = f"q{k}"
+        made.append(" ".join(words))
+    rows = [(7 * k % 1009, text) for k, text in enumerate(made)]
+    rng.shuffle(rows)
+    return rows + [(2000, None), (2001, " \n"), (2002, "a b c"), (2003, "A\tB c"), (None, made[3])]
+
+
+def groups(rows):
+    """Positions of rows by group, from the similarity of all pairs."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    root = list(range(len(rows)))
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    found = {}
+    for k in range(len(rows)):
+        found.setdefault(find(k), []).append(k)
+    return list(found.values())
+
+
+def test_stage_equals_brute_force(spark, monkeypatch):
+    rows = corpus(5)
+    want = sorted(str(min((rows[k][0] for k in group if rows[k][0] is not None), default=None))
+                  for group in groups(rows))
+    docs = spark.createDataFrame([(1, d, t, "x") for d, t in rows], SCHEMA)
+    assert len(want) < 0.8 * len(rows)
+    for rounds in (0, 1, similar.ROUNDS):
+        monkeypatch.setattr(similar, "ROUNDS", rounds)
+        got = corpus_pipeline.one_of_each(spark, docs, "")
+        assert got.columns == docs.columns
+        assert sorted(str(r.doc_id) for r in got.collect()) == want
+    assert corpus_pipeline.one_of_each(spark, docs.limit(0), "").count() == 0

@@ -115,15 +115,20 @@ def _majority(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return result
 
 
-def fingerprints_of(words: Words, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """The SimHash of each row's words: shingles of ``size`` words, or all words if fewer."""
+def shingles_of(words: Words, size: int = SHINGLE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each row's shingles of ``size`` words, or of all words if fewer, and where rows begin."""
     data, starts, ends = joined(words)
     counts = words.counts()
     shingles = np.where(counts == 0, 0, np.maximum(counts - size + 1, 1))
     rows = np.concatenate([[0], np.cumsum(shingles)])
     first = (np.arange(rows[-1]) - np.repeat(rows[:-1], shingles)) + np.repeat(words.rows[:-1], shingles)
     last = first + np.repeat(np.minimum(counts, size), shingles) - 1
-    return _majority(xxh64(data, starts[first], ends[last], seed), rows)
+    return xxh64(data, starts[first], ends[last], seed), rows
+
+
+def fingerprints_of(words: Words, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The SimHash of each row's words."""
+    return _majority(*shingles_of(words, size, seed))
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
