@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
-from waypost.llm import similar
+from waypost.llm import simhash, similar
 
 SCHEMA = "size int, doc_id long, text string, id string"
 
@@ -65,3 +67,16 @@ def test_stage_equals_brute_force(spark, monkeypatch):
         assert got.columns == docs.columns
         assert sorted(str(r.doc_id) for r in got.collect()) == want
     assert corpus_pipeline.one_of_each(spark, docs.limit(0), "").count() == 0
+
+
+@pytest.mark.parametrize("keep", [simhash.keep_one, similar.keep_one])
+def test_one_row_of_each_group(spark, keep):
+    """Repeated rows, a doc_id with two texts, and groups without ids beside each other."""
+    rng = random.Random(3)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(80)) for _ in range(4))
+    rows = [(4, a), (4, a), (4, a), (9, a), (None, a), (4, b), (6, b), (None, c), (None, c), (None, d), (7, d)]
+    docs = spark.createDataFrame([(1, k, t, "x") for k, t in rows], SCHEMA)
+    got = keep(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted(
+        [("4", a), ("4", b), ("None", c), ("7", d)])

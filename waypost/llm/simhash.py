@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waypost.llm.components import components
+from waypost.llm.rows import first_of_each
 from waypost.llm.words import Words, joined, word_chunks
 from waypost.session import hold
 
@@ -165,25 +166,29 @@ def simhash_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     other than doc_id and text are ignored, whatever their names.
     """
     rows = hold(fingerprints(docs, size), "simhash")
-    distinct = hold(rows.groupBy("bits").agg(F.min("doc_id").alias("least")), "fingerprints")
-    reached = components(linked(distinct.select("bits")))
-    grouped = distinct.join(reached, distinct.bits == reached.node, "left").select(
-        "bits", "least", F.coalesce("component", "bits").alias("component"))
-    grouped = hold(grouped, "groups")
+    grouped = _grouped(rows)
     smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     member = grouped.join(smallest, "component").select("bits", "component_id")
     return rows.join(member, "bits").select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    """(bits, least, component) of every distinct fingerprint, with the smallest doc_id that has it."""
+    distinct = hold(rows.groupBy("bits").agg(F.min("doc_id").alias("least")), "fingerprints")
+    reached = components(linked(distinct.select("bits")))
+    return hold(distinct.join(reached, distinct.bits == reached.node, "left").select(
+        "bits", "least", F.coalesce("component", "bits").alias("component")), "groups")
+
+
 def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group; all columns stay.
+    """One row of ``docs`` for each group, that of the smallest doc_id, as ``first_of_each`` has it."""
+    def grouped(stored: DataFrame) -> DataFrame:
+        rows = hold(fingerprints(stored, size, key="row"), "simhash")
+        return rows.join(_grouped(rows).select("bits", "component"), "bits").select(
+            F.col("doc_id").alias("row"), "component")
 
-    Rows without doc_id stay only where no row of their group has one.
-    """
-    kept = simhash_groups(docs, size).where("doc_id <=> component_id").select(
-        F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return first_of_each(docs, grouped)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
