@@ -10,7 +10,8 @@ Steps over the documents:
 
 The counts of the most frequent words go to every task (a fixed number); all other words meet their
 counts in a join. Words are known by a 64-bit hash. Pieces come from a public vocabulary file; the
-model knows the most frequent ones, a rarer piece costs its class and one choice among all pieces.
+model knows the most frequent ones; a rarer piece costs the symbol of rare pieces and its share of them
+in the training documents, by add-one counts.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose counts are sent to all tasks.
 HEAD = 65_536
 ROUNDS = 2
-#: Each round trains on one window in so many, other windows each time; the bigram table on all.
-EVERY = 12
+#: Each round trains on one window in so many: on all.
+EVERY = 1
 #: Words in a worker's table of segmented words before it starts anew.
 TABLE = 400_000
 _CHUNK, _BATCH = 1 << 20, 192
@@ -172,16 +173,23 @@ class Trained:
     table: model.Bigrams
     weights: dict[str, np.ndarray]
     n_pieces: int
+    rare: np.ndarray  # piece id -> log of its share of the rare pieces, 0 for others
 
 
-def _vocabulary(pairs: DataFrame, size: int) -> tuple[np.ndarray, model.Bigrams]:
-    """Numbers of the most frequent pieces and the bigram table over them."""
+def _vocabulary(pairs: DataFrame, size: int) -> tuple[np.ndarray, model.Bigrams, np.ndarray]:
+    """Numbers of the most frequent pieces, the bigram table over them, and logs of the shares of the
+    others among themselves."""
     after = F.pmod("key", F.lit(_PAIR)).alias("piece")
-    top = pairs.groupBy(after).agg(F.sum("n").alias("n")).where(F.col("piece") != size).orderBy(
-        F.desc("n"), "piece").limit(_KNOWN).toArrow()
+    # One row per piece of the vocabulary file at most.
+    single = pairs.groupBy(after).agg(F.sum("n").alias("n")).where(F.col("piece") != size).orderBy(
+        F.desc("n"), "piece").toArrow()
+    top = single.column("piece").to_numpy()[:_KNOWN]
     numbers = np.full(size + 1, _RARE, np.int64)
-    numbers[top.column("piece").to_numpy()] = 2 + np.arange(top.num_rows)
+    numbers[top] = 2 + np.arange(len(top))
     numbers[size] = _END
+    times = np.ones(size + 1)
+    times[single.column("piece").to_numpy()] += single.column("n").to_numpy()
+    rare = np.where(numbers == _RARE, np.log(times / max(times[numbers == _RARE].sum(), 1.0)), 0.0)
     spark = pairs.sparkSession
     known = spark.createDataFrame(
         [(int(i), int(number)) for i, number in enumerate(numbers.tolist())], "piece long, number int")
@@ -192,7 +200,7 @@ def _vocabulary(pairs: DataFrame, size: int) -> tuple[np.ndarray, model.Bigrams]
         F.broadcast(left), "p1").join(F.broadcast(right), "p2").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros((model.VOCABULARY, model.VOCABULARY))
     seen[found.column("a").to_numpy(), found.column("b").to_numpy()] = found.column("n").to_numpy()
-    return numbers, model.bigrams(seen)
+    return numbers, model.bigrams(seen), rare
 
 
 def _windows(ids: np.ndarray, number: np.ndarray, numbers: np.ndarray, end: int):
@@ -202,6 +210,11 @@ def _windows(ids: np.ndarray, number: np.ndarray, numbers: np.ndarray, end: int)
     return numbers[sequence], starts, rows, begins
 
 
+def _rare_logs(ids: np.ndarray, number: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """What each row's rare pieces cost beyond their symbol."""
+    return np.bincount(np.repeat(np.arange(len(number)), number), rare[ids], len(number))
+
+
 def _round(docs: DataFrame, trained: Trained, number_of_round: int, every: int) -> dict[str, np.ndarray]:
     """Weights after one round of training in every partition, averaged by the places seen."""
     sent = docs.sparkSession.sparkContext.broadcast(trained)
@@ -245,8 +258,8 @@ def _round(docs: DataFrame, trained: Trained, number_of_round: int, every: int)
 
 def train(docs: DataFrame, counted: DataFrame, size: int, rounds: int = ROUNDS, every: int = EVERY) -> Trained:
     """A model of all ``segmented`` rows, whose counts are ``counted``, over ``size`` pieces."""
-    numbers, table = _vocabulary(counted.where("kind = 1"), size)
-    trained = Trained(numbers, table, model.start(), size)
+    numbers, table, rare = _vocabulary(counted.where("kind = 1"), size)
+    trained = Trained(numbers, table, model.start(), size, rare)
     for number in range(rounds):
         trained.weights = _round(docs, trained, number, every)
     return trained
@@ -258,17 +271,17 @@ def _scored(docs: DataFrame, trained: Trained, head: np.ndarray, head_logs: np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trained, head, logs = sent.value
         scorer = model.Scorer(trained.weights, trained.table)
-        rare, row_number = np.log(trained.n_pieces), TaskContext.get().partitionId() << 33
+        row_number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for words in word_chunks(batch.column(2), lower=True, limit=_CHUNK):
                 hashes = word_hashes(words)
                 ids, number = _lists(batch.column(3)[words.first:words.last])
                 sequence, starts, rows, begins = _windows(ids, number, trained.numbers, trained.n_pieces)
-                score = np.zeros(len(number))
+                score = _rare_logs(ids, number, trained.rare)
                 for first in range(0, len(rows), _BATCH):
                     some = slice(first, first + _BATCH)
                     pieces, target, scored = model.filled(sequence, starts, number + 1, rows[some], begins[some])
-                    logs_of = scorer.windows(pieces, target, scored) - rare * (target[scored] == _RARE)
+                    logs_of = scorer.windows(pieces, target, scored)
                     at = np.broadcast_to(rows[some][:, None], scored.shape)[scored]
                     score += np.bincount(at, logs_of, len(score))
                 owner = np.repeat(np.arange(len(number)), words.counts())
