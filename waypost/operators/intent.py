@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import StopWordsRemover
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waypost.functions.scoring import INTENT_LABELS
-from waypost.functions.text import build_vocabulary, words
+from waypost.functions.text import build_vocabulary, weight_vectors, words
 from waypost.functions.urls import strip
 from waypost.session import hold, spread
 
@@ -40,12 +40,33 @@ def class_terms(pages: DataFrame, stop_words: list[str] | None = None) -> DataFr
     return remover.transform(tokens).drop("tokens")
 
 
+def class_features(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``(page_id, features)``: a sparse unit vector for every page, zero without a listed term.
+
+    Terms are numbered without gaps from ``term_idx``, whose upper bits are a range of the sort and
+    whose lower ones the place in it. Rows are in a fixed order, so that K-Means starts alike.
+    """
+    ranges = F.shiftright("term_idx", 33)
+    # One row per range of the sort.
+    counted = vocabulary.groupBy(ranges.alias("range")).agg(F.count(F.lit(1)).alias("n")).orderBy("range").collect()
+    begins, size = [], 0
+    for row in counted:
+        begins += [F.lit(row["range"]), F.lit(size)]
+        size += row["n"]
+    dense = vocabulary.withColumn("term_idx", (F.create_map(*begins)[ranges] + F.col("term_idx").bitwiseAND(
+        F.lit((1 << 33) - 1))).cast("int"))
+    sparse = F.udf(lambda ids, weights: Vectors.sparse(size, ids or [], weights or []), VectorUDT())
+    vectors = weight_vectors(terms, dense, sublinear=False)
+    return terms.select("page_id").join(vectors, "page_id", "left").repartition("page_id").sortWithinPartitions(
+        "page_id").select("page_id", sparse("term_ids", "weights").alias("features"))
+
+
 def intention_of(cluster: Column) -> Column:
     labels = F.array(*[F.lit(label) for label in INTENT_LABELS])
     return F.get(labels, F.pmod(cluster, F.lit(len(INTENT_LABELS))))
 
 
-def classify_intent(pages: DataFrame, *, n_clusters: int = 5, max_features: int = 5_000,
+def classify_intent(pages: DataFrame, *, n_clusters: int = 5, max_features: int | None = None,
                     min_df: int = 2, max_df: float = 0.85, language: str = "french",
                     stop_words: list[str] | None = None, site: str | None = None,
                     seed: int = 42, max_iter: int = 200) -> DataFrame:
@@ -62,15 +83,9 @@ def classify_intent(pages: DataFrame, *, n_clusters: int = 5, max_features: int
     n_pages = terms.count()
     vocabulary = build_vocabulary(terms, n_pages, min_df=min_df, max_df=max_df,
                                   max_features=max_features)
-    listed = vocabulary.orderBy("term_idx").select("term", "idf").collect()  # <= max_features
-    if not listed:
+    if vocabulary.isEmpty():
         return terms.sparkSession.createDataFrame([], _SCHEMA)
-    counts = CountVectorizerModel.from_vocabulary(
-        [row["term"] for row in listed], inputCol="terms", outputCol="tf").transform(terms)
-    weighed = ElementwiseProduct(scalingVec=Vectors.dense([row["idf"] for row in listed]),
-                                 inputCol="tf", outputCol="tfidf").transform(counts)
-    features = Normalizer(p=2.0, inputCol="tfidf", outputCol="features").transform(weighed).select(
-        "page_id", "features")
+    features = hold(class_features(terms, vocabulary), "class-features")
     k = min(n_clusters, n_pages)
     if k < 2:
         found = features.select("page_id", F.lit(0).alias("prediction"))
