@@ -1,11 +1,12 @@
 """Main text of web pages by text-to-tag ratio.
 
 The standard library's parser streams a page's events into lines, one for each block of markup.
-A line's ratio is its characters outside links by its tags. Ratios are smoothed along the page with
-a Gaussian; lines above the spread of the smoothed ratios are content seeds, and the region that
-holds most of the seeds' mass is the main text: an article or main element where the page has
-one, else the innermost element around the seeds. All lines of the region come out whole, except
-those in parts that are never main text (menus, forms, adverts, notices, comments).
+A line's ratio is its characters outside links by its tags, at most LONG, so that one very long line
+does not hide the others. Ratios are smoothed along the page with a Gaussian; lines above the spread
+of the smoothed ratios are content seeds. The main text is the article or main element with most of
+the seeds' characters and all other articles beside it, else the innermost element around all
+seeds. All lines of these come out whole, except those in parts that are never main text (menus,
+forms, adverts, notices, comments).
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ _ENDS_P = _BLOCK - {"body", "html", "head", "title", "li", "option"}
 _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 SIGMA = 1.0
+LONG = 200
 _REACH = 3
 
 
@@ -77,6 +79,7 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
         self._open: list[tuple[str, int, bool]] = []  # tag, number, starts a part that is left out
         self.kinds: list[str] = []
+        self.freed: set[int] = set()  # regions in a part that is left out, after another region
         self._parts: list[str] = []
         self._tags = self._linked = self._left_out = self._links = self._regions = 0
 
@@ -104,7 +107,9 @@ class Lines(HTMLParser):
         if tag in _VOID:
             return
         if tag in _REGIONS and self._left_out and not self._regions:
-            # An article never stands in a menu or advert: that part was not closed.
+            # An article never stands in a menu or advert: that part was not closed, or it is a comment.
+            if any(kind in _REGIONS for kind in self.kinds):
+                self.freed.add(len(self.kinds))
             self._close(next(i for i, (_, _, starts) in enumerate(self._open) if starts))
         ends = _ENDS.get(tag, ()) + (("p",) if tag in _ENDS_P else ())
         for i in range(len(self._open) - 1, -1, -1):
@@ -154,25 +159,33 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return wide / np.convolve(np.ones(len(ratios)), kernel)[_REACH:_REACH + len(ratios)]
 
 
-def _region(lines: list[tuple[str, int, int, tuple[int, ...]]], kinds: list[str]) -> int | None:
-    """The element that holds the main text; None for the whole page."""
-    ratios = smoothed(np.array([(len(text) - linked) / tags for text, linked, tags, _ in lines]))
+def _regions(page: Lines) -> set[int] | None:
+    """The elements that hold the main text; None for the whole page."""
+    ratios = smoothed(np.array([min((len(text) - linked) / tags, LONG) for text, linked, tags, _ in page.lines]))
     threshold = min(ratios.std(), ratios.max())
-    mass: dict[int, float] = {}
-    total = 0.0
-    for (text, linked, _, path), ratio in zip(lines, ratios):
-        if ratio >= threshold and ratio > 0:
-            weight = ratio * (len(text) - linked)
+    mass: dict[int, int] = {}
+    total = 0
+    for (text, linked, _, path), ratio in zip(page.lines, ratios):
+        weight = len(text) - linked
+        if ratio >= threshold and ratio > 0 and weight:
             total += weight
             for number in path:
-                mass[number] = mass.get(number, 0.0) + weight
-    own = [number for number in mass if kinds[number] in _REGIONS]
+                mass[number] = mass.get(number, 0) + weight
+    own = [number for number in mass if page.kinds[number] in _REGIONS]
     if own:
-        return max(own, key=lambda number: (mass[number], number))
-    # The innermost element with nearly all the mass, but not a single paragraph of several lines.
-    around = [number for number, held in mass.items() if held >= 0.8 * total and kinds[number] in (
+        best = max(own, key=lambda number: (mass[number], number))
+        if page.kinds[best] == "main":
+            return {best}
+        # The outermost articles, of the same main element if they are in one.
+        around = {number for _, _, _, path in page.lines if best in path for number in path
+                  if page.kinds[number] == "main" and number < best}
+        beside = (next((n for n in path if page.kinds[n] == "article"), None)
+                  for _, _, _, path in page.lines if around <= set(path))
+        return {best} | {number for number in beside if number is not None} - page.freed
+    # The innermost element with all the mass, but not a single paragraph of several lines.
+    around = [number for number, held in mass.items() if held == total and page.kinds[number] in (
         "div", "section", "td", "body", "table", "tbody", "tr", "center", "blockquote", "details")]
-    return max(around, default=None)
+    return {max(around)} if around else None
 
 
 def main_text(html: str | None) -> str:
@@ -184,12 +197,8 @@ def main_text(html: str | None) -> str:
     page.finish()
     if not page.lines:
         return ""
-    region = _region(page.lines, page.kinds)
-    found = [line for line in page.lines if region is None or region in line[3]]
-    if region is None or page.kinds[region] not in _REGIONS:
-        # Without an article element, lines that are mostly links are menus.
-        found = [line for line in found if 2 * line[1] <= len(line[0])] or found
-    return "\n".join(line[0] for line in found)
+    regions = _regions(page)
+    return "\n".join(text for text, _, _, path in page.lines if regions is None or not regions.isdisjoint(path))
 
 
 def extracted(html: Column) -> Column:
