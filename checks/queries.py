@@ -329,8 +329,8 @@ def _shop_plan(spark, d):
 
 
 @query
-def waterfall_structural(spark, d):
-    return _shop_plan(spark, d)
+def waterfall_structural(spark, d, plan=None):
+    return (plan or _shop_plan)(spark, d)
 
 
 @query
@@ -386,71 +386,71 @@ def upsert_classifications(spark, d):
 
 
 @query
-def plan_stats(spark, d):
-    return stats.plan_stats(_shop_plan(spark, d))
+def plan_stats(spark, d, plan=None):
+    return stats.plan_stats((plan or _shop_plan)(spark, d))
 
 
 @query
-def phase_counters(spark, d):
-    return stats.phase_counters(_shop_plan(spark, d)).select("phase", "cnt")
+def phase_counters(spark, d, plan=None):
+    return stats.phase_counters((plan or _shop_plan)(spark, d)).select("phase", "cnt")
 
 
 @query
-def project_stats(spark, d):
+def project_stats(spark, d, plan=None):
     source, target = t.catalogue(spark, d)
     pages = source.withColumn("site", F.lit("source")).unionByName(
         target.withColumn("site", F.lit("target")))
     labels = pages.where("intention <> ''").select("page_id", "intention")
-    return stats.project_stats(pages, labels, _shop_plan(spark, d))
+    return stats.project_stats(pages, labels, (plan or _shop_plan)(spark, d))
 
 
 @query
-def redirect_filter(spark, d):
-    return stats.filter_redirects(_shop_plan(spark, d), confidence="high", match_type="exact").select(
+def redirect_filter(spark, d, plan=None):
+    return stats.filter_redirects((plan or _shop_plan)(spark, d), confidence="high", match_type="exact").select(
         "source_url", "target_url")
 
 
 @query
-def plan_csv_order(spark, d):
-    ordered = render.plan_order(_shop_plan(spark, d))
+def plan_csv_order(spark, d, plan=None):
+    ordered = render.plan_order((plan or _shop_plan)(spark, d))
     return ordered.select("source_url", "match_type", "confidence", "score",
                           F.col("type_rank").cast("long").alias("type_rank"),
                           F.col("confidence_rank").cast("long").alias("confidence_rank"))
 
 
 @query
-def plan_csv(spark, d):
-    return render.render_plan_csv(_shop_plan(spark, d))
+def plan_csv(spark, d, plan=None):
+    return render.render_plan_csv((plan or _shop_plan)(spark, d))
 
 
 @query
-def plan_json(spark, d):
-    return render.render_plan_json(_shop_plan(spark, d))
+def plan_json(spark, d, plan=None):
+    return render.render_plan_json((plan or _shop_plan)(spark, d))
 
 
 @query
-def plan_json_header(spark, d):
-    header = render.json_header(_shop_plan(spark, d), "2026-01-01T00:00:00")
+def plan_json_header(spark, d, plan=None):
+    header = render.json_header((plan or _shop_plan)(spark, d), "2026-01-01T00:00:00")
     return header.select("generated_at", "total", F.inline("summary"))
 
 
 @query
-def htaccess_rules(spark, d):
-    rules = render.htaccess_rules(_shop_plan(spark, d), OLD_SHOP, NEW_SHOP)
+def htaccess_rules(spark, d, plan=None):
+    rules = render.htaccess_rules((plan or _shop_plan)(spark, d), OLD_SHOP, NEW_SHOP)
     return rules.select("section", "line")
 
 
 @query
-def htaccess_vhost(spark, d):
-    rules = render.htaccess_rules(_shop_plan(spark, d), OLD_SHOP, NEW_SHOP, vhost=True)
+def htaccess_vhost(spark, d, plan=None):
+    rules = render.htaccess_rules((plan or _shop_plan)(spark, d), OLD_SHOP, NEW_SHOP, vhost=True)
     return rules.select("section", "line")
 
 
 @query
-def htaccess_deduped(spark, d):
+def htaccess_deduped(spark, d, plan=None):
     """Old shop addresses as listed by ``lineitem``: one rule per path remains."""
     lines = t.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    plan = _shop_plan(spark, d).withColumn("l_partkey", (F.col("source_page_id") / 2).cast("long"))
+    plan = (plan or _shop_plan)(spark, d).withColumn("l_partkey", (F.col("source_page_id") / 2).cast("long"))
     visits = lines.join(plan, "l_partkey").withColumn("source_url", F.concat(
         "source_url", F.lit("&o="), F.col("l_orderkey").cast("string"), F.lit("-"),
         F.col("l_linenumber").cast("string")))
@@ -459,13 +459,13 @@ def htaccess_deduped(spark, d):
 
 
 @query
-def nginx_map(spark, d):
-    return render.nginx_map_entries(_shop_plan(spark, d), OLD_SHOP, NEW_SHOP).select("line")
+def nginx_map(spark, d, plan=None):
+    return render.nginx_map_entries((plan or _shop_plan)(spark, d), OLD_SHOP, NEW_SHOP).select("line")
 
 
 @query
-def nginx_map_vhost(spark, d):
-    return render.nginx_map_entries(_shop_plan(spark, d), OLD_SHOP, NEW_SHOP, vhost=True).select("line")
+def nginx_map_vhost(spark, d, plan=None):
+    return render.nginx_map_entries((plan or _shop_plan)(spark, d), OLD_SHOP, NEW_SHOP, vhost=True).select("line")
 
 
 # --- streaming
