@@ -1,7 +1,7 @@
-"""Substring dedup over the De Bruijn graph of word windows.
+"""Substring dedup by minimiser pieces of word windows.
 
-Windows of ``size`` words are the edges of the graph. Edges are cut into non-branching pieces
-without building the whole graph: every window has an anchor, the smallest hash of its inner
+They stand in for the non-branching paths of the De Bruijn graph of windows of ``size`` words, which is
+not built; a piece may pass through a branching node. Every window has an anchor, the smallest hash of its inner
 word grams, so equal windows have equal anchors at equal places, and neighbouring windows with one
 anchor form a piece. A window can only repeat if its anchor does. So
 
