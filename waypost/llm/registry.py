@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from waypost.llm import caps, lines, mixing, neighbours, pages, pieces, quality, scoring, simhash, sql, substrings
+from waypost.llm import (
+    caps, lines, middles, mixing, neighbours, pages, pieces, quality, repeats, scoring, simhash, sql, substrings, whitening,
+)
 
 QUERIES = {
     "op1_lm_scores": scoring.query,
@@ -15,10 +17,15 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_substring_dedup": substrings.query,
     "op10_mixing": mixing.query,
+    "op11_repeat_rules": repeats.query,
+    "op12_whitening": whitening.query,
+    "op13_fill_in_middle": middles.query,
 }
 
 ORACLES = {
     "op7_line_dedup": sql.LINES,
     "op9_substring_dedup": sql.SUBSTRINGS,
     "op10_mixing": sql.MIXING,
+    "op11_repeat_rules": sql.REPEATS,
+    "op13_fill_in_middle": sql.MIDDLES,
 }

@@ -84,3 +84,60 @@ rated AS (
 
 MIXING = ("WITH" + MIX_RATED.format(docs="documents")
           + "SELECT doc_id, size, source_size, target, n_copies * size AS taken FROM rated")
+
+#: A window of k words that occurs twice stands for every repeat of k words or more: their union is that of
+#: the maximal repeats, and a repeat longer than 200 words is a window of 201 that occurs twice.
+REPEATS = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+base AS (
+  SELECT r, doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols FROM docs),
+lines AS (
+  SELECT r, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+per_line AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY r),
+windows AS (
+  SELECT r, k, p, array_to_string(list_slice(w, p, p + k - 1), ' ') AS part
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p
+        FROM docs, (VALUES (3), (8), (201)) t(k) WHERE len(w) >= k)),
+twice AS (
+  SELECT r, k, p FROM (SELECT r, k, p, count(*) OVER (PARTITION BY r, k, md5(part)) AS n FROM windows) WHERE n > 1),
+words AS (SELECT DISTINCT r, k, p + o AS p FROM twice, range(8) t(o) WHERE k < 201 AND o < k),
+marked AS (
+  SELECT r, count(*) FILTER (k = 3) AS n_repeat_words, count(*) FILTER (k = 8) AS n_covered_words
+  FROM words GROUP BY r),
+long_ones AS (SELECT DISTINCT r FROM twice WHERE k = 201),
+counted AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_covered_words, 0) AS n_covered_words,
+         long_ones.r IS NOT NULL AS too_long
+  FROM base LEFT JOIN per_line USING (r) LEFT JOIN marked USING (r) LEFT JOIN long_ones ON base.r = long_ones.r),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 100 * n_covered_words <= 40 * n_words AND NOT too_long AS kept, n_covered_words
+FROM judged
+"""
+
+MIDDLES = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (
+  SELECT doc_id, text, u, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+         ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM docs),
+formed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (
+  SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle,
+         array_to_string(u[b + 1:], '') AS suffix FROM formed)
+SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form != 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
