@@ -3,7 +3,7 @@ import random
 import pytest
 
 from waypost.functions.similarity import token_set_ratio
-from waypost.operators.fuzzy import match_fuzzy
+from waypost.operators.fuzzy import length_bands, match_fuzzy
 
 
 def brute_force(sources, targets, threshold):
@@ -82,3 +82,14 @@ def test_pairs_sharing_a_word_are_scored_by_words_only(spark):
     assert match_fuzzy(source, target, threshold=75).count() == 0
     found = match_fuzzy(source, target, threshold=70).collect()
     assert [round(r.score, 2) for r in found] == [71.43]
+
+
+@pytest.mark.parametrize("threshold", [55, 80, 100])
+def test_partners_meet_in_a_band(threshold):
+    t = threshold / 100
+    for n in range(0, 400):
+        (own, shortest), = length_bands(n, t, own=True)
+        for m in range(0, 400):
+            if 2 * min(n, m) >= t * (n + m):
+                partner = dict(length_bands(m, t, own=False))
+                assert own in partner and partner[own] <= max(n, 1) + 1e-9 and shortest <= m + 1e-9

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from waypost.functions.similarity import PathBlock, common_length, ratio, token_set_ratio
+from waypost.functions.similarity import PathBlock, WordBlock, common_length, ratio, token_set_ratio
 
 
 def table_lcs(a, b):
@@ -49,3 +49,16 @@ def test_token_set_ratio(a, b, score):
 def test_token_set_ratio_with_shared_and_own_words():
     # Shared "/shop"; leftovers "red" and "reed": 8 common letters of 10 + 11 with the shared word.
     assert round(token_set_ratio("/shop red", "reed /shop"), 2) == round(100 - 100 * 1 / 19, 2)
+
+
+def test_word_block_equals_pair_scores():
+    rng = random.Random(8)
+    words = ["red", "reed", "/shop", "été", "a", "ring", "rings", "𝄞x", "b" * 70]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 6))) for _ in range(40)]
+    i, j = map(np.ravel, np.meshgrid(range(40), range(40), indexing="ij"))
+    scores = WordBlock(texts, texts[::-1]).scores(i, j, 0.0, batch=333)
+    cut = WordBlock(texts, texts[::-1]).scores(i, j, 75.0)
+    for k in range(len(i)):
+        want = token_set_ratio(texts[i[k]], texts[::-1][j[k]])
+        assert scores[k] == pytest.approx(want, abs=1e-12)
+        assert (cut[k] >= 75) == (want >= 75) and (want < 75 or cut[k] == want)

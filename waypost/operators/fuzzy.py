@@ -9,6 +9,10 @@ its force and single characters take their place. Nothing is approximated.
 
 Bigrams are hashed into a fixed number of codes. Merging codes can only raise an overlap, so
 the filter stays lossless and its tables have a fixed size.
+
+Strings whose lengths differ by more than the threshold allows never meet: a key is a token and a
+band of lengths. Bands grow by the greatest ratio of lengths that can reach the threshold; a source has
+its own band, a target those next to its own, with a shorter prefix for bands of longer partners.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from waypost.functions.similarity import PathBlock, token_set_ratio
+from waypost.functions.similarity import PathBlock, WordBlock
 from waypost.operators.blocks import block_join
 from waypost.session import hold
 
@@ -56,15 +60,31 @@ def tokens(path: str, paired: bool) -> tuple[np.ndarray, np.ndarray]:
     return codes * _REPEATS + np.minimum(nth, _REPEATS - 1), nth
 
 
-def prefix_length(n: int, n_tokens: int, t: float, paired: bool) -> int:
-    shortest_partner = n * t / (2.0 - t)
+def prefix_length(n: int, n_tokens: int, partner: float, t: float, paired: bool) -> int:
+    """Tokens in the prefix of a string of length ``n`` whose partners have ``partner`` characters at least."""
     if paired:
-        overlap = (1.5 * t - 1.0) * (n + shortest_partner) + 1.0
+        overlap = (1.5 * t - 1.0) * (n + partner) + 1.0
     else:
-        overlap = 0.5 * t * (n + shortest_partner)
+        overlap = 0.5 * t * (n + partner)
     return max(0, min(n_tokens, n_tokens - math.ceil(overlap - 1e-9) + 1))
 
 
+def length_bands(n: int, t: float, own: bool) -> list[tuple[int, float]]:
+    """(band, least length of a partner) for a string of length ``n``: ``own`` gives the one that it lies
+    in, else those that hold a partner. Band ``k`` begins at the ``k``-th power of the ratio."""
+    ratio = max((2.0 - t) / t, 1.05)
+
+    def band(length: float) -> int:
+        return math.floor(math.log(max(length, 1.0)) / math.log(ratio))
+
+    shortest, longest = n * t / (2.0 - t), n * (2.0 - t) / t
+    if own:
+        return [(band(n), shortest)]
+    # Rounding of the logarithm may move a length to the band beside; its own strings never move.
+    return [(k, max(shortest, ratio ** k * (1 - 1e-9) if k else 0.0))
+            for k in range(band(shortest * (1 - 1e-9)), band(longest * (1 + 1e-9)) + 1)]
+
+
 def token_rarity(paths: DataFrame, paired: bool) -> np.ndarray:
     """Rank of every token id by how many ``paths`` hold it; a table of fixed size."""
     @F.pandas_udf("array<int>")
@@ -81,14 +101,16 @@ def token_rarity(paths: DataFrame, paired: bool) -> np.ndarray:
     return np.argsort(np.argsort(held, kind="stable"), kind="stable")
 
 
-def prefix_tokens(rarity: np.ndarray, t: float, paired: bool):
-    """Column function ``path -> array<int>``: the tokens of the path's prefix."""
+def prefix_tokens(rarity: np.ndarray, t: float, paired: bool, own: bool):
+    """Column function ``path -> array<int>``: the tokens of the path's prefix in each of its bands."""
 
     def prefix(path: str) -> np.ndarray:
         ids, nth = tokens(path, paired)
         order = np.lexsort((nth, rarity[ids]))
-        keep = prefix_length(len(canonical(path)), len(ids), t, paired)
-        return np.unique(ids[order[:keep]]).astype(np.int32)
+        size = len(canonical(path))
+        keys = [ids[order[:prefix_length(size, len(ids), partner, t, paired)]] + band * TOKEN_SPACE
+                for band, partner in length_bands(size, t, own)]
+        return np.unique(np.concatenate(keys)).astype(np.int32)
 
     @F.pandas_udf("array<int>")
     def prefixes(values: pd.Series) -> pd.Series:
@@ -187,21 +209,19 @@ def best_in_block(threshold: float):
 
 
 def _best_sharing_words(threshold: float):
-    """Kernel for paths with blanks on both sides: the full token-set score."""
+    """Kernel for paths with blanks on both sides: the full token-set score of pairs sharing a word."""
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.drop_duplicates("path")
-        right = right.drop_duplicates("first_id")
-        best = []
-        for source in left["path"]:
-            found = None
-            for target, first_id in zip(right["path"], right["first_id"]):
-                score = token_set_ratio(source, target)
-                if score >= threshold and (found is None or (-score, first_id) < found):
-                    found = (-score, first_id)
-            if found:
-                best.append((source, found[1], -found[0]))
-        return _found(*map(list, zip(*best))) if best else _found()
+        if left.empty or right.empty:
+            return _found()
+        left["row"], paths = pd.factorize(left["path"])
+        right["row"], ids = pd.factorize(right["first_id"])
+        met = left[["key", "row"]].merge(right[["key", "row"]], on="key")[["row_x", "row_y"]].drop_duplicates()
+        i, j = met["row_x"].to_numpy(), met["row_y"].to_numpy()
+        left, right = left.drop_duplicates("row"), right.drop_duplicates("row")
+        score = WordBlock(left["path"].to_list(), right["path"].to_list()).scores(i, j, threshold)
+        keep = score >= threshold
+        return _best_rows(i[keep], j[keep], score[keep], left, right)
 
     return kernel
 
@@ -248,10 +268,12 @@ def match_fuzzy(source: DataFrame, target_paths: DataFrame, *, threshold: float
     paired = t >= _SENTINEL_FROM
     sources = source.select("path").distinct()
     targets = target_paths.select("path", "first_id")
-    prefixes = prefix_tokens(token_rarity(targets, paired), t, paired)
+    rarity = token_rarity(targets, paired)
     # Both sides in one stored table; source rows have no page order.
-    both = sources.withColumn("first_id", F.lit(None).cast("long")).unionByName(targets)
-    keyed = hold(both.withColumn("keys", prefixes("path")), "prefixes")
+    both = sources.select("path", F.lit(None).cast("long").alias("first_id"),
+                          prefix_tokens(rarity, t, paired, own=True)("path").alias("keys")).unionByName(
+        targets.withColumn("keys", prefix_tokens(rarity, t, paired, own=False)("path")))
+    keyed = hold(both, "prefixes")
     sources = keyed.where(F.col("first_id").isNull()).drop("first_id")
     targets = keyed.where(F.col("first_id").isNotNull())
     found = block_join(
