@@ -1,15 +1,16 @@
-"""Search intent: TF-IDF and K-Means over page text, as an MLlib job."""
+"""Search intent: TF-IDF over page text and K-Means, both on tables of terms."""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
+import warnings
+
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waypost.functions.scoring import INTENT_LABELS
 from waypost.functions.text import build_vocabulary, weight_vectors, words
 from waypost.functions.urls import strip
+from waypost.operators.clusters import kmeans
 from waypost.session import hold, spread
 
 _SCHEMA = "page_id long, cluster_label int, intention string"
@@ -41,24 +42,8 @@ def class_terms(pages: DataFrame, stop_words: list[str] | None = None) -> DataFr
 
 
 def class_features(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``(page_id, features)``: a sparse unit vector for every page, zero without a listed term.
-
-    Terms are numbered without gaps from ``term_idx``, whose upper bits are a range of the sort and
-    whose lower ones the place in it. Rows are in a fixed order, so that K-Means starts alike.
-    """
-    ranges = F.shiftright("term_idx", 33)
-    # One row per range of the sort.
-    counted = vocabulary.groupBy(ranges.alias("range")).agg(F.count(F.lit(1)).alias("n")).orderBy("range").collect()
-    begins, size = [], 0
-    for row in counted:
-        begins += [F.lit(row["range"]), F.lit(size)]
-        size += row["n"]
-    dense = vocabulary.withColumn("term_idx", (F.create_map(*begins)[ranges] + F.col("term_idx").bitwiseAND(
-        F.lit((1 << 33) - 1))).cast("int"))
-    sparse = F.udf(lambda ids, weights: Vectors.sparse(size, ids or [], weights or []), VectorUDT())
-    vectors = weight_vectors(terms, dense, sublinear=False)
-    return terms.select("page_id").join(vectors, "page_id", "left").repartition("page_id").sortWithinPartitions(
-        "page_id").select("page_id", sparse("term_ids", "weights").alias("features"))
+    """``(page_id, term_ids, weights)``: a sparse unit vector for every page, null without a listed term."""
+    return terms.select("page_id").join(weight_vectors(terms, vocabulary, sublinear=False), "page_id", "left")
 
 
 def intention_of(cluster: Column) -> Column:
@@ -72,7 +57,8 @@ def classify_intent(pages: DataFrame, *, n_clusters: int = 5, max_features: int
                     seed: int = 42, max_iter: int = 200) -> DataFrame:
     """``(page_id, cluster_label, intention)`` for every page with body text.
 
-    Clusters are numbered by size, then by their lowest page, so a rerun keeps its labels.
+    Clusters are numbered by size, then by their lowest page, so a rerun keeps its labels. A warning
+    tells if ``max_iter`` rounds were not enough.
     With too few pages for a vocabulary nothing is classified.
     """
     if stop_words is None:
@@ -85,13 +71,15 @@ def classify_intent(pages: DataFrame, *, n_clusters: int = 5, max_features: int
                                   max_features=max_features)
     if vocabulary.isEmpty():
         return terms.sparkSession.createDataFrame([], _SCHEMA)
-    features = hold(class_features(terms, vocabulary), "class-features")
+    features = class_features(terms, vocabulary)
     k = min(n_clusters, n_pages)
     if k < 2:
         found = features.select("page_id", F.lit(0).alias("prediction"))
     else:
-        model = KMeans(k=k, seed=seed, featuresCol="features", maxIter=max_iter).fit(features)
-        found = model.transform(features).select("page_id", "prediction")
+        fitted = kmeans(features, k, seed=seed, max_iter=max_iter)
+        if not fitted.converged:
+            warnings.warn(f"K-Means ended after {fitted.rounds} rounds without converging")
+        found = fitted.pages
     # At most n_clusters rows.
     sizes = found.groupBy("prediction").agg(
         F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first")).collect()
