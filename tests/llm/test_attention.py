@@ -74,3 +74,22 @@ def test_training_learns_what_a_bigram_cannot():
     assert last < first - 0.1
     again = model.shaped(model.flat(trainer.weights))
     assert all(np.array_equal(again[name], value) for name, value in trainer.weights.items())
+
+
+def test_large_weights_give_no_nan():
+    _, table, weights, lengths, starts, sequence = _setting(4)
+    large = {name: value * (40 if name in ("wq", "wk", "embed") else 1) for name, value in weights.items()}
+    windows = model.filled(sequence, starts, lengths, *model.cut(lengths))
+    assert np.isfinite(model.Scorer(large, table).windows(*windows)).all()
+    loss, slopes = model.loss_and_slopes(large, table, *windows)
+    assert np.isfinite(loss) and all(np.isfinite(slope).all() for slope in slopes.values())
+
+
+def test_adjoining_windows_hold_each_place_once():
+    _, _, _, lengths, starts, sequence = _setting(5)
+    rows, begins = model.cut(lengths, model.WINDOW)
+    _, _, scored = model.filled(sequence, starts, lengths, rows, begins, model.WINDOW)
+    place = begins[:, None] + np.arange(model.WINDOW)
+    seen = [(int(r), int(p)) for r, p in zip(np.broadcast_to(rows[:, None], scored.shape)[scored], place[scored])]
+    assert sorted(seen) == [(r, p) for r, n in enumerate(lengths) for p in range(n)]
+    assert len(rows) == sum(-(-n // model.WINDOW) for n in lengths)

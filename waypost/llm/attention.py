@@ -63,16 +63,17 @@ def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
     return found
 
 
-_EARLIER = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+_LATER = np.triu(np.full((WINDOW, WINDOW), -1e30, np.float32), 1)
 
 
 def _attend(q: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Attention of the last places, as many as ``q`` has, to themselves and earlier ones, not yet
     divided by its sum."""
     scores = q @ k.transpose(0, 2, 1)
-    np.minimum(scores, 60, out=scores)
+    scores += _LATER[WINDOW - q.shape[1]:]
+    # The largest of each row becomes zero, so no row is all underflow.
+    scores -= scores.max(axis=2, keepdims=True)
     np.exp(scores, out=scores)
-    scores *= _EARLIER[WINDOW - q.shape[1]:]
     return scores
 
 
@@ -226,21 +227,22 @@ class Trainer:
         return loss
 
 
-def cut(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cut(lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """(row, begin): overlapping windows over rows with so many places to score, each place once. The
-    first window of a row scores all its places, a later one those past the first WINDOW - STRIDE."""
-    number = np.where(lengths <= WINDOW, 1, 1 - (WINDOW - lengths) // STRIDE)
+    first window of a row scores all its places, a later one those past the first WINDOW - ``stride``.
+    With a stride of WINDOW they adjoin."""
+    number = np.where(lengths <= WINDOW, 1, 1 - (WINDOW - lengths) // stride)
     number = np.where(lengths > 0, number, 0)
     rows = np.repeat(np.arange(len(lengths)), number)
-    return rows, STRIDE * (np.arange(len(rows)) - np.repeat(np.cumsum(number) - number, number))
+    return rows, stride * (np.arange(len(rows)) - np.repeat(np.cumsum(number) - number, number))
 
 
-def filled(sequence: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray, begins: np.ndarray
-           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def filled(sequence: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray, begins: np.ndarray,
+           stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pieces, target, scored) of windows. Row r's sequence is ``sequence[starts[r]:]``, one longer than
     its places: place p predicts piece p + 1 from piece p and those before."""
     place = begins[:, None] + np.arange(WINDOW)
     there = place < lengths[rows][:, None]
     index = starts[rows][:, None] + np.where(there, place, 0)
-    scored = there & ((begins[:, None] == 0) | (np.arange(WINDOW) >= WINDOW - STRIDE))
+    scored = there & ((begins[:, None] == 0) | (np.arange(WINDOW) >= WINDOW - stride))
     return sequence[index], sequence[index + there], scored

@@ -4,8 +4,8 @@ Steps over the documents:
 
 1. every text is cut into pieces, once, and stored with them,
 2. words and pairs of pieces of the training documents are counted,
-3. twice, every partition trains the attention model on windows of its training documents from
-   common weights, and the weights are averaged by the windows seen,
+3. every partition trains the attention model on adjoining windows of its training documents from
+   common weights, and the weights are averaged by the places seen,
 4. every text is scored in overlapping windows that score each piece once.
 
 The counts of the most frequent words go to every task (a fixed number); all other words meet their
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from waypost.session import hold
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose counts are sent to all tasks.
 HEAD = 65_536
-ROUNDS = 2
+ROUNDS = 1
 #: Each round trains on one window in so many: on all.
 EVERY = 1
 #: Words in a worker's table of segmented words before it starts anew.
@@ -49,8 +50,8 @@ _PAIR = 1 << 20
 class Segmenter:
     """Piece ids of words, kept by word hash."""
 
-    def __init__(self, path: str):
-        self._pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+    def __init__(self, vocabulary: bytes):
+        self._pieces = sentencepiece.SentencePieceProcessor(model_proto=vocabulary)
         self.size = self._pieces.get_piece_size()
         self._reset()
 
@@ -106,8 +107,10 @@ def held_out(column: str = "doc_id") -> Column:
 
 def segmented(docs: DataFrame, path: str = PIECES) -> DataFrame:
     """(doc_id, held_out, text, ids) of every row: ids of the pieces of all words, none for a null text."""
+    sent = docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(path)
+        segmenter = Segmenter(sent.value)
         for batch in batches:
             for words in word_chunks(batch.column(2), lower=True, limit=_CHUNK):
                 ids, number = segmenter.pieces(words, word_hashes(words))
@@ -203,10 +206,10 @@ def _vocabulary(pairs: DataFrame, size: int) -> tuple[np.ndarray, model.Bigrams,
     return numbers, model.bigrams(seen), rare
 
 
-def _windows(ids: np.ndarray, number: np.ndarray, numbers: np.ndarray, end: int):
+def _windows(ids: np.ndarray, number: np.ndarray, numbers: np.ndarray, end: int, stride: int = model.STRIDE):
     """The model's sequences of a chunk and the windows over them."""
     sequence, starts = _sequences(ids, number, end)
-    rows, begins = model.cut(number + 1)
+    rows, begins = model.cut(number + 1, stride)
     return numbers[sequence], starts, rows, begins
 
 
@@ -233,10 +236,12 @@ def _round(docs: DataFrame, trained: Trained, number_of_round: int, every: int)
 
         for batch in batches:
             for ids, number in _list_chunks(batch.column(0)):
-                sequence, starts, rows, begins = _windows(ids, number, own.numbers, own.n_pieces)
+                # Adjoining windows: every place is learned from once, none is only context.
+                sequence, starts, rows, begins = _windows(ids, number, own.numbers, own.n_pieces, model.WINDOW)
                 chosen = np.flatnonzero(np.arange(len(rows)) % every == (7 * number_of_round + 3) % every)
                 if len(chosen):
-                    pools.append(model.filled(sequence, starts, number + 1, rows[chosen], begins[chosen]))
+                    pools.append(model.filled(
+                        sequence, starts, number + 1, rows[chosen], begins[chosen], model.WINDOW))
                     waiting += len(chosen)
                 if waiting > 2048:
                     learn()
