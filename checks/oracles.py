@@ -36,7 +36,7 @@ def host(url: str) -> str:
 
 
 def origin(url: str) -> str:
-    return f"regexp_extract({url}, '^([a-zA-Z]+://[^/?#]*)', 1)"
+    return f"lower(regexp_extract({url}, '^([a-zA-Z]+://[^/?#]*)', 1))"
 
 
 def segments(url: str) -> str:
@@ -154,6 +154,14 @@ fuzzy AS (
                     / (length(path) + length(tpath)) AS score FROM lcs)
     WHERE score >= 80) WHERE rn = 1)"""
 
+#: Clusters of equal vectors are the segments, numbered by size and then by first page.
+SEGMENTS = f"""WITH ranked AS (
+  SELECT c_mktsegment, row_number() OVER (ORDER BY count(*) DESC, min(c_custkey)) - 1 AS place
+  FROM customer GROUP BY c_mktsegment),
+labelled AS (
+  SELECT CAST(c_custkey AS BIGINT) AS page_id, CAST(place AS INTEGER) AS cluster_label,
+         {label_at('place % 5')} AS intention FROM customer JOIN ranked USING (c_mktsegment))"""
+
 ANCESTORS = """
 ups AS (
   SELECT page_id, lvl AS level,
@@ -381,6 +389,8 @@ ORACLES.update({
         'EUR' AS currency, p_brand AS brand, p_name AS product_name, p_type AS product_type,
         p_brand || '=/b/' || p_brand || '>' || p_name || '=/p/' || p_partkey AS breadcrumb FROM part""",
     "robots_rules": f"WITH {ROBOTS} SELECT origin, rule FROM rules",
+    "intent_segments": f"""{SEGMENTS} SELECT page_id, cluster_label, intention FROM labelled""",
+    "intent_segments_summary": f"""{SEGMENTS} SELECT intention, count(*) AS pages FROM labelled GROUP BY intention""",
     "robots_filter": f"""WITH {ROBOTS} SELECT page_id, url FROM pages p WHERE NOT EXISTS (
         SELECT 1 FROM rules r WHERE r.origin = {origin('p.url')}
         AND starts_with({raw_path('p.url')}, r.rule))""",

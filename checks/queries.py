@@ -279,6 +279,17 @@ def intent_summary(spark, d):
     return stats.intent_summary(classify_intent(t.site_pages(spark, d)))
 
 
+@query
+def intent_segments(spark, d):
+    """Pages whose only classifying term is a market segment, so their clusters are determined."""
+    return classify_intent(t.segment_pages(spark, d))
+
+
+@query
+def intent_segments_summary(spark, d):
+    return stats.intent_summary(classify_intent(t.segment_pages(spark, d)))
+
+
 # --- matching
 
 @query

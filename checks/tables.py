@@ -176,3 +176,12 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(script), crumbs, F.lit(f"</script>{script}{{broken</script></head><body>"),
             F.lit('<meta itemprop="gtin" content="99'), key, F.lit('"></body></html>'),
         ).alias("html"))
+
+
+def segment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per customer: the market segment among stop words and a number that no other page has."""
+    blank = F.lit("")
+    return read(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("long").alias("page_id"), F.col("c_mktsegment").alias("title"), blank.alias("h1"),
+        blank.alias("description"), F.concat(F.lit("le "), F.col("c_mktsegment"), F.lit(" est dans la "),
+                                             F.col("c_custkey").cast("string")).alias("body_text"))

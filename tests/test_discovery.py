@@ -107,3 +107,16 @@ def test_seeds_come_before_sitemap_urls(spark):
     more = spark.createDataFrame([("b",), ("c",)], "url string")
     got = [r.url for r in merge_seeds(seeds, more).orderBy("ord").collect()]
     assert got == ["b", "a", "c"]
+
+
+def test_robots_hosts_in_any_case_and_many_rules(spark):
+    many = "User-agent: *\n" + "\n".join(f"Disallow: /r{k}/" for k in range(5000)) + "\nDisallow: /private"
+    rules = robots(spark, many, "https://www.Shop.example")
+    rows = [(k, url) for k, url in enumerate((
+        "https://WWW.Shop.example/private/x", "HTTPS://www.shop.example/Private", "https://www.shop.example/r4999/a",
+        "https://www.shop.example/r5000/a", "https://www.shop.example", "https://other.example/private", None,
+        "https://www.shop.example/r7/b", "https://www.shop.example/r7/b"))]
+    left = robots_filter(spark.createDataFrame(rows, "page_id long, url string"), rules)
+    assert sorted(r.page_id for r in left.collect()) == [1, 3, 4, 5, 6]
+    assert left.columns == ["page_id", "url"]
+    assert robots_filter(spark.createDataFrame(rows, "page_id long, url string"), rules.limit(0)).count() == 9

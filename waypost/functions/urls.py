@@ -39,8 +39,8 @@ def netloc(url: Column) -> Column:
 
 
 def origin(url: Column) -> Column:
-    """``scheme://host`` of a URL."""
-    return F.concat(scheme(url), F.lit("://"), netloc(url))
+    """``scheme://host`` of a URL in lower case, as neither tells cases apart."""
+    return F.lower(F.concat(scheme(url), F.lit("://"), netloc(url)))
 
 
 def raw_path(url: Column) -> Column:

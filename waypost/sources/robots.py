@@ -36,17 +36,23 @@ def robots_rules(robots: DataFrame) -> DataFrame:
 
 
 def robots_filter(urls: DataFrame, robots: DataFrame) -> DataFrame:
-    """Drop URLs whose path starts with a rule of their own origin.
+    """Drop URLs whose path starts with a rule of their own origin, hosts in any case.
 
-    There is one row of rules per origin and they are tested in place, so no pairs of URL and
-    rule are ever produced.
+    A rule is a row keyed by origin and prefix, and a URL asks for its path's prefixes of the lengths that its
+    origin's rules have, at most one a length. So both sides meet by equality, neither a long rule list nor
+    the URLs of a busy origin are one join key, and no pairs of URL and rule that don't match are
+    ever produced. Equal URLs ask once.
     """
-    rules = robots_rules(robots).withColumnRenamed("origin", "_origin")
-    joined = urls.withColumn("_origin", origin(F.col("url"))).join(rules, "_origin", "left")
-    path = raw_path(F.col("url"))
-    blocked = F.exists("rules", lambda rule: F.startswith(F.col("_path"), rule))
-    return joined.withColumn("_path", path).where(
-        F.col("rules").isNull() | ~blocked).drop("_path", "_origin", "rules")
+    rules = robots_rules(robots).select(F.lower("origin").alias("_origin"), F.explode("rules").alias("_prefix")).distinct()
+    # Bounded by the longest rule of an origin.
+    lengths = rules.groupBy("_origin").agg(F.collect_set(F.length("_prefix")).alias("_lengths"))
+    asked = urls.select(F.col("url").alias("_url"), origin(F.col("url")).alias("_origin"),
+                        raw_path(F.col("url")).alias("_path")).distinct()
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_path"))
+    prefixes = asked.join(lengths, "_origin").select("_url", "_origin", F.explode(F.transform(
+        fitting, lambda n: F.substring(F.col("_path"), F.lit(1), n))).alias("_prefix"))
+    blocked = prefixes.join(rules, ["_origin", "_prefix"], "left_semi").select("_url").distinct()
+    return urls.join(blocked, F.col("url") == F.col("_url"), "left_anti")
 
 
 def discover_sitemaps(robots: DataFrame) -> DataFrame:
