@@ -28,6 +28,18 @@ def admissible(content_type: Column, html: Column, allowed: tuple[str, ...] = ("
     return typed & (F.length(html) >= min_length)
 
 
+def admitted(raw: DataFrame, allowed: tuple[str, ...] = ("text/html",), min_length: int = 0) -> DataFrame:
+    """The admissible rows of ``raw`` by its ``content_type`` column; all rows without that column.
+
+    Rows without html were not fetched: they have no type to judge and stay, as stubs. A fetched row
+    of unknown type goes.
+    """
+    if "content_type" not in raw.columns:
+        return raw
+    kept = admissible(F.coalesce("content_type", F.lit("")), F.col("html"), allowed, min_length)
+    return raw.where(F.col("html").isNull() | kept)
+
+
 def _stub_title(url: Column) -> Column:
     """Last path part with spaces for dashes: the title of a page that was not fetched."""
     last = F.regexp_extract(F.rtrim(raw_path(url), F.lit("/")), r"([^/]*)$", 1)
@@ -151,8 +163,8 @@ def _breadcrumb(block: Column) -> Column:
     return F.transform(ordered, lambda e: F.struct(e["name"].alias("name"), e["url"].alias("url")))
 
 
-def extract_products(pages: DataFrame) -> DataFrame:
-    """``(page_id, structured_data)`` from the ``json_ld`` and ``itemprop`` columns.
+def with_structured_data(pages: DataFrame) -> DataFrame:
+    """``pages`` with the column ``structured_data`` in place of ``json_ld`` and ``itemprop``.
 
     A page's blocks are folded inside its own row: the last non-empty value of a field wins,
     an offer's identifier counts only while there is none, and microdata fills in last.
@@ -160,32 +172,36 @@ def extract_products(pages: DataFrame) -> DataFrame:
     def of_type(name: str) -> Column:
         return F.filter("json_ld", lambda block: _json(block, "$['@type']") == name)
 
-    staged = pages.select(
-        "page_id", "itemprop",
-        F.transform(of_type("Product"), _product_fields).alias("products"),
-        F.get(F.reverse(of_type("BreadcrumbList")), 0).alias("crumbs"),
-    )
+    staged = pages.withColumns({
+        "_products": F.transform(of_type("Product"), _product_fields),
+        "_crumbs": F.get(F.reverse(of_type("BreadcrumbList")), 0),
+    })
 
     def last(name: str) -> Column:
-        values = F.transform(F.col("products"), lambda p: p[name])
+        values = F.transform(F.col("_products"), lambda p: p[name])
         return F.get(F.reverse(F.array_compact(values)), 0)
 
     codes = F.aggregate(
-        "products", F.struct(F.lit(None).cast("string").alias("gtin"),
-                             F.lit(None).cast("string").alias("ean")),
+        "_products", F.struct(F.lit(None).cast("string").alias("gtin"),
+                              F.lit(None).cast("string").alias("ean")),
         lambda acc, p: _fold_code(acc, p))
-    staged = staged.withColumn("codes", codes)
-    fallback = F.when(F.col("codes.ean").isNull(), F.col("itemprop"))
-    return staged.select("page_id", F.struct(
-        F.coalesce(fallback, F.col("codes.ean")).alias("ean"),
-        F.coalesce(fallback, F.col("codes.gtin")).alias("gtin"),
+    staged = staged.withColumn("_codes", codes)
+    fallback = F.when(F.col("_codes.ean").isNull(), F.col("itemprop"))
+    return staged.withColumn("structured_data", F.struct(
+        F.coalesce(fallback, F.col("_codes.ean")).alias("ean"),
+        F.coalesce(fallback, F.col("_codes.gtin")).alias("gtin"),
         last("sku").alias("sku"), last("price").alias("price"),
         last("currency").alias("currency"), last("brand").alias("brand"),
         last("availability").alias("availability"),
-        F.coalesce(_breadcrumb(F.col("crumbs")),
+        F.coalesce(_breadcrumb(F.col("_crumbs")),
                    F.array().cast("array<struct<name:string,url:string>>")).alias("breadcrumb"),
         last("product_name").alias("product_name"), last("product_type").alias("product_type"),
-    ).alias("structured_data"))
+    )).drop("json_ld", "itemprop", "_products", "_crumbs", "_codes")
+
+
+def extract_products(pages: DataFrame) -> DataFrame:
+    """``(page_id, structured_data)`` from the ``json_ld`` and ``itemprop`` columns."""
+    return with_structured_data(pages.select("page_id", "json_ld", "itemprop"))
 
 
 def _fold_code(acc: Column, product: Column) -> Column:

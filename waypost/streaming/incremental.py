@@ -5,34 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
-from waypost.operators.extract import extract_pages
-from waypost.operators.rows import dedupe_pages, insert_or_ignore
 from waypost.plans.match import TargetIndex, match_against
+from waypost.plans.page_table import BUCKETS, insert_pages, page_table
 from waypost.session import scratch_tables
 
 
-def _stored(df: DataFrame, path: str) -> DataFrame | None:
-    spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    return spark.read.parquet(path) if there else None
-
-
-def page_intake(raw: DataFrame, site: str, pages_path: str, *, mode: str = "parser"
-                ) -> DataStreamWriter:
+def page_intake(raw: DataFrame, site: str, pages_path: str, *, mode: str = "parser",
+                buckets: int = BUCKETS, **page_params) -> DataStreamWriter:
     """Stream raw pages into the page table, skipping ``(url, site)`` already stored.
 
     The stored table is the state: a batch that is run again after a failure finds its own
-    rows there and adds nothing, and no unbounded stream state is kept.
+    rows there and adds nothing, and no unbounded stream state is kept. A batch reads the buckets of
+    its own addresses. ``page_params`` go to ``page_table``.
     """
     def append(batch: DataFrame, _: int) -> None:
-        pages = extract_pages(batch, site, mode=mode).persist()   # read twice below
-        try:
-            stored = _stored(batch, pages_path)
-            fresh = dedupe_pages(pages) if stored is None else insert_or_ignore(stored, pages)
-            fresh.write.mode("append").partitionBy("site").parquet(pages_path)
-        finally:
-            pages.unpersist()
+        insert_pages(page_table(batch, site, mode=mode, **page_params), pages_path, buckets)
 
     return raw.writeStream.foreachBatch(append)
 
