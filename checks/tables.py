@@ -24,7 +24,8 @@ def site_column() -> Column:
 
 
 def site_pages(spark: SparkSession, sf_dir: str, mode: str = "pattern") -> DataFrame:
-    return extract_pages(read(spark, sf_dir, "pages"), site_column(), mode=mode)
+    # Titles and headings as the SQL reads them: an entity ends in a semicolon.
+    return extract_pages(read(spark, sf_dir, "pages"), site_column(), mode=mode, terminated_heads=True)
 
 
 def head_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,3 +156,14 @@ def test_links(spark):
         "https://a.com/a", "https://a.com/d/e/b/c", "https://a.com/d/up", "https://a.com/abs",
         "https://a.com/Z", "https://a.com/proto", "https://a.com/d/e/page", "https://a.com/dots",
         "https://a.com/d/e/page"])
+
+
+def test_references_without_semicolon_in_title_and_headings(spark):
+    html = ("<html>\n<title>\n a &amp;&lt;b &amp</title><body>\n<h1>x &copy; <b>&#233; &euro</b> &amp</h1>"
+            "<!-- c --><p>t &amp</p></body></html>")
+    plain = one(spark, html, "parser")
+    assert (plain.title, plain.h1) == ("a &<b &", "x ©é &euro&")   # browsers know no bare &euro
+    for mode in MODES:
+        row = one(spark, html, mode, terminated_heads=True)
+        assert (row.title, row.h1) == ("a &<b &amp", "x ©é &euro&amp")
+    assert one(spark, html, "parser", terminated_heads=True).body_text.endswith("t &")

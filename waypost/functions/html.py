@@ -31,6 +31,7 @@ _META = rf"(?is)<meta\s{_INSIDE}>"
 _LINK = rf"(?is)<a\s{_INSIDE}>"
 _VALUE = r"""\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+))"""
 _OTHER = r"""[^\s=>/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)?+"""
+_TERMINATED = re.compile(r"&(?:#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[a-zA-Z][a-zA-Z0-9]*);")
 _ENTITY = r"&(?:#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[a-zA-Z][a-zA-Z0-9]*+);|[^&]++|&"
 
 
@@ -124,13 +125,27 @@ def pattern_hrefs(markup: Column) -> Column:
     return F.array_compact(F.transform(found, lambda tag: attribute(tag, "href")))
 
 
+def decode_terminated(text: str) -> str:
+    """Decode references that end in a semicolon; others stay, as in ``decode_entities``."""
+    def char(found: re.Match) -> str:
+        reference = found[0]
+        return unescape(reference) if reference[1] == "#" else html5.get(reference[1:], reference)
+
+    return _TERMINATED.sub(char, text)
+
+
 class PageText(HTMLParser):
-    """Collects the stored fields of one page while the standard parser walks it."""
+    """Collects the stored fields of one page while the standard parser walks it.
+
+    With ``terminated_heads`` a reference without its semicolon stays as it is in title and headings.
+    """
 
     _SILENT = {"script", "style", "template"}
 
-    def __init__(self):
+    def __init__(self, terminated_heads: bool = False):
         super().__init__(convert_charrefs=True)
+        self.terminated_heads = terminated_heads
+        self._source, self._lines, self._from = "", [0], 0
         self.title, self.titles = None, 0
         self.headings: list[str] = []
         self.body: list[str] = []
@@ -143,6 +158,17 @@ class PageText(HTMLParser):
         self._in_body = False
         self._data: list[str] = []
 
+    def feed(self, data):
+        """The page as a whole: places in it are told from its start."""
+        self._source = data
+        if self.terminated_heads:
+            self._lines += [found.end() for found in re.finditer("\n", data)]
+        super().feed(data)
+
+    def _place(self) -> int:
+        line, offset = self.getpos()
+        return self._lines[line - 1] + offset
+
     def handle_starttag(self, tag, attrs):
         self._flush()
         found = dict(attrs)
@@ -184,6 +210,8 @@ class PageText(HTMLParser):
         self._flush()
 
     def handle_data(self, data):
+        if self.terminated_heads and not self._data:
+            self._from = self._place()
         self._data.append(data)
 
     def _flush(self):
@@ -193,11 +221,13 @@ class PageText(HTMLParser):
             self.blocks[-1] += text
         if inside in self._SILENT or inside == "ld+json":
             return
-        clean = text.strip()
+        clean = head = text.strip()
+        if self.terminated_heads and clean and (inside == "title" or "h1" in self._open):
+            head = decode_terminated(self._source[self._from:self._place()]).strip()
         if inside == "title" and self.titles == 1 and self.title is None:
-            self.title = clean
+            self.title = head
         if "h1" in self._open and self.headings:
-            self.headings[-1] += clean
+            self.headings[-1] += head
         if self._prop:
             self.itemprops[self._prop[0]] += clean
         if clean and self._in_body and inside != "title":
@@ -217,8 +247,8 @@ class PageText(HTMLParser):
         return ""
 
 
-def parse_page(html: str, limit: int = BODY_LIMIT) -> PageText:
-    page = PageText()
+def parse_page(html: str, limit: int = BODY_LIMIT, terminated_heads: bool = False) -> PageText:
+    page = PageText(terminated_heads)
     page.feed(_CUT_TAG.sub("", html))   # html cut off inside a tag: the rest is not text
     page.close()
     page.body_text = " ".join(page.body)[:limit]

@@ -47,12 +47,14 @@ def _stub_title(url: Column) -> Column:
 
 
 def extract_pages(raw: DataFrame, site: str | Column, *, mode: str = "parser",
-                  body_limit: int = BODY_LIMIT) -> DataFrame:
+                  body_limit: int = BODY_LIMIT, terminated_heads: bool = False) -> DataFrame:
     """Page table from ``raw(page_id, url, html[, status_code, depth])``.
 
     ``mode="parser"`` walks the markup in Arrow batches; ``mode="pattern"`` uses built-in
     expressions only. Both are narrow: no shuffle. Rows without html become stubs that keep
-    the URL, with status 0 and a title made from the last path part.
+    the URL, with status 0 and a title made from the last path part. The parser decodes references
+    without a semicolon as browsers do (``&amp`` at the end of a cut text); ``terminated_heads`` leaves
+    them in title and headings, so that both modes give a page the same ones.
     """
     if mode not in ("parser", "pattern"):
         raise ValueError(f"unknown mode: {mode}")
@@ -71,7 +73,7 @@ def extract_pages(raw: DataFrame, site: str | Column, *, mode: str = "parser",
             pattern_description(F.col("_tags")).alias("description"),
             pattern_h1(markup).alias("h1"), pattern_body(markup, body_limit).alias("body_text"))
     else:
-        fields = _parsed(base, body_limit)
+        fields = _parsed(base, body_limit, terminated_heads)
     blank = F.lit("")
 
     def text(name: str) -> Column:
@@ -87,7 +89,7 @@ def extract_pages(raw: DataFrame, site: str | Column, *, mode: str = "parser",
     return result
 
 
-def _parsed(base: DataFrame, limit: int) -> DataFrame:
+def _parsed(base: DataFrame, limit: int, terminated_heads: bool) -> DataFrame:
     """One Arrow pass over the html; the other columns travel with it, so no join follows."""
     schema = ("page_id long, url string, site string, depth int, status_code int, stub boolean, "
               "title string, description string, h1 string, body_text string, "
@@ -95,7 +97,7 @@ def _parsed(base: DataFrame, limit: int) -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pages = [parse_page(html or "", limit) for html in batch["html"]]
+            pages = [parse_page(html or "", limit, terminated_heads) for html in batch["html"]]
             yield pd.DataFrame({
                 "page_id": batch["page_id"], "url": batch["url"], "site": batch["site"],
                 "depth": batch["depth"], "status_code": batch["status_code"],
