@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
+from checks.queries import QUERIES
 from waypost.operators.extract import extract_pages
 from waypost.plans.match import build_target_index, match_sites
 from waypost.plans.migration import run_migration
@@ -61,3 +63,21 @@ def test_whole_migration(spark, tmp_path):
     assert len(kinds) == 9 and sum(kind == "exact" for kind in kinds.values()) == 7
     assert spark.read.parquet(f"{tmp_path}/classifications").count() == 16
     assert spark.read.text(f"{tmp_path}/htaccess").where("value like 'RewriteRule%'").count() == 9
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_stream_queries_read_a_file_and_a_folder(spark, tmp_path, parts):
+    # One address of the new site has a second page.
+    new = raw(spark, "n.com", 12, start=100)
+    pages = raw(spark, "o.com", 20).unionByName(new).unionByName(new.limit(1).withColumn(
+        "page_id", F.lit(500).cast("long"))).withColumn(
+        "url", F.when(F.col("page_id") < 100, F.replace("url", F.lit("https:"), F.lit("http:"))).otherwise(F.col("url")))
+    folder = f"{tmp_path}/pages.parquet"
+    if parts > 1:
+        pages.repartition(parts).write.parquet(folder)
+    else:
+        pages.toPandas().to_parquet(folder)
+    raw(spark, "other.com", 3, start=200).write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["stream_intake"](spark, str(tmp_path)).count() == 33
+    kinds = QUERIES["stream_match"](spark, str(tmp_path)).groupBy("match_type").count().collect()
+    assert sum(row["count"] for row in kinds) == 20 and dict(kinds)["exact"] == 12

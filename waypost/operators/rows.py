@@ -5,33 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _SALTS = 64
+ADDRESS = ("url", "site")   # what makes two rows the same page, unless a caller names other columns
 
 
 def pages_of_site(pages: DataFrame, site: str) -> DataFrame:
     return pages.where(F.col("site") == site)
 
 
-def dedupe_pages(pages: DataFrame) -> DataFrame:
-    """One row per ``(url, site)``: the lowest ``page_id``, then the lowest row fingerprint.
+def dedupe_pages(pages: DataFrame, keys: tuple[str, ...] = ADDRESS) -> DataFrame:
+    """One row per ``keys``: the lowest ``page_id``, then the lowest row fingerprint.
 
     Only keys are aggregated, so copies of a hot URL fold before the shuffle; the wide rows
     then meet their own key, and rows equal throughout are folded last.
     """
     marked = pages.withColumn("_row", F.xxhash64(*pages.columns))
-    first = marked.groupBy("url", "site").agg(F.min(F.struct("page_id", "_row")).alias("k")).select(
-        "url", "site", "k.*")
-    keys = ["url", "site", "page_id", "_row"]
-    return marked.join(first, keys, "left_semi").dropDuplicates(keys).drop("_row")
+    rest = [name for name in ("page_id", "_row") if name not in keys]
+    first = marked.groupBy(*keys).agg(F.min(F.struct("page_id", "_row")).alias("k")).select(
+        *keys, *[f"k.{name}" for name in rest])
+    whole = [*keys, *rest]
+    return marked.join(first, whole, "left_semi").dropDuplicates(whole).drop("_row")
 
 
-def insert_or_ignore(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Rows of ``incoming`` to append: unseen ``(url, site)``, first wins."""
-    return dedupe_pages(not_stored(stored, incoming))
+def insert_or_ignore(stored: DataFrame, incoming: DataFrame, keys: tuple[str, ...] = ADDRESS) -> DataFrame:
+    """Rows of ``incoming`` to append: unseen ``keys``, first wins."""
+    return dedupe_pages(not_stored(stored, incoming, keys), keys)
 
 
-def not_stored(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Resume: drop rows whose ``(url, site)`` is stored already."""
-    return incoming.join(stored.select("url", "site"), ["url", "site"], "left_anti")
+def not_stored(stored: DataFrame, incoming: DataFrame, keys: tuple[str, ...] = ADDRESS) -> DataFrame:
+    """Resume: drop rows whose ``keys`` are stored already."""
+    return incoming.join(stored.select(*keys), [*keys], "left_anti")
 
 
 def upsert_classifications(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from waypost.functions.urls import build_page_index
 from waypost.operators.extract import admitted, extract_pages, with_structured_data
-from waypost.operators.rows import dedupe_pages, insert_or_ignore
+from waypost.operators.rows import ADDRESS, dedupe_pages, insert_or_ignore
 
 BUCKETS = 64
 
@@ -57,8 +57,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("bucket")
 
 
-def known_addresses(pages: DataFrame, path: str) -> DataFrame | None:
-    """``(url, site)`` of the stored rows in the buckets of ``pages``; none before the first insert.
+def known_addresses(pages: DataFrame, path: str, keys: tuple[str, ...] = ADDRESS) -> DataFrame | None:
+    """``keys`` of the stored rows in the buckets of ``pages``; none before the first insert.
 
     The sites and buckets asked for are at most BUCKETS for each site and become partition filters.
     """
@@ -71,23 +71,28 @@ def known_addresses(pages: DataFrame, path: str) -> DataFrame | None:
     for site in sites:
         numbers = sorted(number for name, number in asked if name == site)
         wanted = wanted | ((F.col("site") == site) & F.col("bucket").isin(numbers))
-    return spark.read.parquet(path).where(wanted).select("url", "site")
+    return spark.read.parquet(path).where(wanted).select(*keys)
 
 
-def insert_pages(pages: DataFrame, path: str, buckets: int = BUCKETS) -> int:
-    """Append the pages whose ``(url, site)`` is not stored yet, the first of each; returns how many.
+def insert_pages(pages: DataFrame, path: str, buckets: int = BUCKETS,
+                 keys: tuple[str, ...] = ADDRESS) -> int:
+    """Append the pages whose ``keys`` are not stored yet, the first of each; returns how many.
 
-    The table itself is the state: inserting the same pages again adds nothing.
+    The table itself is the state: inserting the same pages again adds nothing. ``keys`` hold url and site,
+    which give the bucket; with page_id as a third, pages that share an address are all kept.
     """
+    if not {*ADDRESS} <= {*keys}:
+        raise ValueError("keys of the page table hold url and site")
     count = _bucket_count(pages.sparkSession, path, buckets)
     pages = pages.withColumn("bucket", F.pmod(F.xxhash64("url"), F.lit(count)).cast("int")).persist()
     try:
-        known = known_addresses(pages, path)
-        fresh = dedupe_pages(pages) if known is None else insert_or_ignore(known, pages)
+        known = known_addresses(pages, path, keys)
+        fresh = dedupe_pages(pages, keys) if known is None else insert_or_ignore(known, pages, keys)
         added = Observation()
-        # One file a bucket and insert, sorted so that a task has one file open at a time.
-        fresh.observe(added, F.count(F.lit(1)).alias("n")).repartition("site", "bucket").sortWithinPartitions(
-            "site", "bucket").write.mode("append").partitionBy("site", "bucket").parquet(path)
+        # One file a bucket and insert, sorted so that a task has one file open at a time. Counted last:
+        # a plan found empty at run time loses what is below its shuffles, a count there with it.
+        fresh.repartition("site", "bucket").sortWithinPartitions("site", "bucket").observe(
+            added, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("site", "bucket").parquet(path)
         return added.get["n"]
     finally:
         pages.unpersist()
