@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from waypost.operators.clusters import kmeans
+from waypost.operators.clusters import _Vectors, kmeans
 
 SCHEMA = "page_id long, term_ids array<bigint>, weights array<double>"
 
@@ -63,3 +63,20 @@ def test_fewer_vectors_than_clusters_and_round_limit(spark):
     rng = np.random.default_rng(1)
     short = kmeans(spark.createDataFrame(sparse(rng.random((80, 30))), SCHEMA), 6, max_iter=1)
     assert short.rounds == 1 and not short.converged
+
+
+def test_blocks_change_nothing_and_bound_a_round(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((200, 60)) * (rng.random((200, 60)) < 0.2)
+    x[3] = 0
+    frame = spark.createDataFrame(sparse(x), SCHEMA).repartition(4)
+    whole = kmeans(frame, 4, tol=0.0)
+    parts = kmeans(frame, 4, tol=0.0, block_entries=300)
+    assert sorted(map(tuple, whole.pages.collect())) == sorted(map(tuple, parts.pages.collect()))
+    assert parts.rounds == whole.rounds and parts.cost == pytest.approx(whole.cost, abs=1e-6)
+    # A round sends a block each of its terms once, not once for every page that holds it.
+    vectors = _Vectors(frame, 300)
+    asked = vectors.asked.selectExpr("sum(size(blocks))").first()[0]
+    blocks = vectors.blocks.select("block").distinct().count()
+    assert blocks > 4 and asked <= blocks * 60 < np.count_nonzero(x)
+    vectors.release()

@@ -1,21 +1,30 @@
 """K-Means over sparse vectors whose centres are a table.
 
-Vectors are rows (page, term, weight) and centres rows (term, a weight for each cluster). A round joins both
-by term and adds up each page's products; the nearest centre then decides the page's cluster, and
-the pages of a cluster add up to its new centre. Nothing as large as the vocabulary is ever held by the
-driver or by a task: only the join's own size check lets the planner send a small table of centres
-around. The first centres are pages drawn with odds of their squared distance from those drawn before, by a
-race of hash-drawn exponentials, so the draw needs no order of rows and a rerun agrees.
+Vectors lie in blocks of pages, centres are rows (term, a weight for each cluster). A block is sent the rows of
+the terms that its own pages hold, and answers with one row for each of them: the sum of its pages'
+weights in every cluster. So a round shuffles one row a block and term, not one for every entry of
+every page, and the vectors stay where they are. Nothing as large as the vocabulary is ever held by the
+driver or by a task. The first centres are pages drawn with odds of their squared distance from those drawn
+before, by a race of hash-drawn exponentials, so the draw needs no order of rows and a rerun agrees.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waypost.session import hold
 
+BLOCK_ENTRIES = 1 << 22   # weights of a block, about
+ROW_ENTRIES = 1 << 16     # weights of one of its rows
+_COUNTS, _COST, _STATE = -1, -2, -3   # a round's totals, in place of a term
+
 
 @dataclass(frozen=True)
 class Clusters:
@@ -28,38 +37,145 @@ class Clusters:
     converged: bool
 
 
-def _nearest(pages: DataFrame, entries: DataFrame, centres: DataFrame, k: int) -> DataFrame:
-    """(page_id, cluster, apart): the nearest centre of every page and its squared distance.
-
-    Pages without terms are at the origin. Ties go to the lower number.
-    """
-    squares = centres.agg(*[F.coalesce(F.sum(F.pow(F.get("centre", F.lit(c)), 2.0)), F.lit(0.0)) for c in range(k)]).first()
-    dots = entries.join(centres, "term_idx").groupBy("page_id").agg(
-        *[F.sum(F.col("weight") * F.get("centre", F.lit(c))).alias(f"dot{c}") for c in range(k)])
-    found = pages.join(dots, "page_id", "left")
-    # Rounded, so that sums in another order don't decide ties.
-    apart = [F.struct(F.round(F.col("square") + F.lit(squares[c]) - 2 * F.coalesce(f"dot{c}", F.lit(0.0)), 9).alias("apart"),
-                      F.lit(c).alias("cluster")) for c in range(k)]
-    best = F.least(*apart) if k > 1 else apart[0]
-    return found.select("page_id", best.alias("best")).select(
-        "page_id", "best.cluster", F.greatest("best.apart", F.lit(0.0)).alias("apart"))
-
-
-def _first_centres(pages: DataFrame, entries: DataFrame, k: int, seed: int) -> tuple[DataFrame, int]:
+_PACKED = {"page_id": np.int64, "sizes": np.int64, "weights": np.float64, "term_ids": np.int64}
+
+
+def _pack(block: int):
+    """Vectors of many pages as one row of bytes for each ``block`` entries or so, so that a round copies
+    them as they are."""
+    def pack(pages: pa.Table) -> pa.Table:
+        ids, weights = (pages[name].combine_chunks() for name in ("term_ids", "weights"))
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        whole = {"page_id": pages["page_id"].to_numpy(), "sizes": sizes,
+                 "weights": weights.flatten().to_numpy(zero_copy_only=False),
+                 "term_ids": ids.flatten().to_numpy(zero_copy_only=False)}
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        cuts = np.flatnonzero(np.diff(ends[:-1] // block, prepend=-1))   # first page of each row
+        rows = {name: [] for name in whole}
+        for first, last in zip(cuts, [*cuts[1:], len(sizes)]):
+            for name, values in whole.items():
+                part = (first, last) if name in ("page_id", "sizes") else (ends[first], ends[last])
+                rows[name].append(values[slice(*part)].tobytes())
+        return pa.table({"block": pa.array([pages["block"][0].as_py()] * len(cuts), pa.int32()),
+                         **{name: pa.array(parts, pa.binary()) for name, parts in rows.items()}})
+
+    return pack
+
+
+class _Block:
+    """The vectors of a block and the centres of their terms as arrays."""
+
+    def __init__(self, packed: pa.Table, centres: pa.Table, k: int):
+        centres = centres.sort_by("term_idx")
+        self.page_id, sizes, self.weight, ids = (
+            np.concatenate([np.frombuffer(part, dtype) for part in packed[name].to_pylist()])
+            for name, dtype in _PACKED.items())
+        self.terms = centres["term_idx"].to_numpy()
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        # Terms that no centre holds are sent too, so every one of the block's terms is found.
+        self.at = np.searchsorted(self.terms, ids)
+        self.centre = [pc.fill_null(centres[f"c{c}"], 0.0).to_numpy() for c in range(k)]
+
+    def nearest(self, squares: list[float]) -> tuple[np.ndarray, np.ndarray]:
+        """Cluster and squared distance of every page. Rounded, so that sums in another order don't decide
+        ties; ties go to the lower number."""
+        n = len(self.page_id)
+        own = np.bincount(self.row, self.weight ** 2, n)
+        apart = np.stack([np.round(own + square - 2 * np.bincount(
+            self.row, self.weight * self.centre[c][self.at], n), 9) for c, square in enumerate(squares)])
+        cluster = apart.argmin(axis=0)
+        return cluster, np.maximum(apart[cluster, np.arange(n)], 0.0)
+
+    def sums(self, cluster: np.ndarray, k: int) -> np.ndarray:
+        """The weights of every term in every cluster, added up over the block's pages."""
+        flat = np.bincount(self.at * k + cluster[self.row], self.weight, len(self.terms) * k)
+        return flat.reshape(len(self.terms), k)
+
+
+def _mixed(page_id: np.ndarray, cluster: np.ndarray) -> int:
+    """Tells one choice of clusters from another; small enough that doubles add it exactly."""
+    mixed = (page_id.astype(np.uint64) * np.uint64(8191) + cluster.astype(np.uint64) + np.uint64(1)) * np.uint64(
+        0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return int((mixed ^ (mixed >> np.uint64(32))).sum() & np.uint64((1 << 32) - 1))
+
+
+class _Vectors:
+    """The vectors in their blocks, and for each term the blocks that ask for it."""
+
+    def __init__(self, vectors: DataFrame, block_entries: int):
+        stored = hold(vectors.select("page_id", "term_ids", "weights"), "kmeans-vectors")
+        entries = stored.agg(F.sum(F.coalesce(F.size("term_ids"), F.lit(0)) + 1)).first()[0] or 0
+        # Small tables still get a block for every core.
+        cores = vectors.sparkSession.sparkContext.defaultParallelism
+        blocks = max(1, -(-entries // block_entries), min(cores, -(-entries // (block_entries // 16))))
+        partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.stored = stored
+        placed = stored.withColumn("block", F.pmod(F.xxhash64("page_id"), F.lit(blocks)).cast("int"))
+        self.blocks = placed.groupBy("block").applyInArrow(
+            _pack(ROW_ENTRIES), "block int, page_id binary, sizes binary, weights binary, term_ids binary").repartition(
+            blocks, "block").persist(StorageLevel.MEMORY_AND_DISK)
+        self.asked = placed.select("block", F.explode("term_ids").alias("term_idx")).distinct().groupBy(
+            "term_idx").agg(F.collect_list("block").alias("blocks")).repartition(
+            partitions, "term_idx").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def release(self) -> None:
+        self.blocks.unpersist()
+        self.asked.unpersist()
+
+    def _run(self, centres: DataFrame, k: int, schema: str, kernel: Callable[[_Block, list[float]], pa.Table]
+             ) -> DataFrame:
+        squares = list(centres.agg(*[F.coalesce(F.sum(F.pow(F.get("centre", F.lit(c)), 2.0)), F.lit(0.0))
+                                     for c in range(k)]).first())
+        sent = self.asked.join(centres, "term_idx", "left").select(
+            F.explode("blocks").alias("block"), "term_idx", *[F.get("centre", F.lit(c)).alias(f"c{c}") for c in range(k)])
+
+        def run(pages: pa.Table, own: pa.Table) -> pa.Table:
+            return kernel(_Block(pages, own, k), squares)
+
+        return self.blocks.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(run, schema)
+
+    def nearest(self, centres: DataFrame, k: int) -> DataFrame:
+        """(page_id, cluster, apart): the nearest centre of every page and its squared distance. Pages
+        without terms are at the origin."""
+        def kernel(block: _Block, squares: list[float]) -> pa.Table:
+            cluster, apart = block.nearest(squares)
+            return pa.table({"page_id": block.page_id, "cluster": cluster.astype(np.int32), "apart": apart})
+
+        return self._run(centres, k, "page_id long, cluster int, apart double", kernel)
+
+    def round(self, centres: DataFrame, k: int) -> DataFrame:
+        """(term_idx, s0, s1, ...): every term's weights added up by nearest centre, and the totals."""
+        def kernel(block: _Block, squares: list[float]) -> pa.Table:
+            cluster, apart = block.nearest(squares)
+            totals = np.zeros((3, k))
+            totals[0] = np.bincount(cluster, minlength=k)
+            totals[1, 0], totals[2, 0] = apart.sum(), _mixed(block.page_id, cluster)
+            values = np.concatenate([block.sums(cluster, k), totals])
+            return pa.table({"term_idx": np.concatenate([block.terms, [_COUNTS, _COST, _STATE]]).astype(np.int64),
+                                 **{f"s{c}": values[:, c] for c in range(k)}})
+
+        schema = "term_idx long, " + ", ".join(f"s{c} double" for c in range(k))
+        return self._run(centres, k, schema, kernel).groupBy("term_idx").agg(
+            *[F.sum(f"s{c}").alias(f"s{c}") for c in range(k)])
+
+
+def _first_centres(vectors: _Vectors, k: int, seed: int) -> tuple[DataFrame, int]:
     """The vectors of up to ``k`` pages as centres; fewer if there are fewer different vectors."""
     # A hash as a number between zero and one, never either.
     draw = (F.pmod(F.xxhash64(F.lit(seed), "page_id"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     race = -F.log(draw)
-    chosen = [pages.orderBy(race, "page_id").first()["page_id"]]
+    chosen = [vectors.stored.orderBy(race, "page_id").select("page_id").first()["page_id"]]
 
     def centres() -> DataFrame:
         # As many rows as k pages have terms.
-        own = entries.where(F.col("page_id").isin(chosen))
-        return own.groupBy("term_idx").agg(F.array(*[
-            F.sum(F.when(F.col("page_id") == page, F.col("weight")).otherwise(0.0)) for page in chosen]).alias("centre"))
+        own = vectors.stored.where(F.col("page_id").isin(chosen)).select(
+            "page_id", F.explode(F.arrays_zip("term_ids", "weights")).alias("t")).select("page_id", "t.*")
+        return own.groupBy(F.col("term_ids").alias("term_idx")).agg(F.array(*[
+            F.sum(F.when(F.col("page_id") == page, F.col("weights")).otherwise(0.0)) for page in chosen]).alias("centre"))
 
     while len(chosen) < k:
-        far = _nearest(pages, entries, centres(), len(chosen)).where("apart > 0")
+        far = vectors.nearest(hold(centres(), "kmeans-first"), len(chosen)).where("apart > 0")
         following = far.orderBy(race / F.col("apart"), "page_id").select("page_id").first()
         if following is None:
             break
@@ -67,41 +183,39 @@ def _first_centres(pages: DataFrame, entries: DataFrame, k: int, seed: int) -> t
     return centres(), len(chosen)
 
 
-def kmeans(vectors: DataFrame, k: int, *, seed: int = 42, max_iter: int = 200, tol: float = 1e-4) -> Clusters:
+def kmeans(vectors: DataFrame, k: int, *, seed: int = 42, max_iter: int = 200, tol: float = 1e-4,
+           block_entries: int = BLOCK_ENTRIES) -> Clusters:
     """Cluster ``vectors``: (page_id, term_ids, weights), one row per page; null arrays are the origin.
 
     Rounds go on until no page moves, or the cost falls by less than the ``tol`` part of it, or
     ``max_iter`` are done; ``converged`` tells the last from the others. Clusters that lose all their
     pages keep their centre. Fewer clusters come out where there are fewer different vectors.
     """
-    spread_out = hold(vectors.select("page_id", F.arrays_zip("term_ids", "weights").alias("terms")), "kmeans-vectors")
-    entries = hold(spread_out.select("page_id", F.explode("terms").alias("t")).select(
-        "page_id", F.col("t.term_ids").alias("term_idx"), F.col("t.weights").alias("weight")), "kmeans-entries")
-    square = F.aggregate(F.coalesce("terms", F.array().cast("array<struct<term_ids: bigint, weights: double>>")),
-                         F.lit(0.0), lambda total, t: total + t["weights"] * t["weights"])
-    pages = hold(spread_out.select("page_id", square.alias("square")), "kmeans-pages")
-    centres, k = _first_centres(pages, entries, k, seed)
+    blocked = _Vectors(vectors, block_entries)
+    centres, k = _first_centres(blocked, k, seed)
     centres = hold(centres, "kmeans-centres")
     state, cost, rounds, converged = None, None, 0, False
     while True:
-        near = hold(_nearest(pages, entries, centres, k), "kmeans-nearest")
-        now = near.agg(F.sum(F.xxhash64("page_id", "cluster").cast("decimal(38,0)")).alias("state"), F.sum("apart").alias("cost"),
-                       *[F.sum((F.col("cluster") == c).cast("long")).alias(f"n{c}") for c in range(k)]).first()
+        done = hold(blocked.round(centres, k), "kmeans-round")
+        totals = {row["term_idx"]: row for row in done.where("term_idx < 0").collect()}   # three rows
+        counts = [totals[_COUNTS][f"s{c}"] for c in range(k)]
+        now = totals[_STATE]["s0"], totals[_COST]["s0"]
         rounds += 1
-        converged = now["state"] == state or cost is not None and cost - now["cost"] <= tol * cost
-        state, cost = now["state"], now["cost"]
+        converged = now[0] == state or cost is not None and cost - now[1] <= tol * cost
+        state, cost = now
         if converged or rounds >= max_iter:
-            return Clusters(near.select("page_id", F.col("cluster").alias("prediction")), centres, cost, rounds, converged)
+            found = hold(blocked.nearest(centres, k).select("page_id", F.col("cluster").alias("prediction")),
+                         "kmeans-pages")
+            blocked.release()
+            return Clusters(found, centres, cost, rounds, converged)
 
         def share(c: int) -> Column:
-            own = F.sum(F.when(F.col("cluster") == c, F.col("weight")).otherwise(0.0))
-            return own / float(now[f"n{c}"])
+            return F.col(f"s{c}") / counts[c] if counts[c] else F.lit(0.0)
 
+        moved = done.where("term_idx >= 0").select("term_idx", F.array(*[share(c) for c in range(k)]).alias("centre"))
         # A cluster without pages keeps its old centre; that is rare, so only then is it joined again.
-        moved = entries.join(near.select("page_id", "cluster"), "page_id").groupBy("term_idx").agg(
-            F.array(*[share(c) if now[f"n{c}"] else F.lit(0.0) for c in range(k)]).alias("centre"))
-        if not all(now[f"n{c}"] for c in range(k)):
+        if not all(counts):
             old = centres.select("term_idx", F.col("centre").alias("old"))
-            kept = [F.coalesce(F.get("centre" if now[f"n{c}"] else "old", F.lit(c)), F.lit(0.0)) for c in range(k)]
+            kept = [F.coalesce(F.get("centre" if counts[c] else "old", F.lit(c)), F.lit(0.0)) for c in range(k)]
             moved = moved.join(old, "term_idx", "full").select("term_idx", F.array(*kept).alias("centre"))
         centres = hold(moved, "kmeans-centres")
