@@ -1,8 +1,10 @@
 import random
 
+import pandas as pd
 import pytest
 
 from waypost.functions.similarity import token_set_ratio
+from waypost.operators import fuzzy
 from waypost.operators.fuzzy import length_bands, match_fuzzy
 
 
@@ -93,3 +95,22 @@ def test_partners_meet_in_a_band(threshold):
             if 2 * min(n, m) >= t * (n + m):
                 partner = dict(length_bands(m, t, own=False))
                 assert own in partner and partner[own] <= max(n, 1) + 1e-9 and shortest <= m + 1e-9
+
+
+@pytest.mark.parametrize("blank", [False, True])
+def test_a_block_holds_some_pairs_at_a_time(monkeypatch, blank):
+    sep = " " if blank else "-"
+    left = pd.DataFrame({"path": [f"/shop{sep}red{sep}vase{sep}{i:03d}" for i in range(60)], "key": 1})
+    right = pd.DataFrame({"path": [f"/shop{sep}red{sep}vases{sep}{i:03d}" for i in range(50)],
+                          "first_id": range(50), "key": 1})
+    left, right = (pd.concat([side, side.assign(key=2)], ignore_index=True) for side in (left, right))
+    make = fuzzy._best_sharing_words if blank else fuzzy.best_in_block
+    whole = make(80.0)(left.copy(), right.copy())
+    sizes, name = [], "WordBlock" if blank else "PathBlock"
+    scores = getattr(fuzzy, name).scores
+    monkeypatch.setattr(getattr(fuzzy, name), "scores",
+                        lambda self, i, *rest: sizes.append(len(i)) or scores(self, i, *rest))
+    monkeypatch.setattr(fuzzy, "PART_PAIRS", 200)
+    parts = make(80.0)(left.copy(), right.copy())
+    assert len(whole) == 60 and max(sizes) <= 200
+    assert whole.sort_values("path").reset_index(drop=True).equals(parts.sort_values("path").reset_index(drop=True))

@@ -18,6 +18,7 @@ its own band, a target those next to its own, with a shorter prefix for bands of
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,7 @@ from waypost.session import hold
 THRESHOLD = 80.0
 HIGHEST = 100.0
 BLOCK_ROWS = 4_096
+PART_PAIRS = 1_000_000   # pairs of a block that are held at a time
 
 _CODES = 4_096
 _REPEATS = 4                      # a code's 1st, 2nd, 3rd and later occurrences
@@ -138,9 +140,9 @@ def _best_rows(i: np.ndarray, j: np.ndarray, score: np.ndarray, left: pd.DataFra
 
 
 def _survivors(block: PathBlock, meets: np.ndarray, threshold: float
-               ) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that may reach the threshold by their characters and by their bigrams. Both bounds
-    are lossless for pairs without shared tokens."""
+               ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that may reach the threshold by their characters and by their bigrams, some left rows at a
+    time. Both bounds are lossless for pairs without shared tokens."""
     n_left, n_right = meets.shape
     t = threshold / 100.0
 
@@ -152,8 +154,7 @@ def _survivors(block: PathBlock, meets: np.ndarray, threshold: float
     char_left, char_right = needed(0.5 * t, 0.0)
     pair_left, pair_right = needed(1.5 * t - 1.0, 1.0)
     characters, bigrams = block.characters(), None
-    found_left, found_right = [], []
-    step = max(1, 1_000_000 // n_right)
+    step = max(1, PART_PAIRS // n_right)
     for at in range(0, n_left, step):
         part = slice(at, at + step)
         fits = characters.rows(part) >= char_left[part] + char_right
@@ -162,14 +163,34 @@ def _survivors(block: PathBlock, meets: np.ndarray, threshold: float
             bigrams = bigrams or block.bigrams()
             fits &= bigrams.rows(part) >= pair_left[part] + pair_right
         i, j = np.nonzero(fits)
-        found_left.append(i + at)
-        found_right.append(j)
-    return np.concatenate(found_left), np.concatenate(found_right)
+        yield i + at, j
+
+
+def _meeting(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    """Which rows share a key: a matrix, as large however many keys two rows share."""
+    left["row"], paths = pd.factorize(left["path"])
+    right["row"], ids = pd.factorize(right["first_id"])
+    meets = np.zeros((len(paths), len(ids)), dtype=bool)
+    right_rows = dict(tuple(right.groupby("key")["row"]))
+    for key, rows in left.groupby("key")["row"]:
+        if key in right_rows:
+            meets[np.ix_(rows.to_numpy(), right_rows[key].to_numpy())] = True
+    return meets
+
+
+def _best_of(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], threshold: float, left: pd.DataFrame,
+             right: pd.DataFrame) -> pd.DataFrame:
+    """The best pair of every left row; a left row's pairs are all in one part."""
+    found = []
+    for i, j, score in parts:
+        keep = score >= threshold
+        if keep.any():
+            found.append(_best_rows(i[keep], j[keep], score[keep], left, right))
+    return pd.concat(found, ignore_index=True) if found else _found()
 
 
-def _sharing_words(left: list[str], right: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _sharing_words(left_words: list[set], right_words: list[set], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Pairs of paths with blanks that share a word: the token-set score holds for them instead."""
-    left_words, right_words = ([set(path.split()) for path in side] for side in (left, right))
     blank = np.array([len(words) > 1 for words in left_words])[i] | np.array(
         [len(words) > 1 for words in right_words])[j]
     shared = np.zeros(len(i), dtype=bool)
@@ -184,26 +205,19 @@ def best_in_block(threshold: float):
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return _found()
-        left["row"], paths = pd.factorize(left["path"])
-        right["row"], ids = pd.factorize(right["first_id"])
-        meets = np.zeros((len(paths), len(ids)), dtype=bool)
-        right_rows = dict(tuple(right.groupby("key")["row"]))
-        for key, rows in left.groupby("key")["row"]:
-            if key in right_rows:
-                meets[np.ix_(rows.to_numpy(), right_rows[key].to_numpy())] = True
+        meets = _meeting(left, right)
         left = left.drop_duplicates("row")
         right = right.drop_duplicates("row")
-        left_text = [canonical(path) for path in left["path"]]
-        right_text = [canonical(path) for path in right["path"]]
-        block = PathBlock(left_text, right_text)
-        i, j = _survivors(block, meets, threshold)
-        apart = ~_sharing_words(left["path"].to_list(), right["path"].to_list(), i, j)
-        i, j = i[apart], j[apart]
-        if not len(i):
-            return _found()
-        score = block.scores(i, j)
-        keep = score >= threshold
-        return _best_rows(i[keep], j[keep], score[keep], left, right)
+        left_words, right_words = ([set(path.split()) for path in side["path"]] for side in (left, right))
+        block = PathBlock([canonical(path) for path in left["path"]], [canonical(path) for path in right["path"]])
+
+        def scored():
+            for i, j in _survivors(block, meets, threshold):
+                apart = ~_sharing_words(left_words, right_words, i, j)
+                i, j = i[apart], j[apart]
+                yield i, j, block.scores(i, j)
+
+        return _best_of(scored(), threshold, left, right)
 
     return kernel
 
@@ -214,14 +228,17 @@ def _best_sharing_words(threshold: float):
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return _found()
-        left["row"], paths = pd.factorize(left["path"])
-        right["row"], ids = pd.factorize(right["first_id"])
-        met = left[["key", "row"]].merge(right[["key", "row"]], on="key")[["row_x", "row_y"]].drop_duplicates()
-        i, j = met["row_x"].to_numpy(), met["row_y"].to_numpy()
+        meets = _meeting(left, right)
         left, right = left.drop_duplicates("row"), right.drop_duplicates("row")
-        score = WordBlock(left["path"].to_list(), right["path"].to_list()).scores(i, j, threshold)
-        keep = score >= threshold
-        return _best_rows(i[keep], j[keep], score[keep], left, right)
+        block = WordBlock(left["path"].to_list(), right["path"].to_list())
+
+        def scored():
+            step = max(1, PART_PAIRS // len(right))
+            for at in range(0, len(left), step):
+                i, j = np.nonzero(meets[at:at + step])
+                yield i + at, j, block.scores(i + at, j, threshold)
+
+        return _best_of(scored(), threshold, left, right)
 
     return kernel
 
