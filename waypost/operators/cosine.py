@@ -10,6 +10,7 @@ and rarely enter a prefix.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,7 @@ THRESHOLD = 0.30
 HIGHEST = 1.0
 
 BLOCK_ROWS = 16_384
+PART_ENTRIES = 1_000_000   # postings and scores of a block that are held at a time
 # Scores closer than this count as equal, so the tie rule does not depend on summation order.
 SCORE_DIGITS = 9
 
@@ -88,6 +90,17 @@ def prefix_keys(threshold: float) -> Column:
     return F.slice("term_ids", F.lit(1), F.size("term_ids") - tails)
 
 
+def _parts(hits: np.ndarray, n_right: int) -> Iterator[tuple[int, int]]:
+    """Ranges of left rows with about ``PART_ENTRIES`` postings met and scores held, one row at least."""
+    at = 0
+    met = np.concatenate([[0], np.cumsum(hits)])
+    while at < len(hits):
+        last = min(at + max(1, PART_ENTRIES // n_right), int(np.searchsorted(met, met[at] + PART_ENTRIES, "right")) - 1)
+        last = min(max(last, at + 1), len(hits))
+        yield at, last
+        at = last
+
+
 def best_in_block(threshold: float):
     """Kernel: sparse product of a block, one best target per source."""
 
@@ -105,27 +118,29 @@ def best_in_block(threshold: float):
         owner = np.repeat(np.arange(n_right), sizes)[order]
         weight = np.concatenate(right["weights"].to_list())[order]
 
+        sizes = left["term_ids"].str.len().to_numpy()
+        probes = np.concatenate(left["term_ids"].to_list())
+        scales = np.concatenate(left["weights"].to_list())
+        first = np.searchsorted(terms, probes, "left")
+        hits = np.searchsorted(terms, probes, "right") - first
+        row_ends = np.cumsum(sizes)
+        left_ids, right_ids = left["source_id"].to_numpy(), right["target_id"].to_numpy()
         ids, best_ids, scores = [], [], []
-        step = max(1, 1_000_000 // n_right)
-        for at in range(0, len(left), step):
-            part = left.iloc[at:at + step]
-            rows = np.repeat(np.arange(len(part)), part["term_ids"].str.len().to_numpy())
-            probe = np.concatenate(part["term_ids"].to_list())
-            scale = np.concatenate(part["weights"].to_list())
-            first = np.searchsorted(terms, probe, "left")
-            hits = np.searchsorted(terms, probe, "right") - first
-            entry = np.repeat(np.arange(len(probe)), hits)
-            within = np.arange(len(entry)) - np.repeat(np.cumsum(hits) - hits, hits)
-            posting = first[entry] + within
+        for at, last in _parts(np.bincount(np.repeat(np.arange(len(left)), sizes), hits, len(left)), n_right):
+            own = slice(row_ends[at] - sizes[at], row_ends[last - 1])
+            rows = np.repeat(np.arange(last - at), sizes[at:last])
+            entry = np.repeat(np.arange(len(rows)), hits[own])
+            within = np.arange(len(entry)) - np.repeat(np.cumsum(hits[own]) - hits[own], hits[own])
+            posting = first[own][entry] + within
             product = np.bincount(rows[entry] * n_right + owner[posting],
-                                  weights=scale[entry] * weight[posting],
-                                  minlength=len(part) * n_right)
-            product = product.reshape(len(part), n_right).round(SCORE_DIGITS)
+                                  weights=scales[own][entry] * weight[posting],
+                                  minlength=(last - at) * n_right)
+            product = product.reshape(last - at, n_right).round(SCORE_DIGITS)
             best = product.argmax(axis=1)   # first maximum: the lowest target id
-            top = product[np.arange(len(part)), best]
+            top = product[np.arange(last - at), best]
             keep = top >= threshold
-            ids.append(part["source_id"].to_numpy()[keep])
-            best_ids.append(right["target_id"].to_numpy()[best[keep]])
+            ids.append(left_ids[at:last][keep])
+            best_ids.append(right_ids[best[keep]])
             scores.append(top[keep])
         return pd.DataFrame({"source_id": np.concatenate(ids),
                              "target_id": np.concatenate(best_ids),
