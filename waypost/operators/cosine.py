@@ -49,28 +49,22 @@ class CosineIndex:
         return cls(spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/vectors"))
 
 
-def page_terms(pages: DataFrame) -> DataFrame:
-    """Term lists, stored: vocabulary and vectors read them several times."""
-    return hold(term_lists(pages, F.col("match_text")), "term-lists")
-
-
-def vocabulary_of(terms: DataFrame, max_features: int | None = MAX_FEATURES) -> DataFrame:
-    return build_vocabulary(terms, terms.count(), min_df=MIN_DF, max_df=MAX_DF, max_features=max_features)
-
-
 def target_vocabulary(target: DataFrame, max_features: int | None = MAX_FEATURES) -> DataFrame:
-    return vocabulary_of(page_terms(target), max_features)
+    terms = term_lists(target, F.col("match_text"))
+    return build_vocabulary(terms, target.count(), min_df=MIN_DF, max_df=MAX_DF,
+                            max_features=max_features)
 
 
 def page_vectors(pages: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    return weight_vectors(page_terms(pages), vocabulary, sublinear=True)
+    # A word and its pair take about six characters; counting the terms would mean listing them twice.
+    n_rows = pages.agg(F.coalesce(F.sum(F.length("match_text")), F.lit(0))).first()[0] // 3
+    return weight_vectors(term_lists(pages, F.col("match_text")), vocabulary, sublinear=True, n_rows=n_rows)
 
 
 def build_cosine_index(target: DataFrame, max_features: int | None = MAX_FEATURES) -> CosineIndex:
     """Fit on ``target(page_id, match_text)``."""
-    terms = page_terms(target)
-    vocabulary = vocabulary_of(terms, max_features)
-    vectors = weight_vectors(terms, vocabulary, sublinear=True)
+    vocabulary = target_vocabulary(target, max_features)
+    vectors = page_vectors(target, vocabulary)
     # Equal term counts give equal vectors; the lowest page wins a tie anyway.
     folded = vectors.groupBy("term_ids", "weights").agg(F.min("page_id").alias("target_id"))
     return CosineIndex(vocabulary, hold(folded, "target-vectors"))

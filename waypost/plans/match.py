@@ -12,7 +12,7 @@ from waypost.operators import cosine, fuzzy
 from waypost.operators.cosine import CosineIndex, build_cosine_index, match_cosine
 from waypost.operators.fuzzy import match_fuzzy
 from waypost.operators.paths import climb, target_path_table
-from waypost.session import hold
+from waypost.session import hold, spread
 
 REDIRECT_COLUMNS = [
     "source_page_id", "source_url", "target_url", "match_type", "score", "raw_confidence",
@@ -22,6 +22,7 @@ _EMPTY = ("source_page_id long, source_url string, target_url string, match_type
           "score double, raw_confidence string, confidence string, source_intention string, "
           "target_intention string, intent_mismatch boolean")
 
+_READ_COLUMNS = ["page_id", "url", "title", "h1", "description", "intention"]
 _INDEX_COLUMNS = ["page_id", "url", "path", "segments", "url_hash", "match_text", "intention"]
 
 
@@ -48,12 +49,17 @@ class TargetIndex:
                    CosineIndex.load(spark, f"{path}/cosine") if stored else None)
 
 
+def _narrow(pages: DataFrame) -> DataFrame:
+    return pages.select(*[name for name in _READ_COLUMNS if name in pages.columns])
+
+
 def _indexed(pages: DataFrame, intents: DataFrame | None, status_filter: Column | None,
              label: str) -> DataFrame:
     """Only the columns matching reads; bodies and html never enter a shuffle."""
     if status_filter is not None:
         pages = pages.where(status_filter)
-    pages = build_page_index(pages)
+    # Taking an address apart is the costliest work per row, and rows are narrow here.
+    pages = build_page_index(spread(_narrow(pages), even=True))
     if intents is not None:
         pages = pages.drop("intention").join(intents.select("page_id", "intention"),
                                              "page_id", "left")

@@ -85,16 +85,17 @@ def hold(df: DataFrame, label: str, scratch: bool = True) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, even: bool = False) -> DataFrame:
     """Use all cores for costly per-row work on a scan of very few files.
 
     A large scan already has more partitions than cores and is left as it is, and so is
-    anything behind a shuffle, where counting partitions would mean running it.
+    anything behind a shuffle, where counting partitions would mean running it. With ``even`` the
+    rows of a large scan are dealt out too: a file of few row groups fills few of its partitions.
     """
     if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(max(cores, parts)) if even or parts < cores else df
 
 
 def ship_package(spark: SparkSession) -> None:
