@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from waypost.functions.similarity import PathBlock, WordBlock
 from waypost.operators.blocks import block_join
-from waypost.session import hold
+from waypost.session import hold, spread
 
 THRESHOLD = 80.0
 HIGHEST = 100.0
@@ -284,7 +284,8 @@ def match_fuzzy(source: DataFrame, target_paths: DataFrame, *, threshold: float
     t = threshold / 100.0
     paired = t >= _SENTINEL_FROM
     sources = source.select("path").distinct()
-    targets = target_paths.select("path", "first_id")
+    # Paths are short, so a table of many is few splits; their tokens are costly.
+    targets = spread(target_paths.select("path", "first_id"), even=True)
     rarity = token_rarity(targets, paired)
     # Both sides in one stored table; source rows have no page order.
     both = sources.select("path", F.lit(None).cast("long").alias("first_id"),
