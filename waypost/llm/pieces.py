@@ -31,6 +31,8 @@ _PENALTY = 10.0
 #: Parts in a worker's table before it starts anew, and the longest part that is segmented in bulk.
 TABLE = 400_000
 _BULK = 96
+#: Bytes of text, or ids, that a worker turns at once; it holds a batch of rows, but not what becomes of all of them.
+CHUNK = 1 << 20
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -262,6 +264,16 @@ def segment_many(voc: Vocabulary, parts: list[bytes]) -> tuple[np.ndarray, np.nd
     return found[found >= 0], filled
 
 
+def _parts(column: pa.Array, sizes: pa.Array) -> Iterator[pa.Array]:
+    """Row ranges of a column, each of about ``CHUNK`` bytes or ids by ``sizes``."""
+    ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(column):
+        last = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + CHUNK, side="right"))
+        yield column[first:max(last, first + 1)]
+        first = max(last, first + 1)
+
+
 class Encoder:
     """Segments texts; keeps the parts seen in a table of bounded size."""
 
@@ -310,6 +322,13 @@ class Encoder:
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
         return self._flat[index], np.diff(ends[bounds])
 
+    def arrays(self, column: pa.Array) -> Iterator[pa.Array]:
+        """Lists of ids of all rows of a text column, a few rows at a time."""
+        for some in _parts(column, pc.binary_length(column)):
+            ids, number = self.encode([value.as_buffer().to_pybytes() for value in pc.fill_null(some, "")])
+            offsets = np.concatenate([[0], np.cumsum(number)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
+
 
 class Decoder:
     """Turns ids back into text."""
@@ -327,30 +346,23 @@ class Decoder:
         found = self._bytes[index].tobytes()
         return (found[1:] if found[:1] == b" " else found).decode("utf-8", "replace")
 
+    def arrays(self, column: pa.Array) -> Iterator[pa.Array]:
+        """Texts of all rows of a column of id lists, a few rows at a time."""
+        for some in _parts(column, pc.list_value_length(column)):
+            flat, offsets = some.values.to_numpy(zero_copy_only=False), some.offsets.to_numpy()
+            yield pa.array([self.decode(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.string())
+
 
 def encoded(spark: SparkSession, voc: Vocabulary, text: Column) -> Column:
     """array<int> of piece ids of each text; null and empty texts have none."""
     sent = spark.sparkContext.broadcast(voc)
     own: dict[str, Encoder] = {}
 
-    def run(column: pa.Array) -> pa.Array:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if "encoder" not in own:
             own["encoder"] = Encoder(sent.value)
-        encoder = own["encoder"]
-        column = pc.fill_null(column, "")
-        flat, counts, some, size = [], [], [], 0
-        for i, value in enumerate(column):
-            some.append(value.as_buffer().to_pybytes())
-            size += len(some[-1])
-            if size > 1 << 22 or i + 1 == len(column):
-                ids, number = encoder.encode(some)
-                flat.append(ids)
-                counts.append(number)
-                some, size = [], 0
-        counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(
-            np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32()))
+        for column in columns:
+            yield from own["encoder"].arrays(column)
 
     return F.arrow_udf(run, "array<int>")(text)
 
@@ -360,12 +372,11 @@ def decoded(spark: SparkSession, voc: Vocabulary, ids: Column) -> Column:
     sent = spark.sparkContext.broadcast(voc)
     own: dict[str, Decoder] = {}
 
-    def run(column: pa.Array) -> pa.Array:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if "decoder" not in own:
             own["decoder"] = Decoder(sent.value)
-        flat = column.values.to_numpy(zero_copy_only=False)
-        offsets = column.offsets.to_numpy()
-        return pa.array([own["decoder"].decode(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.string())
+        for column in columns:
+            yield from own["decoder"].arrays(column)
 
     return F.arrow_udf(run, "string")(ids)
 
