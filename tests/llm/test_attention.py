@@ -93,3 +93,19 @@ def test_adjoining_windows_hold_each_place_once():
     seen = [(int(r), int(p)) for r, p in zip(np.broadcast_to(rows[:, None], scored.shape)[scored], place[scored])]
     assert sorted(seen) == [(r, p) for r, n in enumerate(lengths) for p in range(n)]
     assert len(rows) == sum(-(-n // model.WINDOW) for n in lengths)
+
+
+def test_weights_lie_in_one_array_and_steps_are_those_of_adam():
+    _, table, _, lengths, starts, sequence = _setting(6)
+    windows = model.filled(sequence, starts, lengths, *model.cut(lengths))
+    trainer = model.Trainer(model.start(), table)
+    own, mean, square = model.start(), 0.0, 0.0
+    for step in range(1, 4):
+        slope = model.flat(model.loss_and_slopes(own, table, *windows)[1]).astype(float)
+        mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope ** 2
+        moved = 0.01 * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-8)
+        own = model.shaped(model.flat(own) - moved)
+        trainer.learn(*windows)
+        assert np.mean(np.abs(model.flat(trainer.weights) - model.flat(own)) < 1e-3) > 0.999
+    base = trainer.weights["uc"].base
+    assert base is not None and all(value.base is base for value in trainer.weights.values())

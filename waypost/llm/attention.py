@@ -100,7 +100,7 @@ def _member_logits(table: Bigrams, um: np.ndarray, seen: np.ndarray, before: np.
     for c in range(CLASSES):
         rows = slice(bounds[c], bounds[c + 1])
         if bounds[c] < bounds[c + 1]:
-            logits[rows] += seen[rows] @ um[c]
+            logits[rows] += seen[rows].dot(um[c])
     return logits
 
 
@@ -158,58 +158,66 @@ def loss_and_slopes(weights: dict[str, np.ndarray], table: Bigrams, pieces: np.n
     x += weights["place"]
     flat_x = x.reshape(-1, WIDTH)
     q, k, v = (flat_x.dot(weights[name]).reshape(x.shape) for name in ("wq", "wk", "wv"))
-    attention = _attend(q * root, k)
-    attention /= attention.sum(axis=2, keepdims=True)
+    q *= root
+    # Not divided by its sums; what it gathers and the slopes of that are, which are narrower.
+    attention = _attend(q, k)
+    weighed = (attention.reshape(-1, WINDOW) @ np.ones(WINDOW, attention.dtype)).reshape(*pieces.shape, 1)
     heads = attention @ v
-    order, bounds = _by_class(target[scored])
-    seen, before, after = (part[scored][order] for part in (heads, pieces, target))
-    n = len(after)
-    logs, wrong, sums = _chosen(table.classes[before] + seen @ weights["uc"], after // members)
+    heads /= weighed
+    at = np.flatnonzero(scored)
+    order, bounds = _by_class(target.take(at))
+    at = at.take(order)
+    seen, before, after = heads.reshape(-1, WIDTH).take(at, axis=0), pieces.take(at), target.take(at)
+    n, rows = max(len(at), 1), np.arange(len(at))
+    logits = table.classes.take(before, axis=0)
+    logits += seen @ weights["uc"]
+    logs, wrong, sums = _chosen(logits, after // members)
     total = -logs.sum()
-    wrong /= sums[:, None]
-    wrong[np.arange(n), after // members] -= 1
-    slopes = {"uc": seen.T @ wrong / n, "um": np.zeros_like(weights["um"])}
+    wrong /= (n * sums)[:, None]
+    wrong[rows, after // members] -= 1 / n
+    slopes = {"uc": seen.T @ wrong, "um": np.zeros_like(weights["um"])}
     back = wrong @ weights["uc"].T
     logs, wrong, sums = _chosen(_member_logits(table, weights["um"], seen, before, after, bounds), after % members)
     total -= logs.sum()
-    wrong /= sums[:, None]
-    wrong[np.arange(n), after % members] -= 1
-    for c in range(CLASSES):
-        rows = slice(bounds[c], bounds[c + 1])
-        if bounds[c] < bounds[c + 1]:
-            slopes["um"][c] = seen[rows].T @ wrong[rows] / n
-            back[rows] += wrong[rows] @ weights["um"][c].T
-    unsorted = np.empty_like(back)
-    unsorted[order] = back
+    wrong /= (n * sums)[:, None]
+    wrong[rows, after % members] -= 1 / n
+    more, ends = np.empty_like(back), bounds.tolist()
+    for c, (first, last) in enumerate(zip(ends[:-1], ends[1:])):
+        if first < last:
+            own = wrong[first:last]
+            slopes["um"][c] = seen[first:last].T.dot(own)
+            more[first:last] = own.dot(weights["um"][c].T)
+    back += more
     down = np.zeros_like(heads)
-    down[scored] = unsorted / n
+    down.reshape(-1, WIDTH)[at] = back
+    # The attention-weighted mean of its slopes is what a place gathers times the slope of that.
+    mean = (down * heads).sum(axis=2, keepdims=True)
+    mean /= weighed
+    down /= weighed
     dv = attention.transpose(0, 2, 1) @ down
     ds = down @ v.transpose(0, 2, 1)
-    # The attention-weighted mean of its slopes is what a place gathers times the slope of that.
-    ds -= (down * heads).sum(axis=2, keepdims=True)
+    ds -= mean
     ds *= attention
-    ds *= root
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dx = np.zeros_like(flat_x)
-    for name, d in (("wq", dq), ("wk", dk), ("wv", dv)):
-        d = d.reshape(-1, WIDTH)
-        slopes[name] = flat_x.T @ d
-        dx += d.dot(weights[name].T)
+    dq *= root
+    down = np.concatenate([d.reshape(-1, WIDTH) for d in (dq, dk, dv)], axis=1)
+    slopes["wq"], slopes["wk"], slopes["wv"] = np.split(flat_x.T @ down, 3, axis=1)
+    dx = down @ np.concatenate([weights["wq"], weights["wk"], weights["wv"]], axis=1).T
     dx = dx.reshape(x.shape)
     slopes["place"] = dx.sum(axis=0)
-    at = pieces.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-    slopes["embed"] = np.bincount(at.ravel(), dx.ravel(), VOCABULARY * WIDTH).reshape(-1, WIDTH).astype(np.float32)
-    return float(total) / max(n, 1), slopes
+    cell = pieces.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    slopes["embed"] = np.bincount(cell.ravel(), dx.ravel(), VOCABULARY * WIDTH).reshape(-1, WIDTH).astype(np.float32)
+    return float(total) / n, slopes
 
 
 class Trainer:
-    """Adam from given weights."""
+    """Adam from given weights, which lie one after another, as do its means."""
 
     def __init__(self, weights: dict[str, np.ndarray], table: Bigrams, rate: float = 0.01):
-        self.weights = {name: value.copy() for name, value in weights.items()}
+        self._flat = flat(weights).astype(np.float32)
+        self.weights = shaped(self._flat)  # views of it
         self.table, self.rate, self.steps, self.seen = table, rate, 0, 0
-        self._mean = {name: np.zeros_like(value) for name, value in weights.items()}
-        self._square = {name: np.zeros_like(value) for name, value in weights.items()}
+        self._mean, self._square = np.zeros_like(self._flat), np.zeros_like(self._flat)
 
     def learn(self, pieces: np.ndarray, target: np.ndarray, scored: np.ndarray) -> float:
         """One step on a batch of windows; returns its loss before the step."""
@@ -218,12 +226,21 @@ class Trainer:
         loss, slopes = loss_and_slopes(self.weights, self.table, pieces, target, scored)
         self.steps += 1
         self.seen += int(scored.sum())
-        for name, slope in slopes.items():
-            self._mean[name] += 0.1 * (slope - self._mean[name])
-            self._square[name] += 0.01 * (slope * slope - self._square[name])
-            mean = self._mean[name] / (1 - 0.9 ** self.steps)
-            square = self._square[name] / (1 - 0.99 ** self.steps)
-            self.weights[name] -= np.float32(self.rate) * mean / (np.sqrt(square) + 1e-8)
+        slope = flat(slopes)
+        step = slope - self._mean
+        step *= 0.1
+        self._mean += step
+        slope *= slope
+        slope -= self._square
+        slope *= 0.01
+        self._square += slope
+        np.divide(self._square, 1 - 0.99 ** self.steps, out=slope)
+        np.sqrt(slope, out=slope)
+        slope += 1e-8
+        np.divide(self._mean, 1 - 0.9 ** self.steps, out=step)
+        step *= self.rate
+        step /= slope
+        self._flat -= step
         return loss
 
 
