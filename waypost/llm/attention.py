@@ -64,17 +64,32 @@ def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
 
 
 _LATER = np.triu(np.full((WINDOW, WINDOW), -1e30, np.float32), 1)
+_EARLIER = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+#: Where the weights of each piece lie.
+_CELLS = np.arange(VOCABULARY * WIDTH).reshape(VOCABULARY, WIDTH)
+#: Sums of a row's exponentials between these have lost nothing to overflow or underflow.
+_MILD = (1e-10, 1e15)
 
 
-def _attend(q: np.ndarray, k: np.ndarray) -> np.ndarray:
+def _attend(q: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Attention of the last places, as many as ``q`` has, to themselves and earlier ones, not yet
-    divided by its sum."""
-    scores = q @ k.transpose(0, 2, 1)
-    scores += _LATER[WINDOW - q.shape[1]:]
-    # The largest of each row becomes zero, so no row is all underflow.
-    scores -= scores.max(axis=2, keepdims=True)
-    np.exp(scores, out=scores)
-    return scores
+    divided by its sum, and one by the sum."""
+    first, k = WINDOW - q.shape[1], k.transpose(0, 2, 1)
+    scores = q @ k
+    ones = np.ones((WINDOW, 1), scores.dtype)
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(scores, out=scores)
+        scores *= _EARLIER[first:]
+        sums = scores.reshape(-1, WINDOW) @ ones
+        mild = not sums.size or (_MILD[0] <= sums.min() and sums.max() <= _MILD[1])
+    if not mild:
+        np.matmul(q, k, out=scores)
+        scores += _LATER[first:]
+        # The largest of each row becomes zero, so no row is all underflow.
+        scores -= scores.max(axis=2, keepdims=True)
+        np.exp(scores, out=scores)
+        sums = scores.reshape(-1, WINDOW) @ ones
+    return scores, 1 / sums.reshape(*q.shape[:2], 1)
 
 
 def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,24 +99,33 @@ def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(classes[order], np.arange(CLASSES + 1))
 
 
-def _chosen(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log softmax at the target, and the exponentials with their sums. Overwrites ``logits``."""
-    found = logits.ravel().take(np.arange(len(target)) * logits.shape[1] + target)
+def _exponentials(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log softmax at flat places, one in a row, and the sums of the exponentials, which overwrite
+    ``logits``."""
+    found = logits.ravel().take(at)
     np.exp(logits, out=logits)
     sums = logits @ np.ones(logits.shape[1], logits.dtype)
-    return found - np.log(sums), logits, sums
-
-
-def _member_logits(table: Bigrams, um: np.ndarray, seen: np.ndarray, before: np.ndarray, target: np.ndarray,
-                   bounds: np.ndarray) -> np.ndarray:
-    """Logits of the members of each target's class, for rows in the order of classes."""
-    members = VOCABULARY // CLASSES
-    logits = table.members.reshape(-1, members).take(before * CLASSES + target // members, axis=0)
-    for c in range(CLASSES):
-        rows = slice(bounds[c], bounds[c + 1])
-        if bounds[c] < bounds[c + 1]:
-            logits[rows] += seen[rows].dot(um[c])
-    return logits
+    return found - np.log(sums), sums
+
+
+def _logits(table: Bigrams, uc: np.ndarray, um: np.ndarray, seen: np.ndarray, before: np.ndarray,
+            target: np.ndarray, bounds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of the classes, and below them of the members of each target's class, for rows in the
+    order of classes, and where the targets are in both, flat."""
+    members, n = VOCABULARY // CLASSES, len(target)
+    classes = target // members
+    logits = np.empty((2 * n, members), uc.dtype)
+    np.dot(seen, uc, out=logits[:n])
+    for c, (first, last) in enumerate(zip(bounds[:-1], bounds[1:])):
+        if first < last:
+            np.dot(seen[first:last], um[c], out=logits[n + first:n + last])
+    logits[:n] += table.classes.take(before, axis=0)
+    logits[n:] += table.members.reshape(-1, members).take(before * CLASSES + classes, axis=0)
+    at = np.arange(0, logits.size, members)
+    at[:n] += classes
+    at[n:] += target
+    at[n:] -= classes * members
+    return logits, at
 
 
 class Scorer:
@@ -112,8 +136,6 @@ class Scorer:
         scaled = weights["wq"] * weights["wq"].dtype.type(WIDTH ** -0.5)
         self.parts = [(weights["embed"] @ own, weights["place"] @ own)
                       for own in (scaled, weights["wk"], weights["wv"])]
-        v, place = self.parts[2]
-        self.parts[2] = (np.pad(v, ((0, 0), (0, 1)), constant_values=1), np.pad(place, ((0, 0), (0, 1))))
 
     def _heads(self, pieces: np.ndarray, places: int) -> np.ndarray:
         """What the last ``places`` of each window gather from the window."""
@@ -121,11 +143,12 @@ class Scorer:
         asked, keys = q.take(pieces[:, WINDOW - places:], axis=0), k.take(pieces, axis=0)
         asked += q_place[WINDOW - places:]
         keys += k_place
-        # The last column of values is one and adds up the weights.
         values = v.take(pieces, axis=0)
         values += v_place
-        found = _attend(asked, keys) @ values
-        return found[:, :, :WIDTH] / found[:, :, WIDTH:]
+        found, shares = _attend(asked, keys)
+        found = found @ values
+        found *= shares
+        return found
 
     def windows(self, pieces: np.ndarray, target: np.ndarray, scored: np.ndarray) -> np.ndarray:
         """Natural log probabilities at the places of (n, WINDOW) windows where ``scored``."""
@@ -139,12 +162,9 @@ class Scorer:
             seen[~of_late] = self._heads(pieces[whole], WINDOW)[scored[whole]]
         before, target = pieces[scored], target[scored]
         order, bounds = _by_class(target)
-        seen, before, target = seen.take(order, axis=0), before[order], target[order]
-        members = VOCABULARY // CLASSES
-        logits = self.table.classes.take(before, axis=0)
-        logits += seen @ self.uc
-        found = _chosen(logits, target // members)[0]
-        found += _chosen(_member_logits(self.table, self.um, seen, before, target, bounds), target % members)[0]
+        seen, before, target = seen.take(order, axis=0), before.take(order), target.take(order)
+        logs, _ = _exponentials(*_logits(self.table, self.uc, self.um, seen, before, target, bounds.tolist()))
+        found = logs[:len(target)] + logs[len(target):]
         result = np.empty_like(found)
         result[order] = found
         return result
@@ -153,61 +173,56 @@ class Scorer:
 def loss_and_slopes(weights: dict[str, np.ndarray], table: Bigrams, pieces: np.ndarray, target: np.ndarray,
                     scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean negative log probability of the scored places and its derivatives."""
-    members, root = VOCABULARY // CLASSES, np.float32(WIDTH ** -0.5)
-    x = weights["embed"].take(pieces, axis=0)
-    x += weights["place"]
-    flat_x = x.reshape(-1, WIDTH)
-    q, k, v = (flat_x.dot(weights[name]).reshape(x.shape) for name in ("wq", "wk", "wv"))
-    q *= root
+    root, n_windows = weights["wq"].dtype.type(WIDTH ** -0.5), len(pieces)
+    x = weights["embed"].take(pieces.ravel(), axis=0)
+    x.reshape(n_windows, -1)[:] += weights["place"].ravel()
+    heads_of = np.concatenate([weights["wq"] * root, weights["wk"], weights["wv"]], axis=1)
+    joint = x.reshape(n_windows, WINDOW, WIDTH) @ heads_of
+    q, k, v = (joint[:, :, first:first + WIDTH] for first in range(0, 3 * WIDTH, WIDTH))
     # Not divided by its sums; what it gathers and the slopes of that are, which are narrower.
-    attention = _attend(q, k)
-    weighed = (attention.reshape(-1, WINDOW) @ np.ones(WINDOW, attention.dtype)).reshape(*pieces.shape, 1)
+    attention, shares = _attend(q, k)
     heads = attention @ v
-    heads /= weighed
+    heads *= shares
     at = np.flatnonzero(scored)
     order, bounds = _by_class(target.take(at))
-    at = at.take(order)
+    at, ends = at.take(order), bounds.tolist()
     seen, before, after = heads.reshape(-1, WIDTH).take(at, axis=0), pieces.take(at), target.take(at)
-    n, rows = max(len(at), 1), np.arange(len(at))
-    logits = table.classes.take(before, axis=0)
-    logits += seen @ weights["uc"]
-    logs, wrong, sums = _chosen(logits, after // members)
-    total = -logs.sum()
-    wrong /= (n * sums)[:, None]
-    wrong[rows, after // members] -= 1 / n
-    slopes = {"uc": seen.T @ wrong, "um": np.zeros_like(weights["um"])}
-    back = wrong @ weights["uc"].T
-    logs, wrong, sums = _chosen(_member_logits(table, weights["um"], seen, before, after, bounds), after % members)
-    total -= logs.sum()
-    wrong /= (n * sums)[:, None]
-    wrong[rows, after % members] -= 1 / n
-    more, ends = np.empty_like(back), bounds.tolist()
+    n = len(at)
+    wrong, right = _logits(table, weights["uc"], weights["um"], seen, before, after, ends)
+    logs, sums = _exponentials(wrong, right)
+    sums *= n
+    wrong *= (1 / sums)[:, None]
+    wrong.ravel()[right] -= wrong.dtype.type(1 / max(n, 1))
+    slopes = {"uc": seen.T @ wrong[:n], "um": np.zeros_like(weights["um"])}
+    back = wrong[:n] @ weights["uc"].T.copy()
+    more, wrong, um_back = np.empty_like(back), wrong[n:], weights["um"].transpose(0, 2, 1).copy()
     for c, (first, last) in enumerate(zip(ends[:-1], ends[1:])):
         if first < last:
             own = wrong[first:last]
-            slopes["um"][c] = seen[first:last].T.dot(own)
-            more[first:last] = own.dot(weights["um"][c].T)
+            np.dot(seen[first:last].T, own, out=slopes["um"][c])
+            np.dot(own, um_back[c], out=more[first:last])
     back += more
     down = np.zeros_like(heads)
     down.reshape(-1, WIDTH)[at] = back
+    down *= shares
     # The attention-weighted mean of its slopes is what a place gathers times the slope of that.
-    mean = (down * heads).sum(axis=2, keepdims=True)
-    mean /= weighed
-    down /= weighed
-    dv = attention.transpose(0, 2, 1) @ down
+    mean = np.einsum("wph,wph->wp", down, heads)[:, :, None]
     ds = down @ v.transpose(0, 2, 1)
     ds -= mean
     ds *= attention
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dq *= root
-    down = np.concatenate([d.reshape(-1, WIDTH) for d in (dq, dk, dv)], axis=1)
-    slopes["wq"], slopes["wk"], slopes["wv"] = np.split(flat_x.T @ down, 3, axis=1)
-    dx = down @ np.concatenate([weights["wq"], weights["wk"], weights["wv"]], axis=1).T
-    dx = dx.reshape(x.shape)
+    steep = np.empty_like(joint)
+    np.matmul(ds, k, out=steep[:, :, :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), q, out=steep[:, :, WIDTH:2 * WIDTH])
+    np.matmul(attention.transpose(0, 2, 1), down, out=steep[:, :, 2 * WIDTH:])
+    by_window = x.reshape(n_windows, WINDOW, WIDTH).transpose(0, 2, 1) @ steep
+    slopes["wq"], slopes["wk"], slopes["wv"] = np.split(by_window.sum(axis=0), 3, axis=1)
+    # The root is in q already, but not in its weights.
+    slopes["wq"] = slopes["wq"] * root
+    dx = steep @ heads_of.T.copy()
     slopes["place"] = dx.sum(axis=0)
-    cell = pieces.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-    slopes["embed"] = np.bincount(cell.ravel(), dx.ravel(), VOCABULARY * WIDTH).reshape(-1, WIDTH).astype(np.float32)
-    return float(total) / n, slopes
+    cell = _CELLS.take(pieces.ravel(), axis=0)
+    slopes["embed"] = np.bincount(cell.ravel(), dx.ravel(), VOCABULARY * WIDTH).astype(x.dtype).reshape(-1, WIDTH)
+    return -float(logs.sum()) / max(n, 1), slopes
 
 
 class Trainer:
@@ -217,6 +232,7 @@ class Trainer:
         self._flat = flat(weights).astype(np.float32)
         self.weights = shaped(self._flat)  # views of it
         self.table, self.rate, self.steps, self.seen = table, rate, 0, 0
+        # Means of the slopes and of their squares, ten and a hundred times as large.
         self._mean, self._square = np.zeros_like(self._flat), np.zeros_like(self._flat)
 
     def learn(self, pieces: np.ndarray, target: np.ndarray, scored: np.ndarray) -> float:
@@ -227,20 +243,17 @@ class Trainer:
         self.steps += 1
         self.seen += int(scored.sum())
         slope = flat(slopes)
-        step = slope - self._mean
-        step *= 0.1
-        self._mean += step
+        self._mean *= 0.9
+        self._mean += slope
         slope *= slope
-        slope -= self._square
-        slope *= 0.01
+        self._square *= 0.99
         self._square += slope
-        np.divide(self._square, 1 - 0.99 ** self.steps, out=slope)
-        np.sqrt(slope, out=slope)
-        slope += 1e-8
-        np.divide(self._mean, 1 - 0.9 ** self.steps, out=step)
-        step *= self.rate
-        step /= slope
-        self._flat -= step
+        part = (1 - 0.9 ** self.steps) * 10 / self.rate
+        np.sqrt(self._square, out=slope)
+        slope *= part / (100 * (1 - 0.99 ** self.steps)) ** 0.5
+        slope += 1e-8 * part
+        np.divide(self._mean, slope, out=slope)
+        self._flat -= slope
         return loss
 
 
@@ -262,4 +275,4 @@ def filled(sequence: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows:
     there = place < lengths[rows][:, None]
     index = starts[rows][:, None] + np.where(there, place, 0)
     scored = there & ((begins[:, None] == 0) | (np.arange(WINDOW) >= WINDOW - stride))
-    return sequence[index], sequence[index + there], scored
+    return sequence.take(index), sequence.take(index + there), scored

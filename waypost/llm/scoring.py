@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -40,6 +41,8 @@ ROUNDS = 1
 EVERY = 1
 #: Words in a worker's table of segmented words before it starts anew.
 TABLE = 400_000
+#: Slots of tables of words, more than there are words.
+_SLOTS = 1 << 20
 _CHUNK, _BATCH = 1 << 20, 192
 #: Rows that a worker takes at once.
 _ROWS = 2_000
@@ -48,7 +51,7 @@ _PAIR = 1 << 20
 
 
 class Segmenter:
-    """Piece ids of words, kept by word hash."""
+    """Piece ids of words, kept by word hash: a slot holds the last word that fell on it."""
 
     def __init__(self, vocabulary: bytes):
         self._pieces = sentencepiece.SentencePieceProcessor(model_proto=vocabulary)
@@ -56,39 +59,43 @@ class Segmenter:
         self._reset()
 
     def _reset(self) -> None:
-        self._keys, self._at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        # No word falls on a slot whose key has other last bits.
+        self._keys, self._at = np.arange(1, _SLOTS + 1, dtype=np.uint64), np.zeros(_SLOTS, np.int64)
         self._flat, self._ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def _add(self, words: Words, new: np.ndarray) -> None:
+        """Entries of the words with the numbers ``new``, after those there are."""
+        data = words.data.tobytes()
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(
+            words.starts[new].tolist(), words.ends[new].tolist())]
+        found = self._pieces.encode(texts, num_threads=1)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self._flat = np.concatenate([self._flat, np.fromiter(
+            chain.from_iterable(found), np.int32, int(sizes.sum()))])
+        self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum(sizes)])
+
     def pieces(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, flat, and how many each row has."""
-        if len(self._keys) > TABLE:
+        if len(self._ends) > TABLE:
             self._reset()
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self._keys):
-            near = np.minimum(np.searchsorted(self._keys, unique), len(self._keys) - 1)
-            new = np.flatnonzero(self._keys[near] != unique)
-        else:
-            new = np.arange(len(unique))
-        if len(new):
-            data = words.data.tobytes()
-            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(
-                words.starts[first[new]].tolist(), words.ends[first[new]].tolist())]
-            found = self._pieces.encode(texts, num_threads=1)
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self._flat = np.concatenate([self._flat, np.fromiter(
-                (i for ids in found for i in ids), np.int32, int(sizes.sum()))])
-            keys = np.concatenate([self._keys, unique[new]])
-            at = np.concatenate([self._at, len(self._ends) - 1 + np.arange(len(new))])
-            self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum(sizes)])
-            order = np.argsort(keys)
-            self._keys, self._at = keys[order], at[order]
         if not len(hashes):
             return np.zeros(0, np.int32), np.zeros(len(words.rows) - 1, np.int64)
-        own = self._at[np.searchsorted(self._keys, unique)][inverse]
-        sizes = self._ends[own + 1] - self._ends[own]
+        slots = (hashes & np.uint64(_SLOTS - 1)).view(np.int64)
+        own = self._at.take(slots)
+        missing = np.flatnonzero(self._keys.take(slots) != hashes)
+        if len(missing):
+            unique, first, inverse = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            entries = len(self._ends) - 1 + np.arange(len(unique))
+            self._add(words, missing[first])
+            own[missing] = entries[inverse]
+            into = slots[missing[first]]
+            # Of two words for one slot either may go, but key and entry must be of the same.
+            self._at[into] = entries
+            self._keys[into] = hashes[missing[first[self._at[into] - entries[0]]]]
+        sizes = np.diff(self._ends).take(own)
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        index = np.arange(ends[-1]) + np.repeat(self._ends[own] - ends[:-1], sizes)
-        return self._flat[index], np.diff(ends[words.rows])
+        index = np.arange(ends[-1]) + np.repeat(self._ends.take(own) - ends[:-1], sizes)
+        return self._flat.take(index), np.diff(ends[words.rows])
 
 
 def _sequences(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,8 +238,9 @@ def _round(docs: DataFrame, trained: Trained, number_of_round: int, every: int)
         def learn() -> None:
             parts = [np.concatenate(part) for part in zip(*pools)]
             order = np.random.default_rng(trainer.steps).permutation(len(parts[0]))
+            parts = [part.take(order, axis=0) for part in parts]
             for first in range(0, len(order), 32):
-                trainer.learn(*(part[order[first:first + 32]] for part in parts))
+                trainer.learn(*(part[first:first + 32] for part in parts))
 
         for batch in batches:
             for ids, number in _list_chunks(batch.column(0)):
@@ -270,12 +278,36 @@ def train(docs: DataFrame, counted: DataFrame, size: int, rounds: int = ROUNDS,
     return trained
 
 
+class Head:
+    """Where words are among the sorted hashes ``keys``."""
+
+    def __init__(self, keys: np.ndarray):
+        self._keys, slots = keys, self._slots(keys)
+        self._at = np.zeros(_SLOTS, np.int32)
+        self._at[slots] = np.arange(len(keys))
+        # Two of them on one slot are searched for.
+        self._at[np.bincount(slots, minlength=_SLOTS) > 1] = -1
+
+    @staticmethod
+    def _slots(hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64(_SLOTS - 1)).view(np.int64)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A number of a key for each hash, and whether that is its own."""
+        if not len(self._keys):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        near = self._at.take(self._slots(hashes))
+        several = np.flatnonzero(near < 0)
+        near[several] = np.minimum(np.searchsorted(self._keys, hashes[several]), len(self._keys) - 1)
+        return near, self._keys.take(near) == hashes
+
+
 def _scored(docs: DataFrame, trained: Trained, head: np.ndarray, head_logs: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((trained, head, head_logs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trained, head, logs = sent.value
-        scorer = model.Scorer(trained.weights, trained.table)
+        scorer, known_words = model.Scorer(trained.weights, trained.table), Head(head)
         row_number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for words in word_chunks(batch.column(2), lower=True, limit=_CHUNK):
@@ -290,11 +322,7 @@ def _scored(docs: DataFrame, trained: Trained, head: np.ndarray, head_logs: np.n
                     at = np.broadcast_to(rows[some][:, None], scored.shape)[scored]
                     score += np.bincount(at, logs_of, len(score))
                 owner = np.repeat(np.arange(len(number)), words.counts())
-                if len(head):
-                    near = np.minimum(np.searchsorted(head, hashes), len(head) - 1)
-                    there = head[near] == hashes
-                else:
-                    near, there = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+                near, there = known_words.find(hashes)
                 known = np.bincount(owner[there], minlength=len(number))
                 base = np.bincount(owner[there], logs[near[there]], len(number)) if len(head) else np.zeros(len(number))
                 tail = hashes[~there]

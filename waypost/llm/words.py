@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 19
+#: Bytes whose sums are taken at once.
+_HASHED_BYTES = 1 << 15
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -107,14 +109,28 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: Words, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of every word, from prefix sums of a polynomial over the bytes."""
-    up, down = _powers(_BASES[salt & 1], len(words.data) + 1)
-    sums = np.zeros(len(words.data) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum((words.data.astype(np.uint64) + np.uint64(1 + salt)) * up[:-1], out=sums[1:])
-        found = (sums[words.ends] - sums[words.starts]) * down[words.starts]
-        length = (words.ends - words.starts).astype(np.uint64)
-        return mixed(found + length * np.uint64(0x9FB21C651E98DF25))
+    """A 64-bit hash of every word, from prefix sums of a polynomial over the bytes.
+
+    A hash does not depend on where the word lies, so the sums are over some words at a time.
+    """
+    found = np.empty(len(words.starts), np.uint64)
+    edges = np.unique(np.concatenate([[0, len(found)], np.searchsorted(
+        words.starts, np.arange(_HASHED_BYTES, len(words.data), _HASHED_BYTES))])).tolist()
+    for first, last in zip(edges[:-1], edges[1:]):
+        base = words.starts[first]
+        starts, ends = words.starts[first:last] - base, words.ends[first:last] - base
+        up, down = _powers(_BASES[salt & 1], int(ends[-1]) + 1)
+        sums = np.zeros(len(up), np.uint64)
+        with np.errstate(over="ignore"):
+            np.add(words.data[base:words.ends[last - 1]], np.uint64(1 + salt), out=sums[1:])
+            sums[1:] *= up[:-1]
+            np.cumsum(sums, out=sums)
+            own = sums.take(ends)
+            own -= sums.take(starts)
+            own *= down.take(starts)
+            own += (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+            found[first:last] = mixed(own)
+    return found
 
 
 def window_hashes(hashes: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
