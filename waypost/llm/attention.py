@@ -214,10 +214,11 @@ def loss_and_slopes(weights: dict[str, np.ndarray], table: Bigrams, pieces: np.n
     np.matmul(ds, k, out=steep[:, :, :WIDTH])
     np.matmul(ds.transpose(0, 2, 1), q, out=steep[:, :, WIDTH:2 * WIDTH])
     np.matmul(attention.transpose(0, 2, 1), down, out=steep[:, :, 2 * WIDTH:])
-    by_window = x.reshape(n_windows, WINDOW, WIDTH).transpose(0, 2, 1) @ steep
-    slopes["wq"], slopes["wk"], slopes["wv"] = np.split(by_window.sum(axis=0), 3, axis=1)
+    of_heads = (x.reshape(n_windows, WINDOW, WIDTH).transpose(0, 2, 1) @ steep).sum(axis=0)
     # The root is in q already, but not in its weights.
-    slopes["wq"] = slopes["wq"] * root
+    of_heads[:, :WIDTH] *= root
+    for name, first in (("wq", 0), ("wk", WIDTH), ("wv", 2 * WIDTH)):
+        slopes[name] = of_heads[:, first:first + WIDTH]
     dx = steep @ heads_of.T.copy()
     slopes["place"] = dx.sum(axis=0)
     cell = _CELLS.take(pieces.ravel(), axis=0)

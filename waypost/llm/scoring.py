@@ -44,6 +44,8 @@ TABLE = 400_000
 #: Slots of tables of words, more than there are words.
 _SLOTS = 1 << 20
 _CHUNK, _BATCH = 1 << 20, 192
+#: Counts that a worker gathers before it adds up those of equal keys.
+_WAITING = 1 << 20
 #: Rows that a worker takes at once.
 _ROWS = 2_000
 _END, _RARE, _KNOWN = 0, 1, model.VOCABULARY - 2
@@ -112,64 +114,108 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("long").cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
+def _id_type(size: int) -> np.dtype:
+    """How the ids of ``size`` pieces are stored."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<i4")
+
+
 def segmented(docs: DataFrame, path: str = PIECES) -> DataFrame:
-    """(doc_id, held_out, text, ids) of every row: ids of the pieces of all words, none for a null text."""
+    """(doc_id, held_out, text, ids) of every row: ids of the pieces of all words, none for a null text.
+
+    Ids are bytes, as ``_id_type`` says: the rows of one text are one value for Spark, not one a piece.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(sent.value)
+        kind = _id_type(segmenter.size)
         for batch in batches:
             for words in word_chunks(batch.column(2), lower=True, limit=_CHUNK):
                 ids, number = segmenter.pieces(words, word_hashes(words))
                 own = slice(words.first, words.last)
-                offsets = np.concatenate([[0], np.cumsum(number)]).astype(np.int32)
+                offsets = (np.concatenate([[0], np.cumsum(number)]) * kind.itemsize).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [*(column[own] for column in batch.columns),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))],
+                     pa.BinaryArray.from_buffers(pa.binary(), len(number), [
+                         None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind))])],
                     names=["doc_id", "held_out", "text", "ids"])
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(
-        run, "doc_id long, held_out boolean, text string, ids array<int>")
+        run, "doc_id long, held_out boolean, text string, ids binary")
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column, flat, and how many each row has."""
-    return column.flatten().to_numpy(), pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+def _lists(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of ``size`` pieces in a column of lists, or of bytes as ``segmented`` makes them, flat, and how
+    many each row has."""
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(), pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+    kind, column = _id_type(size), column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else [0]
+    bytes_of = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    return bytes_of.view(kind), np.diff(ends) // kind.itemsize
 
 
-def _list_chunks(column: pa.Array, limit: int = _CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _list_chunks(column: pa.Array, size: int, limit: int = _CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``_lists`` of row ranges of about ``limit`` values."""
-    ends = np.cumsum(_lists(column)[1])
+    ends = np.cumsum(_lists(column, size)[1])
     first = 0
     while first < len(column):
         before = ends[first - 1] if first else 0
         last = max(int(np.searchsorted(ends, before + limit, side="right")), first + 1)
-        yield _lists(column[first:last])
+        yield _lists(column[first:last], size)
         first = last
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the sum of its numbers."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, n = (np.concatenate(part) for part in zip(*parts))
+    order = np.argsort(keys)
+    keys = keys.take(order)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)])
+    return keys.take(first), np.add.reduceat(n.take(order), first) if len(first) else n
+
+
+def _counted(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n.astype(np.int64))],
+        names=["kind", "key", "n"])
+
+
 def counts(docs: DataFrame, size: int) -> DataFrame:
     """(kind, key, n) over all ``segmented`` rows: words by hash, pairs of pieces, and documents.
 
     ``size`` is the number of pieces and stands for the end of a text.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Some chunks' counts of words and of pairs, not yet added up.
+        waiting: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        texts = empty = 0
+
+        def added(kind: int) -> pa.RecordBatch:
+            keys, n = _added(waiting[kind])
+            waiting[kind] = []
+            return _counted(kind, keys.view(np.int64), n)
+
         for batch in batches:
             for words in word_chunks(batch.column(0), lower=True, limit=_CHUNK):
-                ids, number = _lists(batch.column(1)[words.first:words.last])
+                ids, number = _lists(batch.column(1)[words.first:words.last], size)
                 sequence, _ = _sequences(ids, number, size)
                 pairs = sequence[:-1] * _PAIR + sequence[1:]
                 # An end after an end lies between two rows.
                 pairs = pairs[~((sequence[:-1] == size) & (sequence[1:] == size))]
-                empty = int((number == 0).sum())
-                for kind, (keys, n) in enumerate((np.unique(word_hashes(words), return_counts=True),
-                                                  np.unique(pairs, return_counts=True))):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)],
-                        names=["kind", "key", "n"])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([2, 1], pa.int32()), pa.array([0, size * (_PAIR + 1)], pa.int64()),
-                    pa.array([len(number), empty], pa.int64())], names=["kind", "key", "n"])
+                texts, empty = texts + len(number), empty + int((number == 0).sum())
+                for kind, keys in enumerate((word_hashes(words), pairs)):
+                    waiting[kind].append(np.unique(keys, return_counts=True))
+                    if sum(len(keys) for keys, _ in waiting[kind]) > _WAITING:
+                        yield added(kind)
+        for kind in (0, 1):
+            if waiting[kind]:
+                yield added(kind)
+        yield _counted(2, np.zeros(1, np.int64), np.array([texts]))
+        yield _counted(1, np.array([size * (_PAIR + 1)]), np.array([empty]))
 
     found = docs.select("text", "ids").mapInArrow(run, "kind int, key long, n long")
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -243,7 +289,7 @@ def _round(docs: DataFrame, trained: Trained, number_of_round: int, every: int)
                 trainer.learn(*(part[first:first + 32] for part in parts))
 
         for batch in batches:
-            for ids, number in _list_chunks(batch.column(0)):
+            for ids, number in _list_chunks(batch.column(0), own.n_pieces):
                 # Adjoining windows: every place is learned from once, none is only context.
                 sequence, starts, rows, begins = _windows(ids, number, own.numbers, own.n_pieces, model.WINDOW)
                 chosen = np.flatnonzero(np.arange(len(rows)) % every == (7 * number_of_round + 3) % every)
@@ -312,7 +358,7 @@ def _scored(docs: DataFrame, trained: Trained, head: np.ndarray, head_logs: np.n
         for batch in batches:
             for words in word_chunks(batch.column(2), lower=True, limit=_CHUNK):
                 hashes = word_hashes(words)
-                ids, number = _lists(batch.column(3)[words.first:words.last])
+                ids, number = _lists(batch.column(3)[words.first:words.last], trained.n_pieces)
                 sequence, starts, rows, begins = _windows(ids, number, trained.numbers, trained.n_pieces)
                 score = _rare_logs(ids, number, trained.rare)
                 for first in range(0, len(rows), _BATCH):
