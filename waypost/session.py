@@ -85,6 +85,34 @@ def hold(df: DataFrame, label: str, scratch: bool = True) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(held: DataFrame) -> None:
+    """Remove a table that ``hold`` wrote, before its block of scratch tables ends. Nothing may read it later."""
+    spark = held.sparkSession
+    if shared_dir(spark) is None:
+        held.unpersist()
+        return
+    folders = {name.rpartition("/")[0] for name in held.inputFiles()}
+    for name in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def configured(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that hold inside this block. Results must be held before it ends."""
+    before = {name: spark.conf.get(name, None) for name in conf}
+    try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def spread(df: DataFrame, even: bool = False) -> DataFrame:
     """Use all cores for costly per-row work on a scan of very few files.
 
