@@ -249,7 +249,8 @@ class WordBlock:
             score = np.where((common > 0) & ~full, np.maximum(score, alone), score)
         # The longest possible subsequence is the shorter rest.
         bound = 100.0 - 100.0 * np.abs(left - right) / np.maximum(whole, 1)
-        open_ = np.flatnonzero(~full & (bound >= least) & (bound > score))
+        # Two strings without words score nothing.
+        open_ = np.flatnonzero(~full & (whole > 0) & (bound >= least) & (bound > score))
         if len(open_):
             kept = np.zeros(n, dtype=bool)
             kept[open_] = True
