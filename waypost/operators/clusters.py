@@ -90,7 +90,9 @@ class _Block:
         self.rows = list(zip(*(_unpacked(packed, name) for name in _PACKED)))
         order = np.argsort(centres["term_idx"].to_numpy())
         self.terms = centres["term_idx"].to_numpy()[order]
-        self.centre = [pc.fill_null(centres[f"c{c}"], 0.0).to_numpy()[order] for c in range(k)]
+        # A place past the last stands for terms that are not sent.
+        self.known = np.append(self.terms, -1)
+        self.centre = [np.append(pc.fill_null(centres[f"c{c}"], 0.0).to_numpy()[order], 0.0) for c in range(k)]
 
     def nearest(self, squares: list[float]) -> Iterator[tuple]:
         """For each row its pages, their clusters and squared distances, and its weights: values, pages,
@@ -100,11 +102,11 @@ class _Block:
             n = len(page_id)
             row = np.repeat(np.arange(n), sizes)
             place = np.searchsorted(self.terms, terms)
-            held = np.append(self.terms, -1)[place] == terms   # other terms weigh nothing in every centre
+            held = self.known[place] == terms   # other terms weigh nothing in every centre
             own = np.bincount(row, weight ** 2, n)
             apart = np.empty((len(squares), n))
             for c, square in enumerate(squares):
-                centre = np.where(held, np.append(self.centre[c], 0.0)[place], 0.0)
+                centre = np.where(held, self.centre[c][place], 0.0)
                 apart[c] = np.round(own + square - 2 * np.bincount(row, weight * centre[at], n), 9)
             cluster = apart.argmin(axis=0)
             yield page_id, cluster, np.maximum(apart[cluster, np.arange(n)], 0.0), (weight, row, at, place)
